@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference's cards are batch queries over whole tables: it has no streams,
+watermarks, event-time windows or stateful operators, so nothing is built
+here.  Every operator in ``segmenta.operators`` is a batch DataFrame function.
+"""
