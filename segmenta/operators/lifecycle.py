@@ -27,6 +27,7 @@ from segmenta.functions.columns import (
 from segmenta.functions.joins import with_one_row
 from segmenta.functions.sequence import replicate
 from segmenta.operators.filters import apply_filters, in_predicate
+from segmenta.operators.rfm import as_receipts
 from segmenta.operators.value import segment_weights
 
 # ---------------------------------------------------------------------------
@@ -109,7 +110,7 @@ def _daily_with_next(tx: DataFrame) -> DataFrame:
 
     Per client there is at most one row per calendar day, so the window is
     bounded by the time span however many receipts a client has."""
-    daily = tx.groupBy("client_id", "transaction_date").agg(F.count(F.lit(1)).alias("rows"))
+    daily = as_receipts(tx).groupBy("client_id", "transaction_date").agg(F.sum("lines").alias("rows"))
     w = Window.partitionBy("client_id").orderBy("transaction_date")
     return daily.withColumn("next_date", F.lead("transaction_date").over(w))
 
@@ -192,7 +193,7 @@ def churn_risk_segment(
     """
     low, high = bounds
     today = segments.agg(F.max("current_dt").alias("current_dt"))
-    per_day = tx.groupBy("client_id", "transaction_date").agg(F.count(F.lit(1)).alias("rows"))
+    per_day = as_receipts(tx).groupBy("client_id", "transaction_date").agg(F.sum("lines").alias("rows"))
     weights = segment_weights(segments, rfm_group)
     age = days_between("current_dt", "transaction_date")
     label = (

@@ -16,6 +16,9 @@ Grain: one row per (client, shop).  Plan shape at scale:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +136,31 @@ def transactions(
     return tx
 
 
+# ---------------------------------------------------------------------------
+# Receipt grain
+# ---------------------------------------------------------------------------
+
+
+def receipts(tx: DataFrame) -> DataFrame:
+    """Pre-aggregate receipt lines to (client_id, shop, doc_id, transaction_date)
+    with ``lines`` (rows represented) and ``purchase_amount`` (their sum).
+
+    Every later measure is a sum of these two or a distinct count of the keys,
+    so this grain answers them all exactly.  The aggregate is combined
+    map-side, and its shuffle key includes doc_id, so a client holding a large
+    share of the receipts is spread over many tasks.
+    """
+    return tx.groupBy("client_id", "shop", "doc_id", "transaction_date").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.sum("purchase_amount").alias("purchase_amount"),
+    )
+
+
+def as_receipts(tx: DataFrame) -> DataFrame:
+    """Accept raw receipt lines (one row = one line) or :func:`receipts` output."""
+    return tx if "lines" in tx.columns else tx.withColumn("lines", F.lit(1).cast("bigint"))
+
+
 # ---------------------------------------------------------------------------
 # Q02 rfm_base
 # ---------------------------------------------------------------------------
@@ -141,14 +169,14 @@ def transactions(
 def rfm_base(tx: DataFrame) -> DataFrame:
     """recency (days since the group's last purchase, against the newest date of
     all filtered receipts), frequency (distinct receipts), monetary (sum, NULL
-    amounts skipped) per (client_id, shop)."""
+    amounts skipped) per (client_id, shop).  ``tx`` = lines or receipts."""
     grouped = tx.groupBy("client_id", "shop").agg(
         F.max("transaction_date").alias("last_date"),
         F.countDistinct("doc_id").alias("frequency"),
         F.sum("purchase_amount").alias("monetary"),
     )
-    # max over groups of max per group == max over all receipts: one row.
-    today = grouped.agg(F.max("last_date").alias("current_dt"))
+    # "today" = newest date of all filtered receipts: a one-row aggregate.
+    today = tx.agg(F.max("transaction_date").alias("current_dt"))
     return with_one_row(grouped, today).select(
         "client_id",
         "shop",
@@ -305,6 +333,33 @@ def rfm_report(
     )
 
 
+@dataclass
+class Scoring:
+    """The shared front half of every RFM card.
+
+    ``receipts``, ``base`` and ``segments`` are persisted (memory, spilling to
+    disk): each is read by several branches of one plan (today's date, three
+    passes of the exact quartiles, ranks, weights, joins), and Catalyst prunes
+    those branches differently, so without persisting each branch would
+    re-scan and re-shuffle the receipt lines.  Lost blocks are recomputed from
+    lineage.  Call :meth:`unpersist` when done.
+    """
+
+    tx: DataFrame
+    receipts: DataFrame
+    base: DataFrame
+    thresholds: DataFrame
+    segments: DataFrame
+
+    def __iter__(self):
+        # (receipts, base, segments) unpacking for the operators.
+        return iter((self.receipts, self.base, self.segments))
+
+    def unpersist(self) -> None:
+        for df in (self.segments, self.base, self.receipts):
+            df.unpersist()
+
+
 def score(
     cheques: DataFrame,
     shops: DataFrame,
@@ -313,13 +368,20 @@ def score(
     shop_in=None,
     threshold_method: str = "exact",
     label: str = "ru",
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Convenience: (transactions, base, segments) for one set of filters.
-
-    ``segments`` carries the measures, ranks, code and group per (client, shop),
-    which is everything the value / lifecycle / average operators need."""
+    persist: bool = True,
+) -> Scoring:
+    """Receipts, (client, shop) measures, quartile thresholds and segments for
+    one set of dashboard filters.
+
+    ``segments`` carries the measures, ranks, code and group per (client, shop)
+    (and ``current_dt``), which is everything the value / lifecycle / average
+    operators need; ``receipts`` replaces the receipt lines for them.
+    """
+    level = StorageLevel.MEMORY_AND_DISK
+    keep = (lambda df: df.persist(level)) if persist else (lambda df: df)
     tx = transactions(cheques, shops, date_range=date_range, shop_in=shop_in)
-    base = rfm_base(tx)
+    rec = keep(receipts(tx))
+    base = keep(rfm_base(rec))
     thresholds = rfm_thresholds(base, method=threshold_method)
-    segments = rfm_segments(rfm_ranks(base, thresholds), label=label)
-    return tx, base, segments
+    segments = keep(rfm_segments(rfm_ranks(base, thresholds), label=label))
+    return Scoring(tx=tx, receipts=rec, base=base, thresholds=thresholds, segments=segments)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from segmenta.functions.joins import with_one_row
 from segmenta.operators.filters import apply_filters, in_predicate
+from segmenta.operators.rfm import as_receipts
 
 HIGH_VALUE = "High M + Good R/F"
 OTHER = "Other"
@@ -44,7 +45,7 @@ def ltv(tx: DataFrame, segments: DataFrame, *, rfm_group=None) -> DataFrame:
     *numbers* (1..12, years merged); revenue is weighted by the client's shop
     rows in that segment; the segment filter is ``IN``.
     """
-    per_client = tx.groupBy("client_id").agg(
+    per_client = as_receipts(tx).groupBy("client_id").agg(
         F.sum("purchase_amount").alias("amount"),
         F.countDistinct(F.month("transaction_date")).alias("active_month"),
     )
@@ -68,7 +69,7 @@ def seasonality_index(tx: DataFrame, segments: DataFrame, *, rfm_group=None) ->
     """month (1..12), seasonality_index = mean monthly revenue of that calendar
     month (over the (year, segment) combinations present) / mean of those
     monthly means, rounded to 2 decimals; sorted by month."""
-    per_client_month = tx.groupBy(
+    per_client_month = as_receipts(tx).groupBy(
         "client_id",
         F.year("transaction_date").alias("year"),
         F.month("transaction_date").alias("month"),
@@ -136,20 +137,28 @@ def segment_revenue_share(segments: DataFrame, *, rfm_group=None) -> DataFrame:
     )
 
 
-def kpi_cards(share: DataFrame) -> DataFrame:
-    """One row of dashboard totals over :func:`segment_revenue_share`:
-    high_value_share_percent, total_purchases, clients_count, total_revenue, avg_check."""
-    return share.agg(
-        F.sum(F.when(F.col("segment") == HIGH_VALUE, F.col("total_revenue"))).alias("_high"),
-        F.sum("total_revenue").alias("total_revenue"),
-        F.sum("total_purchases").cast("bigint").alias("total_purchases"),
-        F.sum("clients_count").cast("bigint").alias("clients_count"),
-    ).select(
-        F.round(F.lit(100.0) * F.coalesce(F.col("_high"), F.lit(0.0)) / F.col("total_revenue"), 2).alias(
-            "high_value_share_percent"
-        ),
+def kpi_cards(segments: DataFrame, *, rfm_group=None) -> DataFrame:
+    """One row of dashboard totals behind :func:`segment_revenue_share`:
+    high_value_share_percent, total_purchases, clients_count, total_revenue, avg_check.
+
+    A single global aggregate over the (client, shop) rows (partial per task,
+    one row out); money is summed in exact decimal and cast once at the end.
+    """
+    good = lambda c: F.col(c).isin(0, 1)
+    high = good("m_rank") & good("r_rank") & good("f_rank")
+    rows = apply_filters(segments, in_predicate("rfm_group", rfm_group))
+    totals = rows.agg(
+        F.sum(F.when(high, F.col("monetary"))).alias("_high"),
+        F.sum("monetary").alias("_revenue"),
+        F.sum("frequency").cast("bigint").alias("total_purchases"),
+        F.count(F.lit(1)).cast("bigint").alias("clients_count"),
+    )
+    revenue = F.col("_revenue").cast("double")
+    high_share = (F.expr("100.0") * F.coalesce(F.col("_high"), F.lit(0))).cast("double") / revenue
+    return totals.select(
+        F.round(high_share, 2).alias("high_value_share_percent"),
         "total_purchases",
         "clients_count",
-        "total_revenue",
-        (F.col("total_revenue") / F.col("clients_count")).alias("avg_check"),
+        revenue.alias("total_revenue"),
+        (revenue / F.col("clients_count")).alias("avg_check"),
     )

@@ -102,7 +102,7 @@ def q_segment_revenue_share(spark, sf_dir):
 
 def q_kpi_cards(spark, sf_dir):
     _, _, seg = _scored(spark, sf_dir)
-    return value.kpi_cards(value.segment_revenue_share(seg))
+    return value.kpi_cards(seg)
 
 
 # --- lifecycle (Q10-Q12, Q18) -----------------------------------------------

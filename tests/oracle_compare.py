@@ -35,6 +35,9 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+STRICT = os.environ.get("STRICT", "0") == "1"
+
+
 def _norm(v):
     if v is None:
         return None
@@ -44,7 +47,7 @@ def _norm(v):
         f = float(v)
         if math.isnan(f):
             return "nan"
-        return round(f, 6) + 0.0
+        return (f if STRICT else round(f, 6)) + 0.0
     if isinstance(v, _dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, _dt.date):
