@@ -4,39 +4,42 @@ holding all distinct values.
 Spark's built-in ``percentile`` is exact but merges a value->count map of the
 whole column in one final task; memory grows with the number of distinct
 values, which is unbounded for money amounts.  This module narrows first and
-ranks exactly second:
-
-1. ``percentile_approx`` (bounded sketch, relative rank error 1/accuracy) gives,
-   for every requested probability p, a bracket [lo, hi] of values whose ranks
-   surround the two ranks p*(n-1) needs (floor and ceil).
-2. One distributed aggregation counts the rows below ``lo`` and inside the
-   bracket.  If the bracket does not contain both ranks (the sketch's bound
-   failed) the bracket is widened to the whole column, so the answer stays exact.
-3. Only the rows inside a bracket are grouped to (value, count) and ranked with a
-   running sum per (measure, probability); the bracket holds about
-   ``6 * n / accuracy`` rows, independent of skew in the values.
-4. Linear interpolation between the two ranked values.
-
-Everything is lazy; the result is a one-row DataFrame that callers attach with
-a broadcast cross join.
+ranks exactly second.  After a count per measure, if a measure has at most
+``single_task_max_values`` values the built-in exact ``percentile`` is used
+(its single final task then has a proven bound); beyond that, two distributed
+passes:
+
+1. per measure: row count and ``percentile_approx`` brackets (a bounded sketch
+   with rank error n/accuracy) around every requested probability p — the two
+   ranks PERCENTILE_CONT needs, floor and ceil of p*(n-1), lie inside;
+2. rows inside a bracket are grouped to (value, count); rows below it are
+   grouped into one NULL-valued count per (measure, p) that sorts first.  A
+   running sum per (measure, p) then gives every value's rank range, and the
+   rows holding the two ranks are kept.  Each window holds about
+   ``6 * n / accuracy`` rows, however skewed the values are.  A bracket that
+   misses a needed rank (the sketch's bound failed) is redone over the whole
+   column, so the answer stays exact.
+
+Only bounded results reach the driver: the brackets (two values per measure
+and probability) and the at most two ranked values per probability.
+The result is a one-row literal DataFrame that callers attach with a broadcast
+cross join, so downstream plans do not carry the quantile computation.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DEFAULT_ACCURACY = 100_000
-
-
-def _target_columns(measures: Sequence[str], probs: Sequence[float]) -> list[tuple[int, int, str, float]]:
-    out = []
-    for mi, m in enumerate(measures):
-        for pi, p in enumerate(probs):
-            out.append((mi, pi, m, float(p)))
-    return out
+DEFAULT_ACCURACY = 10_000
+# Up to this many non-NULL values per measure, Spark's exact ``percentile``
+# (whose final task keeps at most one entry per value) is used directly: the
+# count is checked first, so the single task's state has a proven bound.
+SINGLE_TASK_MAX_VALUES = 1_000_000
 
 
 def exact_percentiles(
@@ -45,113 +48,130 @@ def exact_percentiles(
     probs: Sequence[float] = (0.25, 0.5, 0.75),
     names: dict[tuple[str, float], str] | None = None,
     accuracy: int = DEFAULT_ACCURACY,
+    single_task_max_values: int = SINGLE_TASK_MAX_VALUES,
 ) -> DataFrame:
     """One row with ``PERCENTILE_CONT(p)`` of every measure, as doubles.
 
     ``measures`` maps a measure name to a column of ``df``; NULLs are ignored as
     in SQL.  Output columns are ``names[(measure, p)]`` or ``f"{measure}_p{p}"``.
-    An empty input gives one row of NULLs.
+    A measure without non-NULL values gives NULLs.
     """
-    measure_names = list(measures)
-    targets = _target_columns(measure_names, probs)
+    spark = df.sparkSession
     names = names or {}
+    measure_names = list(measures)
+    probs = [float(p) for p in probs]
     margin = 3.0 / accuracy
 
-    # Long form (m, v): one pipeline for all measures, keyed by measure index.
-    long = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("m"),
-                        (F.col(c) if isinstance(c, str) else c).cast("double").alias("v"),
-                    )
-                    for i, c in enumerate(measures.values())
-                ]
-            )
-        ).alias("x")
-    ).select("x.m", "x.v").where(F.col("v").isNotNull())
-
-    # 1. Count and approximate brackets per measure (bounded sketch, <= #measures rows).
-    bracket_probs = []
-    for p in probs:
-        bracket_probs += [max(0.0, p - margin), min(1.0, p + margin)]
-    stats = long.groupBy("m").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", bracket_probs, accuracy).alias("br"),
-    )
-    # Targets: one row per (measure, probability): ranks, fraction, bracket.
-    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    tgt = stats.select(
-        "m",
-        "n",
-        F.posexplode(probs_arr).alias("pi", "p"),
-        "br",
-    ).select(
-        "m",
-        "pi",
-        "n",
-        (F.col("p") * (F.col("n") - 1)).alias("h"),
-        F.element_at("br", F.col("pi") * 2 + 1).alias("lo_v"),
-        F.element_at("br", F.col("pi") * 2 + 2).alias("hi_v"),
-    ).select(
-        "m",
-        "pi",
-        "lo_v",
-        "hi_v",
-        F.floor("h").cast("bigint").alias("r_lo"),
-        F.ceil("h").cast("bigint").alias("r_hi"),
-        (F.col("h") - F.floor("h")).alias("frac"),
-    )
-    # tgt has at most len(measures) * len(probs) rows: broadcast is bounded.
-    tgt_b = F.broadcast(tgt)
-
-    # 2. Validate the brackets with one distributed count.
-    joined = long.join(tgt_b, "m")
-    checks = joined.groupBy("m", "pi").agg(
-        F.sum(F.when(F.col("v") < F.col("lo_v"), 1).otherwise(0)).alias("below"),
-        F.sum(F.when(F.col("v").between(F.col("lo_v"), F.col("hi_v")), 1).otherwise(0)).alias("inside"),
-    )
-    ok = (F.col("below") <= F.col("r_lo")) & (F.col("below") + F.col("inside") > F.col("r_hi"))
-    final_tgt = tgt.join(checks, ["m", "pi"]).select(
-        "m",
-        "pi",
-        "r_lo",
-        "r_hi",
-        "frac",
-        F.when(ok, F.col("lo_v")).alias("lo_b"),
-        F.when(ok, F.col("hi_v")).alias("hi_b"),
-        F.when(ok, F.col("below")).otherwise(F.lit(0)).alias("below"),
+    long = (
+        df.select(
+            F.explode(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(i).alias("m"),
+                            (F.col(c) if isinstance(c, str) else c).cast("double").alias("v"),
+                        )
+                        for i, c in enumerate(measures.values())
+                    ]
+                )
+            ).alias("x")
+        )
+        .select("x.m", "x.v")
+        .where(F.col("v").isNotNull())
     )
 
-    # 3. Rank exactly inside the brackets (NULL bracket = whole column).
-    in_bracket = (F.col("lo_b").isNull() | (F.col("v") >= F.col("lo_b"))) & (
-        F.col("hi_b").isNull() | (F.col("v") <= F.col("hi_b"))
-    )
+    def result(values: dict[tuple[int, int], float | None]) -> DataFrame:
+        row, fields = [], []
+        for mi, mname in enumerate(measure_names):
+            for pi, p in enumerate(probs):
+                fields.append(T.StructField(names.get((mname, p), f"{mname}_p{p}"), T.DoubleType(), True))
+                row.append(values.get((mi, pi)))
+        return spark.createDataFrame([tuple(row)], T.StructType(fields))
+
+    # Size check: non-NULL values per measure (one partial count per task).
+    counts = {r["m"]: r["n"] for r in long.groupBy("m").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    targets = []  # [t, m, p index, r_lo, r_hi, frac]
+    for mi in range(len(measure_names)):
+        n = counts.get(mi, 0)
+        if n == 0:
+            continue
+        for pi, p in enumerate(probs):
+            h = p * (n - 1)
+            targets.append([len(targets), mi, pi, math.floor(h), math.ceil(h), h - math.floor(h)])
+
+    def whole_column(tgts):
+        by_m: dict[int, list] = {}
+        for tg in tgts:
+            by_m.setdefault(tg[1], []).append(tg)
+        return [(mi, None, None, tg_list) for mi, tg_list in by_m.items()]
+
+    if max(counts.values(), default=0) <= single_task_max_values:
+        # Small: one window per measure over all its values (bounded by the count).
+        brackets = whole_column(targets)
+    else:
+        # Large: sketch brackets around every probability (bounded sketches).
+        bracket_probs: list[float] = []
+        for p in probs:
+            bracket_probs += [max(0.0, p - margin), min(1.0, p + margin)]
+        sketches = {
+            r["m"]: r["br"]
+            for r in long.groupBy("m").agg(F.percentile_approx("v", bracket_probs, accuracy).alias("br")).collect()
+        }
+        brackets = [(tg[1], sketches[tg[1]][2 * tg[2]], sketches[tg[1]][2 * tg[2] + 1], [tg]) for tg in targets]
+
+    values: dict[tuple[int, int], float | None] = {}
+    while brackets:
+        picks = _rank_in_brackets(long, brackets)
+        missed = []
+        for _mi, lo_v, _hi_v, tgts in brackets:
+            for t, mi, pi, r_lo, r_hi, frac in tgts:
+                a, b = picks.get((mi, r_lo)), picks.get((mi, r_hi))
+                if a is not None and b is not None:
+                    values[(mi, pi)] = a + frac * (b - a)
+                elif lo_v is not None:
+                    missed.append([t, mi, pi, r_lo, r_hi, frac])
+        # A sketch bound that missed a rank: redo those over the whole column.
+        brackets = whole_column(missed)
+    return result(values)
+
+
+def _rank_in_brackets(long: DataFrame, brackets: list) -> dict[tuple[int, int], float]:
+    """{(measure, rank): value} for the ranks each bracket was asked for and holds.
+
+    A bracket is (measure, lo, hi, targets); lo None = the whole column.  Rows
+    below a bracket collapse into one NULL-valued count that sorts first, so a
+    running sum over the bracket's (value, count) rows gives true ranks.
+    """
+    m, v = F.col("m"), F.col("v")
+    tags = []
+    for b, (mi, lo_v, hi_v, _t) in enumerate(brackets):
+        if lo_v is None:
+            tags.append(F.when(m == mi, F.struct(F.lit(b).alias("b"), v.alias("v"))))
+        else:
+            below = F.struct(F.lit(b).alias("b"), F.lit(None).cast("double").alias("v"))
+            tags.append(F.when((m == mi) & (v < lo_v), below))
+            tags.append(F.when((m == mi) & v.between(lo_v, hi_v), F.struct(F.lit(b).alias("b"), v.alias("v"))))
     hist = (
-        long.join(F.broadcast(final_tgt), "m")
-        .where(in_bracket)
-        .groupBy("m", "pi", "v")
+        long.select(F.explode(F.array(*tags)).alias("x"))
+        .where(F.col("x").isNotNull())
+        .groupBy("x.b", "x.v")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    w = Window.partitionBy("m", "pi").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = hist.withColumn("cum", F.sum("c").over(w)).join(F.broadcast(final_tgt), ["m", "pi"])
-    end = F.col("below") + F.col("cum")
-    start = end - F.col("c")
-    picks = ranked.groupBy("m", "pi").agg(
-        F.max(F.when((start <= F.col("r_lo")) & (F.col("r_lo") < end), F.col("v"))).alias("v_lo"),
-        F.max(F.when((start <= F.col("r_hi")) & (F.col("r_hi") < end), F.col("v"))).alias("v_hi"),
-        F.first("frac").alias("frac"),
+    w = Window.partitionBy("b").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    values = picks.select(
-        "m",
-        "pi",
-        (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("q"),
+    ranks_of = {b: sorted({r for tg in tgts for r in (tg[3], tg[4])}) for b, (_m, _l, _h, tgts) in enumerate(brackets)}
+    wanted = F.create_map(
+        *[x for b, rs in ranks_of.items() for x in (F.lit(b), F.array(*[F.lit(r).cast("bigint") for r in rs]))]
     )
-
-    # 4. Pivot the <= #targets rows to one row (global agg: always exactly one row).
-    cols = []
-    for mi, pi, m, p in targets:
-        name = names.get((m, p), f"{m}_p{p}")
-        cols.append(F.max(F.when((F.col("m") == mi) & (F.col("pi") == pi), F.col("q"))).alias(name))
-    return values.agg(*cols)
+    ranked = hist.select("b", "v", (F.sum("c").over(w) - F.col("c")).alias("start"), F.sum("c").over(w).alias("end"))
+    hit = F.exists(F.element_at(wanted, F.col("b")), lambda r: (F.col("start") <= r) & (r < F.col("end")))
+    rows = ranked.where(F.col("v").isNotNull() & hit).collect()
+    out: dict[tuple[int, int], float] = {}
+    for r in rows:
+        mi = brackets[r["b"]][0]
+        for rank in ranks_of[r["b"]]:
+            if r["start"] <= rank < r["end"]:
+                out[(mi, rank)] = r["v"]
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 # the oracle (DuckDB) runs in UTC, so date truncation must not shift days.
 BASE_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
