@@ -91,12 +91,14 @@ def lag_by_key(
     return out.drop("_chunk", "_rn", "_k", "_ck", "_prev_last", *[f"_lag_{c}" for c in cols])
 
 
-def replicate(df: DataFrame, count_col: str, *, block: int = 4096) -> DataFrame:
+def replicate(df: DataFrame, count_col: str, *, block: int = 4096, index_col: str | None = None) -> DataFrame:
     """Emit every row ``count_col`` times (then drop the column).
 
     Rows are first cut into blocks of at most ``block`` copies and the blocks are
     spread over the cluster, so a row with a huge count never makes one task
-    build a huge array or write all copies alone.
+    build a huge array or write all copies alone.  ``index_col`` keeps the copy
+    number (0-based), e.g. as a final sort tie-break so a range partitioner can
+    split runs of identical rows.
     """
     n = F.col(count_col)
     blocks = df.where(n > 0).withColumn(
@@ -105,6 +107,8 @@ def replicate(df: DataFrame, count_col: str, *, block: int = 4096) -> DataFrame:
     spread = blocks.repartition(*[F.col(c) for c in df.columns], F.col("_blk"))
     copies = spread.withColumn(
         "_i",
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(block).cast("bigint"), n - F.col("_blk") * block))),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(block).cast("bigint"), n - F.col("_blk") * block) - 1)),
     )
+    if index_col:
+        copies = copies.withColumn(index_col, F.col("_blk") * block + F.col("_i"))
     return copies.drop("_blk", "_i", count_col)

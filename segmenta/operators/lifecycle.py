@@ -80,21 +80,23 @@ def cohort_retention(tx: DataFrame, segments: DataFrame, *, rfm_group=None, publ
         .groupBy("cohort_month", "rfm_group", "months_after_first")
         .agg(F.count(F.lit(1)).alias("retained_users"))
     )
-    sizes = retained.where(F.col("months_after_first") == 0).select(
-        F.col("cohort_month").alias("_cm"),
-        F.col("rfm_group").alias("_g"),
-        F.col("retained_users").alias("cohort_users"),
+    # Cohort size = the offset-0 count of the same (cohort, segment): a window
+    # over the aggregated rows (at most one per month offset), not a self-join.
+    size_w = Window.partitionBy("cohort_month", "rfm_group")
+    cohort_users = F.max(F.when(F.col("months_after_first") == 0, F.col("retained_users"))).over(size_w)
+    out = (
+        retained.withColumn("cohort_users", cohort_users)
+        .where(F.col("cohort_users").isNotNull())
+        .select(
+            "cohort_month",
+            "rfm_group",
+            F.col("retained_users").cast("bigint").alias("retained_users"),
+            F.col("cohort_users").cast("bigint").alias("cohort_users"),
+            ratio(F.least("retained_users", "cohort_users"), "cohort_users", 2).alias("retention_rate"),
+            "months_after_first",
+        )
+        .orderBy("cohort_month", "months_after_first", "rfm_group")
     )
-    out = retained.join(
-        sizes, (F.col("cohort_month") == F.col("_cm")) & (F.col("rfm_group") == F.col("_g"))
-    ).select(
-        "cohort_month",
-        "rfm_group",
-        F.col("retained_users").cast("bigint").alias("retained_users"),
-        F.col("cohort_users").cast("bigint").alias("cohort_users"),
-        ratio(F.least("retained_users", "cohort_users"), "cohort_users", 2).alias("retention_rate"),
-        "months_after_first",
-    ).orderBy("cohort_month", "months_after_first", "rfm_group")
     if published_columns:
         out = out.drop("months_after_first")
     return out
@@ -212,7 +214,12 @@ def churn_risk_segment(
         )
         .withColumn("churn_risk_segment", label)
     )
-    return replicate(rows, "_copies").orderBy(F.col("recency_days").desc_nulls_first())
+    # Full tie-break (down to the copy number) so the range-partitioned sort can
+    # split a run of equal ages instead of sending it to one task.
+    out = replicate(rows, "_copies", index_col="_copy").orderBy(
+        F.col("recency_days").desc_nulls_first(), "client_id", "rfm_group", "transaction_date", "_copy"
+    )
+    return out.drop("_copy")
 
 
 # ---------------------------------------------------------------------------

@@ -15,10 +15,9 @@ and only client-grain tables are joined.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmenta.functions.joins import with_one_row
 from segmenta.operators.filters import apply_filters, in_predicate
 from segmenta.operators.rfm import as_receipts
 
@@ -81,12 +80,12 @@ def seasonality_index(tx: DataFrame, segments: DataFrame, *, rfm_group=None) ->
         .agg(F.sum(F.col("amount") * F.col("k")).alias("total_amount"))
     )
     by_month = monthly.groupBy("month").agg(F.avg("total_amount").alias("avg_amount"))
-    overall = by_month.agg(F.avg("avg_amount").alias("overall_avg"))
-    index = F.round(F.col("avg_amount") / F.col("overall_avg"), 2).cast("double")
-    return (
-        with_one_row(by_month, overall)
-        .select(F.col("month").cast("int").alias("month"), index.alias("seasonality_index"))
-        .orderBy("month")
+    # At most 12 rows: the mean of the monthly means is a window over all of
+    # them (one tiny partition), so the monthly branch is computed once.
+    overall = F.avg("avg_amount").over(Window.partitionBy())
+    index = F.round(F.col("avg_amount") / overall, 2).cast("double")
+    return by_month.select(F.col("month").cast("int").alias("month"), index.alias("seasonality_index")).orderBy(
+        "month"
     )
 
 
@@ -115,16 +114,14 @@ def segment_revenue_share(segments: DataFrame, *, rfm_group=None) -> DataFrame:
         F.sum("monetary").alias("total_revenue"),
         F.sum("frequency").alias("total_purchases"),
     )
-    # <= 13 rows: a one-row total, broadcast, instead of SUM() OVER ().
-    total = grouped.agg(F.sum("total_revenue").alias("_all_revenue"))
+    # At most 2 x 13 grouped rows: the grand total is a window over all of them
+    # (one tiny partition), so the grouped branch is computed once.
+    all_revenue = F.sum("total_revenue").over(Window.partitionBy())
     revenue = F.col("total_revenue").cast("double")
     # 100 * revenue is exact in decimal; the quotient of two money sums is taken in double.
-    share = F.round(
-        (F.expr("100.0") * F.col("total_revenue")).cast("double") / F.col("_all_revenue").cast("double"), 2
-    )
+    share = F.round((F.expr("100.0") * F.col("total_revenue")).cast("double") / all_revenue.cast("double"), 2)
     return (
-        with_one_row(grouped, total)
-        .select(
+        grouped.select(
             "segment",
             "rfm_group",
             F.col("clients_count").cast("bigint").alias("clients_count"),
