@@ -3,7 +3,7 @@ print one JSON line {"metric", "value", "unit", "queries", "sf"}.
 
 Each card is executed in full through the ``noop`` sink (every row is
 produced, nothing is collected to the driver).  ``value`` is the sum of the
-per-card median times over $BENCH_RUNS runs (default 1).
+per-card median times over $BENCH_RUNS runs (default 3).
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     only = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k]
     keys = only or HEADLINE
 

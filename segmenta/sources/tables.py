@@ -26,21 +26,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+_SCHEMAS: dict[tuple, object] = {}
+
+
+def _schema_key(path: str) -> tuple:
+    try:
+        return (path, os.stat(path).st_mtime_ns)
+    except OSError:  # remote file systems: key on the path only
+        return (path, None)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, e.g. ``read_table(spark, '/root/testdata/sf0.01', 'orders')``.
 
-    Parquet splits at row-group boundaries; a file written as one row group is
-    read by one task whatever its size.  When the scan yields fewer splits
-    than the session's parallelism, the rows are hash-spread on ``spread_by``
-    (default: the first column, the table key) right after the scan, so the
-    work downstream runs in parallel.  Filters and column pruning still reach
-    the scan.  Large tables already have more splits than cores: unchanged.
+    The Parquet schema is inferred once per file (and file version) and then
+    passed explicitly, so repeated reads skip the footer-inference job.
     """
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    parallelism = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < parallelism:
-        df = df.repartition(parallelism, F.col(spread_by or df.columns[0]))
-    return df
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = _schema_key(path)
+    schema = _SCHEMAS.get(key)
+    if schema is None:
+        schema = spark.read.parquet(path).schema
+        _SCHEMAS[key] = schema
+    return spark.read.schema(schema).parquet(path)
 
 
 def require_columns(df: DataFrame, columns: Iterable[str], what: str = "input") -> DataFrame:
