@@ -26,6 +26,7 @@ FILTER_SHOPS = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 FILTER_GROUP = "Потенциальные лидеры"
 FILTER_GROUPS = ("Чемпионы", "Лояльные", "Спящие")
 FILTER_PARAM = "UTM_SOURCE=%"
+FILTER_STAT_PERIOD = ("2024-01-10", "2024-01-20")
 
 Card = Callable[[SparkSession, str], DataFrame]
 
@@ -237,6 +238,35 @@ def q_segment_revenue_share_filtered(spark, sf_dir):
     return value.segment_revenue_share(seg, rfm_group=FILTER_GROUP)
 
 
+def q_seasonality_index_filtered(spark, sf_dir):
+    """Segment filter inside the monthly sums (before both averages)."""
+    tx, _, seg = _scored(spark, sf_dir)
+    return value.seasonality_index(tx, seg, rfm_group=FILTER_GROUP)
+
+
+def q_cohort_retention_filtered(spark, sf_dir):
+    """Segment filter after the join, published five columns."""
+    tx, _, seg = _scored(spark, sf_dir, shop_in=FILTER_SHOPS)
+    return lifecycle.cohort_retention(tx, seg, rfm_group=FILTER_GROUP, published_columns=True)
+
+
+def q_churn_risk_segment_filtered(spark, sf_dir):
+    """Segment filter as an IN list."""
+    tx, _, seg = _scored(spark, sf_dir)
+    return lifecycle.churn_risk_segment(tx, seg, rfm_group=FILTER_GROUPS)
+
+
+def q_avg_recency_filtered(spark, sf_dir):
+    _, _, seg = _scored(spark, sf_dir, date_range=FILTER_DATE_RANGE)
+    return averages.avg_recency_by_segment(seg, rfm_group=FILTER_GROUP)
+
+
+def q_param_event_counts_period(spark, sf_dir):
+    """Period filter on the click-stream, applied before the fill."""
+    parsed = _parsed(spark, sf_dir, date_range=FILTER_STAT_PERIOD)
+    return attribution.param_event_counts(attribution.param_rows(attribution.attribution_fill(parsed)))
+
+
 # --- audiences (narrative N1, N2) -------------------------------------------
 
 
@@ -286,6 +316,11 @@ CARDS: dict[str, Card] = {
     "ltv_filtered": q_ltv_filtered,
     "churn_rate_filtered": q_churn_rate_filtered,
     "segment_revenue_share_filtered": q_segment_revenue_share_filtered,
+    "seasonality_index_filtered": q_seasonality_index_filtered,
+    "cohort_retention_filtered": q_cohort_retention_filtered,
+    "churn_risk_segment_filtered": q_churn_risk_segment_filtered,
+    "avg_recency_filtered": q_avg_recency_filtered,
+    "param_event_counts_period": q_param_event_counts_period,
     "campaign_audience": q_campaign_audience,
     "repeat_buyers": q_repeat_buyers,
 }

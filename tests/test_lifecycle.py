@@ -115,3 +115,12 @@ def test_registrations_bounds(spark):
     assert daily == [("1971-01-01", 1), ("2000-12-31", 1)]
     monthly = [(str(r.date_joined), r["count"]) for r in registrations.registrations_monthly(users).collect()]
     assert monthly == [("1970-12-01", 1), ("1971-01-01", 1), ("2000-12-01", 1), ("2001-01-01", 1)]
+
+
+def test_reference_titles(spark):
+    from segmenta.plans.titles import with_reference_titles
+
+    rows = [("c1", 1, "A", "2001-01-05", 10)]
+    seg = _seg(spark, [("c1", "A", "G")])
+    df = with_reference_titles(value.ltv(_tx(spark, rows), seg), "ltv")
+    assert df.columns == ["client_id", "выручка", "месяц", "среднегодовая выручка"]
