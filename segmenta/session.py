@@ -49,11 +49,13 @@ def get_spark(
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the checkpoint directory, setting one only when none is configured.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that setting
-    always wins.  Only when it is absent (local tests) is a scratch folder made.
+    always wins.  Only a local-mode session (tests) without it gets a scratch
+    folder; on a cluster nothing machine-local is ever set, and the directory
+    stays unset (no operator needs to checkpoint).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            return None
         configured = tempfile.mkdtemp(prefix="segmenta-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
