@@ -87,3 +87,17 @@ def test_funnel_missing_step_and_conversion_above_100(spark):
     ]
     assert funnel.param_funnel(steps, param="UTM_SOURCE=%").count() == 2
     assert funnel.param_funnel(steps, param="funnel=%").count() == 0
+
+
+def test_equal_timestamps_resolved_by_tiebreak(spark):
+    from pyspark.sql import functions as F
+
+    rows = [
+        (1, "enter_site", "2024-01-01 00:00:00", "?utm_source=a"),
+        (1, "open_page", "2024-01-01 00:00:00", None),  # same instant as the row above
+    ]
+    parsed = attribution.url_params(_stat(spark, rows)).withColumn(
+        "seq", F.when(F.col("event") == "enter_site", 0).otherwise(1)
+    )
+    filled = attribution.attribution_fill(parsed, tiebreak=("seq",)).collect()
+    assert {r.event: r.utm_source_filled for r in filled} == {"enter_site": "a", "open_page": "a"}

@@ -106,3 +106,29 @@ def test_empty_input(spark):
     th = sc.thresholds.collect()
     assert len(th) == 1 and all(v is None for v in th[0])
     sc.unpersist()
+
+
+def test_duplicate_shop_names_duplicate_receipts(spark):
+    tx = rfm.transactions(_cheques(spark, ROWS[:1]), _shops(spark, ("A", "A", "B")))
+    assert tx.count() == 2  # inner join, as in the reference
+
+
+def test_hot_client_with_a_third_of_all_receipts(spark):
+    # one client holds a third of the receipt lines, spread over many days
+    rows = []
+    for i in range(300):
+        rows.append(("2009999", 10_000 + i, "A" if i % 3 else "B", f"2020-{1 + i % 12:02d}-{1 + i % 28:02d} 10:00:00", i % 7 + 1))
+    for i in range(600):
+        rows.append((f"200{i % 50:03d}", i, "A", f"2020-{1 + i % 12:02d}-{1 + i % 28:02d} 09:00:00", i % 5 + 1))
+    sc = rfm.score(_cheques(spark, rows), _shops(spark))
+    base = {(r.client_id, r.shop): r for r in sc.base.collect()}
+    hot_a, hot_b = base[("2009999", "A")], base[("2009999", "B")]
+    assert hot_a.frequency == 200 and hot_b.frequency == 100
+    assert hot_a.monetary + hot_b.monetary == money(sum(i % 7 + 1 for i in range(300)))
+    from segmenta.operators import value
+
+    # one row per segment the client is in; revenues sum to (shop rows) x total
+    ltv_rows = value.ltv(sc.receipts, sc.segments).where(F.col("client_id") == "2009999").collect()
+    assert ltv_rows and all(r.active_month == 12 for r in ltv_rows)
+    assert sum(r.revenue for r in ltv_rows) == 2 * float(hot_a.monetary + hot_b.monetary)
+    sc.unpersist()
