@@ -11,7 +11,7 @@ from segmenta.functions.columns import (
     url_param,
     whole_weeks_between,
 )
-from segmenta.functions.joins import broadcast_if_small, with_one_row
+from segmenta.functions.joins import broadcast_if_small, literal, one_row
 from segmenta.functions.quantiles import exact_percentiles
 from segmenta.functions.sequence import lag_by_key, replicate
 
@@ -29,5 +29,6 @@ __all__ = [
     "replicate",
     "url_param",
     "whole_weeks_between",
-    "with_one_row",
+    "literal",
+    "one_row",
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Largest dimension broadcast after a row-count check; above it the join falls
@@ -21,12 +21,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
     return F.broadcast(df) if n <= max_rows else df
 
 
-def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row relation (a global aggregate) to every row.
+def one_row(df: DataFrame):
+    """The single row of a global aggregate (``df.agg(...)`` without keys).
 
-    ``one_row`` must come from a global ``agg`` without grouping keys, which
-    yields exactly one row by construction; broadcasting it is therefore
-    bounded and the join is a narrow BroadcastNestedLoopJoin, never a shuffle
-    of ``df``.
+    A global aggregate yields exactly one row by construction (partials per
+    task, one merge), so bringing it to the driver is bounded; callers put the
+    values back into plans as literals instead of joining a one-row relation.
     """
-    return df.crossJoin(F.broadcast(one_row))
+    rows = df.take(2)
+    if len(rows) != 1:
+        raise ValueError(f"expected exactly one row, got {len(rows)}")
+    return rows[0]
+
+
+def literal(value, data_type: str) -> Column:
+    """A typed literal column (typed NULL when ``value`` is None)."""
+    return F.lit(value).cast(data_type)

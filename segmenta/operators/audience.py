@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.functions.joins import with_one_row
+from segmenta.functions.joins import literal, one_row
 
 # ---------------------------------------------------------------------------
 # Fixed values (from the report's conclusion): segment -> recommended channel.
@@ -42,10 +42,8 @@ def repeat_buyers(tx: DataFrame, *, months: int = 6, min_purchases: int = 3) ->
     """client_id, purchases — clients with at least ``min_purchases`` distinct
     receipts in the last ``months`` months before the newest receipt date
     (window ``(newest - months, newest]``)."""
-    today = tx.agg(F.max("transaction_date").alias("_today"))
-    recent = with_one_row(tx, today).where(
-        F.col("transaction_date") > F.add_months(F.col("_today"), -months)
-    )
+    today = literal(one_row(tx.agg(F.max("transaction_date").alias("d")))["d"], "date")
+    recent = tx.where(F.col("transaction_date") > F.add_months(today, -months))
     return (
         recent.groupBy("client_id")
         .agg(F.countDistinct("doc_id").alias("purchases"))

@@ -24,7 +24,7 @@ from segmenta.functions.columns import (
     ratio,
     whole_weeks_between,
 )
-from segmenta.functions.joins import with_one_row
+from segmenta.functions.joins import literal, one_row
 from segmenta.functions.sequence import replicate
 from segmenta.operators.filters import apply_filters, in_predicate
 from segmenta.operators.rfm import as_receipts
@@ -194,17 +194,17 @@ def churn_risk_segment(
     join only sees calendar-bounded rows per client.
     """
     low, high = bounds
-    today = segments.agg(F.max("current_dt").alias("current_dt"))
+    today = literal(one_row(segments.agg(F.max("current_dt").alias("d")))["d"], "date")
     per_day = as_receipts(tx).groupBy("client_id", "transaction_date").agg(F.sum("lines").alias("rows"))
     weights = segment_weights(segments, rfm_group)
-    age = days_between("current_dt", "transaction_date")
+    age = days_between(today, "transaction_date")
     label = (
         F.when(F.col("recency_days") <= low, F.lit(RISK_LOW))
         .when(F.col("recency_days").between(low + 1, high), F.lit(RISK_MEDIUM))
         .otherwise(F.lit(RISK_HIGH))
     )
     rows = (
-        with_one_row(per_day.join(weights, "client_id"), today)
+        per_day.join(weights, "client_id")
         .select(
             "client_id",
             "rfm_group",

@@ -7,11 +7,11 @@ Grain: one row per (client, shop).  Plan shape at scale:
 * the shop dimension is broadcast only after a bounded row-count check;
 * (client, shop) measures are one hash aggregate; COUNT(DISTINCT doc_id) is split
   by doc_id first, so a client with a huge share of receipts is spread over tasks;
-* "today" (``current_dt``) is the max of the per-group last dates, a one-row
-  aggregate over the small grouped table, not a window over all receipts;
+* "today" (``current_dt``) is a global aggregate (partial per task) read back
+  as a literal, not a window over all receipts;
 * quartiles are exact and distributed (``functions.quantiles``);
-* ranks, code and segment name are narrow expressions on a broadcast one-row
-  threshold relation and a constant map: no join, no shuffle.
+* ranks, code and segment name are narrow expressions on the nine threshold
+  literals and a constant map: no join, no shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmenta.functions.columns import days_between
-from segmenta.functions.joins import DEFAULT_BROADCAST_MAX_ROWS, broadcast_if_small, with_one_row
+from segmenta.functions.joins import DEFAULT_BROADCAST_MAX_ROWS, broadcast_if_small, literal, one_row
 from segmenta.functions.quantiles import DEFAULT_ACCURACY, exact_percentiles
 from segmenta.operators.filters import apply_filters, date_range_predicate, in_predicate
 from segmenta.sources.tables import require_columns
@@ -131,8 +131,8 @@ def transactions(
         F.col("summ_with_disc").alias("purchase_amount"),
     )
     if with_current_dt:
-        today = tx.agg(F.max("transaction_date").alias("current_dt"))
-        tx = with_one_row(tx, today)
+        today = one_row(tx.agg(F.max("transaction_date").alias("current_dt")))["current_dt"]
+        tx = tx.withColumn("current_dt", literal(today, "date"))
     return tx
 
 
@@ -175,16 +175,17 @@ def rfm_base(tx: DataFrame) -> DataFrame:
         F.countDistinct("doc_id").alias("frequency"),
         F.sum("purchase_amount").alias("monetary"),
     )
-    # "today" = newest date of all filtered receipts: a one-row aggregate.
-    today = tx.agg(F.max("transaction_date").alias("current_dt"))
-    return with_one_row(grouped, today).select(
+    # "today" = newest date of all filtered receipts: a global aggregate
+    # (partial per task), brought back as a literal.
+    today = literal(one_row(tx.agg(F.max("transaction_date").alias("d")))["d"], "date")
+    return grouped.select(
         "client_id",
         "shop",
-        days_between("current_dt", "last_date").alias("recency"),
+        days_between(today, "last_date").alias("recency"),
         F.col("frequency").cast("bigint").alias("frequency"),
         "monetary",
         "last_date",
-        "current_dt",
+        today.alias("current_dt"),
     )
 
 
@@ -230,32 +231,36 @@ def rfm_thresholds(
 # ---------------------------------------------------------------------------
 
 
-def _rank(value: str, q25: str, q50: str, q75: str, best_low: bool):
+def _rank(value: str, q25, q50, q75, best_low: bool):
     v = F.col(value)
     ranks = (0, 1, 2, 3) if best_low else (3, 2, 1, 0)
+    t25, t50, t75 = (literal(q, "double") for q in (q25, q50, q75))
     # NULL compares unknown and falls through to the last branch, as in SQL CASE.
     return (
-        F.when(v <= F.col(q25), ranks[0])
-        .when(v <= F.col(q50), ranks[1])
-        .when(v <= F.col(q75), ranks[2])
+        F.when(v <= t25, ranks[0])
+        .when(v <= t50, ranks[1])
+        .when(v <= t75, ranks[2])
         .otherwise(ranks[3])
     )
 
 
 def rfm_ranks(base: DataFrame, thresholds: DataFrame) -> DataFrame:
     """0..3 per measure, 0 best: recency ascending, frequency and monetary inverted.
-    Keeps the measures so later operators need no join back."""
-    t = with_one_row(base, thresholds)
-    return t.select(
+    Keeps the measures so later operators need no join back.
+
+    ``thresholds`` is the one-row result of :func:`rfm_thresholds`; its nine
+    values enter the plan as literals (narrow, no join)."""
+    th = one_row(thresholds)
+    return base.select(
         "client_id",
         "shop",
         "recency",
         "frequency",
         "monetary",
         "current_dt",
-        _rank("recency", "r25", "recency_median", "r75", best_low=True).alias("r_rank"),
-        _rank("frequency", "f25", "frequency_median", "f75", best_low=False).alias("f_rank"),
-        _rank("monetary", "m25", "monetary_median", "m75", best_low=False).alias("m_rank"),
+        _rank("recency", th["r25"], th["recency_median"], th["r75"], best_low=True).alias("r_rank"),
+        _rank("frequency", th["f25"], th["frequency_median"], th["f75"], best_low=False).alias("f_rank"),
+        _rank("monetary", th["m25"], th["monetary_median"], th["m75"], best_low=False).alias("m_rank"),
     )
 
 
