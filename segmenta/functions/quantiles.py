@@ -49,12 +49,14 @@ def exact_percentiles(
     names: dict[tuple[str, float], str] | None = None,
     accuracy: int = DEFAULT_ACCURACY,
     single_task_max_values: int = SINGLE_TASK_MAX_VALUES,
+    counts: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row with ``PERCENTILE_CONT(p)`` of every measure, as doubles.
 
     ``measures`` maps a measure name to a column of ``df``; NULLs are ignored as
     in SQL.  Output columns are ``names[(measure, p)]`` or ``f"{measure}_p{p}"``.
-    A measure without non-NULL values gives NULLs.
+    A measure without non-NULL values gives NULLs.  ``counts`` (non-NULL values
+    per measure), when the caller already has them, saves the counting job.
     """
     spark = df.sparkSession
     names = names or {}
@@ -89,7 +91,10 @@ def exact_percentiles(
         return spark.createDataFrame([tuple(row)], T.StructType(fields))
 
     # Size check: non-NULL values per measure (one partial count per task).
-    counts = {r["m"]: r["n"] for r in long.groupBy("m").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if counts is not None:
+        counts = {mi: counts[name] for mi, name in enumerate(measure_names)}
+    else:
+        counts = {r["m"]: r["n"] for r in long.groupBy("m").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     targets = []  # [t, m, p index, r_lo, r_hi, frac]
     for mi in range(len(measure_names)):

@@ -166,29 +166,40 @@ def as_receipts(tx: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def rfm_base(tx: DataFrame) -> DataFrame:
-    """recency (days since the group's last purchase, against the newest date of
-    all filtered receipts), frequency (distinct receipts), monetary (sum, NULL
-    amounts skipped) per (client_id, shop).  ``tx`` = lines or receipts."""
-    grouped = tx.groupBy("client_id", "shop").agg(
+def _group_measures(tx: DataFrame) -> DataFrame:
+    """(client_id, shop, last_date, frequency, monetary): one hash aggregate."""
+    return tx.groupBy("client_id", "shop").agg(
         F.max("transaction_date").alias("last_date"),
-        F.countDistinct("doc_id").alias("frequency"),
+        F.countDistinct("doc_id").cast("bigint").alias("frequency"),
         F.sum("purchase_amount").alias("monetary"),
     )
-    # "today" = newest date of all filtered receipts: a global aggregate
-    # (partial per task), brought back as a literal.
-    today = literal(one_row(tx.agg(F.max("transaction_date").alias("d")))["d"], "date")
+
+
+def _with_today(grouped: DataFrame, today) -> DataFrame:
+    t = literal(today, "date")
     return grouped.select(
         "client_id",
         "shop",
-        days_between(today, "last_date").alias("recency"),
-        F.col("frequency").cast("bigint").alias("frequency"),
+        days_between(t, "last_date").alias("recency"),
+        "frequency",
         "monetary",
         "last_date",
-        today.alias("current_dt"),
+        t.alias("current_dt"),
     )
 
 
+def rfm_base(tx: DataFrame) -> DataFrame:
+    """recency (days since the group's last purchase, against the newest date of
+    all filtered receipts), frequency (distinct receipts), monetary (sum, NULL
+    amounts skipped) per (client_id, shop).  ``tx`` = lines or receipts.
+
+    "Today" is the max of the per-group last dates (= the newest receipt): a
+    global aggregate, partial per task, read back as a literal."""
+    grouped = _group_measures(tx)
+    today = one_row(grouped.agg(F.max("last_date").alias("d")))["d"]
+    return _with_today(grouped, today)
+
+
 # ---------------------------------------------------------------------------
 # Q03 rfm_thresholds
 # ---------------------------------------------------------------------------
@@ -200,9 +211,11 @@ def rfm_thresholds(
     probs=(0.25, 0.5, 0.75),
     method: str = "exact",
     accuracy: int = DEFAULT_ACCURACY,
+    counts: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row: r25, recency_median, r75, f25, frequency_median, f75, m25,
     monetary_median, m75 (continuous percentiles over all (client, shop) rows).
+    ``counts`` = non-NULL values per measure when already known.
 
     ``method='exact'`` (default) matches PERCENTILE_CONT; ``'approx'`` uses
     ``percentile_approx`` (one bounded sketch per measure, not interpolated).
@@ -215,7 +228,7 @@ def rfm_thresholds(
     if tuple(probs) != (0.25, 0.5, 0.75):
         raise ValueError("RFM thresholds are quartiles: probs must be (0.25, 0.5, 0.75)")
     if method == "exact":
-        return exact_percentiles(base, measures, probs, names=THRESHOLD_NAMES, accuracy=accuracy)
+        return exact_percentiles(base, measures, probs, names=THRESHOLD_NAMES, accuracy=accuracy, counts=counts)
     if method == "approx":
         cols = []
         for m, c in measures.items():
@@ -342,8 +355,8 @@ def rfm_report(
 class Scoring:
     """The shared front half of every RFM card.
 
-    ``receipts``, ``base`` and ``segments`` are persisted (memory, spilling to
-    disk): each is read by several branches of one plan (today's date, three
+    ``receipts``, the (client, shop) measures behind ``base`` and ``segments``
+    are persisted (memory, spilling to disk): each is read by several branches of one plan (today's date, three
     passes of the exact quartiles, ranks, weights, joins), and Catalyst prunes
     those branches differently, so without persisting each branch would
     re-scan and re-shuffle the receipt lines.  Lost blocks are recomputed from
@@ -355,14 +368,16 @@ class Scoring:
     base: DataFrame
     thresholds: DataFrame
     segments: DataFrame
+    grouped: DataFrame | None = None
 
     def __iter__(self):
         # (receipts, base, segments) unpacking for the operators.
         return iter((self.receipts, self.base, self.segments))
 
     def unpersist(self) -> None:
-        for df in (self.segments, self.base, self.receipts):
-            df.unpersist()
+        for df in (self.segments, self.grouped, self.receipts):
+            if df is not None:
+                df.unpersist()
 
 
 def score(
@@ -386,7 +401,18 @@ def score(
     keep = (lambda df: df.persist(level)) if persist else (lambda df: df)
     tx = transactions(cheques, shops, date_range=date_range, shop_in=shop_in)
     rec = keep(receipts(tx))
-    base = keep(rfm_base(rec))
-    thresholds = rfm_thresholds(base, method=threshold_method)
+    grouped = keep(_group_measures(rec))
+    # One global aggregate gives "today" and the value counts the exact
+    # quartiles need (recency and frequency are never NULL per group).
+    stats = one_row(
+        grouped.agg(
+            F.max("last_date").alias("today"),
+            F.count(F.lit(1)).alias("n"),
+            F.count("monetary").alias("n_monetary"),
+        )
+    )
+    base = _with_today(grouped, stats["today"])
+    counts = {"recency": stats["n"], "frequency": stats["n"], "monetary": stats["n_monetary"]}
+    thresholds = rfm_thresholds(base, method=threshold_method, counts=counts)
     segments = keep(rfm_segments(rfm_ranks(base, thresholds), label=label))
-    return Scoring(tx=tx, receipts=rec, base=base, thresholds=thresholds, segments=segments)
+    return Scoring(tx=tx, receipts=rec, base=base, thresholds=thresholds, segments=segments, grouped=grouped)
