@@ -401,7 +401,11 @@ def score(
     keep = (lambda df: df.persist(level)) if persist else (lambda df: df)
     tx = transactions(cheques, shops, date_range=date_range, shop_in=shop_in)
     rec = keep(receipts(tx))
-    grouped = keep(_group_measures(rec))
+    # Hash the (client, shop) table by client before persisting: it has at most
+    # one row per shop per client (no hot key), and every later join or
+    # aggregate keyed by client (report self-join, segment weights, per-client
+    # sums) then reads it without another exchange.
+    grouped = keep(_group_measures(rec).repartition("client_id"))
     # One global aggregate gives "today" and the value counts the exact
     # quartiles need (recency and frequency are never NULL per group).
     stats = one_row(
