@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _chunk_of(ts: str, chunk_seconds: int) -> Column:
@@ -46,9 +47,22 @@ def lag_by_key(
     """
     cols = list(columns)
     order_cols = [order, *tiebreak]
-    chunked = df.withColumn("_chunk", _chunk_of(order, chunk_seconds))
+    # NULL keys form one group.  The key is carried as (value-or-default, is-NULL)
+    # so windows, the chunk aggregate and the final join all hash on the same
+    # plain columns: the row side keeps its window partitioning through the
+    # join and only the small per-chunk side is shuffled.
+    key_type = df.schema[key].dataType
+    default = F.lit("") if isinstance(key_type, T.StringType) else F.lit(0).cast(key_type)
+    chunked = df.withColumns(
+        {
+            "_kv": F.coalesce(F.col(key), default),
+            "_kn": F.col(key).isNull(),
+            "_chunk": _chunk_of(order, chunk_seconds),
+        }
+    )
+    parts = ["_kv", "_kn", "_chunk"]
 
-    w_in = Window.partitionBy(key, "_chunk").orderBy(*order_cols)
+    w_in = Window.partitionBy(*parts).orderBy(*order_cols)
     before = w_in.rowsBetween(Window.unboundedPreceding, -1)
     inner = chunked.withColumn("_rn", F.row_number().over(w_in))
     for c in cols:
@@ -64,9 +78,9 @@ def lag_by_key(
         ]
     else:
         lasts = [F.max_by(F.col(c), order_struct).alias(c) for c in cols]
-    last_rows = chunked.groupBy(F.col(key).alias("_k"), "_chunk").agg(F.struct(*lasts).alias("_last"))
+    last_rows = chunked.groupBy(*parts).agg(F.struct(*lasts).alias("_last"))
 
-    w_chunks = Window.partitionBy("_k").orderBy("_chunk")
+    w_chunks = Window.partitionBy("_kv", "_kn").orderBy("_chunk")
     if ignore_nulls:
         upto = w_chunks.rowsBetween(Window.unboundedPreceding, -1)
         prev_last = F.struct(
@@ -74,21 +88,16 @@ def lag_by_key(
         )
     else:
         prev_last = F.lag("_last").over(w_chunks)
-    carried = last_rows.select("_k", F.col("_chunk").alias("_ck"), prev_last.alias("_prev_last"))
+    carried = last_rows.select(*parts, prev_last.alias("_prev_last"))
 
-    joined = inner.join(
-        carried,
-        F.col(key).eqNullSafe(F.col("_k")) & (F.col("_chunk") == F.col("_ck")),
-        "left",
-    )
-    out = joined
+    out = inner.join(carried, parts, "left")
     for c in cols:
         if ignore_nulls:
             value = F.coalesce(F.col(f"_lag_{c}"), F.col(f"_prev_last.{c}"))
         else:
             value = F.when(F.col("_rn") == 1, F.col(f"_prev_last.{c}")).otherwise(F.col(f"_lag_{c}"))
         out = out.withColumn(prefix + c, value)
-    return out.drop("_chunk", "_rn", "_k", "_ck", "_prev_last", *[f"_lag_{c}" for c in cols])
+    return out.drop(*parts, "_rn", "_prev_last", *[f"_lag_{c}" for c in cols])
 
 
 def replicate(df: DataFrame, count_col: str, *, block: int = 4096, index_col: str | None = None) -> DataFrame:
