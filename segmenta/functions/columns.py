@@ -61,10 +61,11 @@ def months_between_starts(later_month: Column | str, earlier_month: Column | str
 
 
 def whole_weeks_between(later_ts: Column | str, earlier_ts: Column | str) -> Column:
-    """``FLOOR(epoch seconds of (later - earlier) / 604800)`` with sub-second precision."""
-    delta = F.unix_micros(_col(later_ts).cast("timestamp")) - F.unix_micros(
-        _col(earlier_ts).cast("timestamp")
-    )
+    """``FLOOR(epoch seconds of (later - earlier) / 604800)`` with sub-second precision.
+
+    ``timestamp_diff`` works on the values themselves: for timestamp_ntz no
+    session time zone (and no daylight-saving hour) enters the difference."""
+    delta = F.timestamp_diff("MICROSECOND", _col(earlier_ts), _col(later_ts))
     return F.floor(delta / F.lit(MICROS_PER_WEEK)).cast("bigint")
 
 

@@ -22,8 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _chunk_of(ts: str, chunk_seconds: int) -> Column:
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+def _chunk_of(ts: str, chunk_seconds: int, ts_type: T.DataType) -> Column:
+    """Chunk number, monotone in the column's own ordering (no time-zone shift
+    for timestamp_ntz, so no daylight-saving gap can reorder chunks)."""
+    if isinstance(ts_type, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        micros = F.timestamp_diff("MICROSECOND", epoch, F.col(ts))
+    else:
+        micros = F.unix_micros(F.col(ts).cast("timestamp"))
     return F.floor(micros / F.lit(chunk_seconds * 1_000_000)).cast("bigint")
 
 
@@ -57,7 +63,7 @@ def lag_by_key(
         {
             "_kv": F.coalesce(F.col(key), default),
             "_kn": F.col(key).isNull(),
-            "_chunk": _chunk_of(order, chunk_seconds),
+            "_chunk": _chunk_of(order, chunk_seconds, df.schema[order].dataType),
         }
     )
     parts = ["_kv", "_kn", "_chunk"]

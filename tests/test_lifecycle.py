@@ -124,3 +124,16 @@ def test_reference_titles(spark):
     seg = _seg(spark, [("c1", "A", "G")])
     df = with_reference_titles(value.ltv(_tx(spark, rows), seg), "ltv")
     assert df.columns == ["client_id", "выручка", "месяц", "среднегодовая выручка"]
+
+
+def test_week_index_ignores_daylight_saving(spark):
+    # 7 days across the US spring-forward switch: week 1 in any session zone
+    from segmenta.functions.columns import whole_weeks_between
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(ts("2024-03-03 12:00:00"), ts("2024-03-10 12:00:00"))], "a timestamp_ntz, b timestamp_ntz")
+        assert df.select(whole_weeks_between("b", "a").alias("w")).first().w == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
