@@ -22,8 +22,8 @@ passes:
 
 Only bounded results reach the driver: the brackets (two values per measure
 and probability) and the at most two ranked values per probability.
-The result is a one-row literal DataFrame that callers attach with a broadcast
-cross join, so downstream plans do not carry the quantile computation.
+The result is a one-row local DataFrame; callers read its values back as
+literals, so downstream plans do not carry the quantile computation.
 """
 
 from __future__ import annotations
