@@ -355,8 +355,9 @@ def rfm_report(
 class Scoring:
     """The shared front half of every RFM card.
 
-    ``receipts``, the (client, shop) measures behind ``base`` and ``segments``
-    are persisted (memory, spilling to disk): each is read by several branches of one plan (today's date, three
+    ``receipts`` and the (client, shop) measures behind ``base`` and
+    ``segments`` are persisted (memory, spilling to disk): each is read by
+    several branches of one plan (today's date, three
     passes of the exact quartiles, ranks, weights, joins), and Catalyst prunes
     those branches differently, so without persisting each branch would
     re-scan and re-shuffle the receipt lines.  Lost blocks are recomputed from
@@ -375,7 +376,7 @@ class Scoring:
         return iter((self.receipts, self.base, self.segments))
 
     def unpersist(self) -> None:
-        for df in (self.segments, self.grouped, self.receipts):
+        for df in (self.grouped, self.receipts):
             if df is not None:
                 df.unpersist()
 
@@ -418,5 +419,7 @@ def score(
     base = _with_today(grouped, stats["today"])
     counts = {"recency": stats["n"], "frequency": stats["n"], "monetary": stats["n_monetary"]}
     thresholds = rfm_thresholds(base, method=threshold_method, counts=counts)
-    segments = keep(rfm_segments(rfm_ranks(base, thresholds), label=label))
+    # Segments are a narrow projection (ranks, code, name) of the persisted
+    # (client, shop) table: recomputed per branch instead of cached twice.
+    segments = rfm_segments(rfm_ranks(base, thresholds), label=label)
     return Scoring(tx=tx, receipts=rec, base=base, thresholds=thresholds, segments=segments, grouped=grouped)
