@@ -65,8 +65,10 @@ def cohort_retention(tx: DataFrame, segments: DataFrame, *, rfm_group=None, publ
     five columns, told apart only by order).
     """
     client_months = tx.select("client_id", month_start("transaction_date").alias("tx_month")).distinct()
-    first = client_months.groupBy("client_id").agg(F.min("tx_month").alias("cohort_month"))
-    offsets = client_months.join(first, "client_id").select(
+    # Cohort = first month of the client: a window over the client's distinct
+    # months (bounded by the calendar), so no aggregate-and-join-back.
+    cohort = F.min("tx_month").over(Window.partitionBy("client_id"))
+    offsets = client_months.withColumn("cohort_month", cohort).select(
         "client_id",
         "cohort_month",
         months_between_starts("tx_month", "cohort_month").alias("months_after_first"),
