@@ -59,8 +59,7 @@ def q_rfm_base(spark, sf_dir):
 
 
 def q_rfm_thresholds(spark, sf_dir):
-    _, base, _ = _scored(spark, sf_dir)
-    return rfm.rfm_thresholds(base)
+    return _scored(spark, sf_dir).thresholds
 
 
 def q_rfm_ranks(spark, sf_dir):
