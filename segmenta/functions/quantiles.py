@@ -83,12 +83,15 @@ def exact_percentiles(
     )
 
     def result(values: dict[tuple[int, int], float | None]) -> DataFrame:
-        row, fields = [], []
+        # An inline VALUES row is a local relation: reading it back needs no
+        # Spark job.  repr() of a float round-trips exactly through the D suffix.
+        cells, aliases = [], []
         for mi, mname in enumerate(measure_names):
             for pi, p in enumerate(probs):
-                fields.append(T.StructField(names.get((mname, p), f"{mname}_p{p}"), T.DoubleType(), True))
-                row.append(values.get((mi, pi)))
-        return spark.createDataFrame([tuple(row)], T.StructType(fields))
+                v = values.get((mi, pi))
+                cells.append("CAST(NULL AS DOUBLE)" if v is None else f"{float(v)!r}D")
+                aliases.append("`" + names.get((mname, p), f"{mname}_p{p}").replace("`", "``") + "`")
+        return spark.sql(f"SELECT * FROM VALUES ({', '.join(cells)}) AS t({', '.join(aliases)})")
 
     # Size check: non-NULL values per measure (one partial count per task).
     if counts is not None:
