@@ -244,8 +244,10 @@ def weekly_retention(entries: DataFrame, *, row_cap: int | None = None) -> DataF
     daily = entries.where(F.col("entry_at").isNotNull()).groupBy(
         "user_id", F.to_date("entry_at").alias("_day")
     ).agg(F.min("entry_at").alias("_lo"), F.max("entry_at").alias("_hi"))
-    first = daily.groupBy("user_id").agg(F.min("_lo").alias("first_visit"))
-    touched = daily.join(first, "user_id").select(
+    # First visit by a window over the user's days (bounded by the calendar),
+    # not an aggregate joined back.
+    daily = daily.withColumn("first_visit", F.min("_lo").over(Window.partitionBy("user_id")))
+    touched = daily.select(
         "user_id",
         month_start("first_visit").alias("cohort_month"),
         F.explode(
@@ -260,8 +262,11 @@ def weekly_retention(entries: DataFrame, *, row_cap: int | None = None) -> DataF
         .groupBy("cohort_month", "weeks_since_first")
         .agg(F.countDistinct("user_id").alias("active_users"))
     )
-    sizes = first.groupBy(month_start("first_visit").alias("cohort_month")).agg(
-        F.count(F.lit(1)).alias("cohort_size")
+    # Exactly one day per user starts at its first visit: one row per user.
+    sizes = (
+        daily.where(F.col("_lo") == F.col("first_visit"))
+        .groupBy(month_start("first_visit").alias("cohort_month"))
+        .agg(F.count(F.lit(1)).alias("cohort_size"))
     )
     out = (
         active.join(sizes, "cohort_month")
