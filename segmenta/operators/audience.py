@@ -38,11 +38,13 @@ def campaign_audience(segments: DataFrame, *, channels: dict[str, str] | None =
     )
 
 
-def repeat_buyers(tx: DataFrame, *, months: int = 6, min_purchases: int = 3) -> DataFrame:
+def repeat_buyers(tx: DataFrame, *, months: int = 6, min_purchases: int = 3, today=None) -> DataFrame:
     """client_id, purchases — clients with at least ``min_purchases`` distinct
     receipts in the last ``months`` months before the newest receipt date
-    (window ``(newest - months, newest]``)."""
-    today = literal(one_row(tx.agg(F.max("transaction_date").alias("d")))["d"], "date")
+    (window ``(newest - months, newest]``; ``today`` when already known)."""
+    if today is None:
+        today = one_row(tx.agg(F.max("transaction_date").alias("d")))["d"]
+    today = literal(today, "date")
     recent = tx.where(F.col("transaction_date") > F.add_months(today, -months))
     return (
         recent.groupBy("client_id")

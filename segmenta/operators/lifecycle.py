@@ -186,17 +186,21 @@ def churn_risk_segment(
     *,
     bounds: tuple[int, int] = (30, 90),
     rfm_group=None,
+    today=None,
 ) -> DataFrame:
     """client_id, rfm_group, transaction_date, recency_days, churn_risk_segment.
 
     One row per receipt row and per shop row of the client (the reference's
-    client-only join), age measured against the newest receipt date;
+    client-only join), age measured against the newest receipt date (``today``,
+    taken from the segments when not given);
     sorted by age, descending.  Receipt rows are first counted per
     (client, day) and the copies are re-emitted in spread-out blocks, so the
     join only sees calendar-bounded rows per client.
     """
     low, high = bounds
-    today = literal(one_row(segments.agg(F.max("current_dt").alias("d")))["d"], "date")
+    if today is None:  # newest receipt date, as carried by the segments
+        today = one_row(segments.agg(F.max("current_dt").alias("d")))["d"]
+    today = literal(today, "date")
     per_day = as_receipts(tx).groupBy("client_id", "transaction_date").agg(F.sum("lines").alias("rows"))
     weights = segment_weights(segments, rfm_group)
     age = days_between(today, "transaction_date")

@@ -370,6 +370,7 @@ class Scoring:
     thresholds: DataFrame
     segments: DataFrame
     grouped: DataFrame | None = None
+    today: object = None  # newest receipt date of the filtered set (datetime.date)
 
     def __iter__(self):
         # (receipts, base, segments) unpacking for the operators.
@@ -422,4 +423,12 @@ def score(
     # Segments are a narrow projection (ranks, code, name) of the persisted
     # (client, shop) table: recomputed per branch instead of cached twice.
     segments = rfm_segments(rfm_ranks(base, thresholds), label=label)
-    return Scoring(tx=tx, receipts=rec, base=base, thresholds=thresholds, segments=segments, grouped=grouped)
+    return Scoring(
+        tx=tx,
+        receipts=rec,
+        base=base,
+        thresholds=thresholds,
+        segments=segments,
+        grouped=grouped,
+        today=stats["today"],
+    )

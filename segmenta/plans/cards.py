@@ -119,8 +119,8 @@ def q_churn_rate(spark, sf_dir):
 
 
 def q_churn_risk_segment(spark, sf_dir):
-    tx, _, seg = _scored(spark, sf_dir)
-    return lifecycle.churn_risk_segment(tx, seg)
+    sc = _scored(spark, sf_dir)
+    return lifecycle.churn_risk_segment(sc.receipts, sc.segments, today=sc.today)
 
 
 def q_weekly_retention(spark, sf_dir):
@@ -251,8 +251,8 @@ def q_cohort_retention_filtered(spark, sf_dir):
 
 def q_churn_risk_segment_filtered(spark, sf_dir):
     """Segment filter as an IN list."""
-    tx, _, seg = _scored(spark, sf_dir)
-    return lifecycle.churn_risk_segment(tx, seg, rfm_group=FILTER_GROUPS)
+    sc = _scored(spark, sf_dir)
+    return lifecycle.churn_risk_segment(sc.receipts, sc.segments, rfm_group=FILTER_GROUPS, today=sc.today)
 
 
 def q_avg_recency_filtered(spark, sf_dir):
@@ -275,8 +275,8 @@ def q_campaign_audience(spark, sf_dir):
 
 
 def q_repeat_buyers(spark, sf_dir):
-    tx, _, _ = _scored(spark, sf_dir)
-    return audience.repeat_buyers(tx)
+    sc = _scored(spark, sf_dir)
+    return audience.repeat_buyers(sc.receipts, today=sc.today)
 
 
 CARDS: dict[str, Card] = {
