@@ -16,7 +16,7 @@ Grain: one row per (client, shop).  Plan shape at scale:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -351,26 +351,38 @@ def rfm_report(
     )
 
 
-@dataclass
 class Scoring:
     """The shared front half of every RFM card.
 
     ``receipts`` and the (client, shop) measures behind ``base`` and
     ``segments`` are persisted (memory, spilling to disk): each is read by
-    several branches of one plan (today's date, three
-    passes of the exact quartiles, ranks, weights, joins), and Catalyst prunes
-    those branches differently, so without persisting each branch would
-    re-scan and re-shuffle the receipt lines.  Lost blocks are recomputed from
-    lineage.  Call :meth:`unpersist` when done.
+    several branches of one plan (today's date, the exact quartiles, ranks,
+    weights, joins), and Catalyst prunes those branches differently, so
+    without persisting each branch would re-scan and re-shuffle the receipt
+    lines.  Lost blocks are recomputed from lineage.  ``thresholds`` and
+    ``segments`` are computed on first use only (cards that need neither skip
+    the quartile jobs).  Call :meth:`unpersist` when done.
     """
 
-    tx: DataFrame
-    receipts: DataFrame
-    base: DataFrame
-    thresholds: DataFrame
-    segments: DataFrame
-    grouped: DataFrame | None = None
-    today: object = None  # newest receipt date of the filtered set (datetime.date)
+    def __init__(self, tx, receipts, grouped, base, today, counts, threshold_method="exact", label="ru"):
+        self.tx = tx
+        self.receipts = receipts
+        self.grouped = grouped
+        self.base = base
+        self.today = today  # newest receipt date of the filtered set (datetime.date)
+        self._counts = counts
+        self._threshold_method = threshold_method
+        self._label = label
+
+    @cached_property
+    def thresholds(self) -> DataFrame:
+        return rfm_thresholds(self.base, method=self._threshold_method, counts=self._counts)
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        # A narrow projection (ranks, code, name) of the persisted (client,
+        # shop) table: recomputed per branch instead of cached twice.
+        return rfm_segments(rfm_ranks(self.base, self.thresholds), label=self._label)
 
     def __iter__(self):
         # (receipts, base, segments) unpacking for the operators.
@@ -378,8 +390,7 @@ class Scoring:
 
     def unpersist(self) -> None:
         for df in (self.grouped, self.receipts):
-            if df is not None:
-                df.unpersist()
+            df.unpersist()
 
 
 def score(
@@ -417,18 +428,14 @@ def score(
             F.count("monetary").alias("n_monetary"),
         )
     )
-    base = _with_today(grouped, stats["today"])
     counts = {"recency": stats["n"], "frequency": stats["n"], "monetary": stats["n_monetary"]}
-    thresholds = rfm_thresholds(base, method=threshold_method, counts=counts)
-    # Segments are a narrow projection (ranks, code, name) of the persisted
-    # (client, shop) table: recomputed per branch instead of cached twice.
-    segments = rfm_segments(rfm_ranks(base, thresholds), label=label)
     return Scoring(
         tx=tx,
         receipts=rec,
-        base=base,
-        thresholds=thresholds,
-        segments=segments,
         grouped=grouped,
+        base=_with_today(grouped, stats["today"]),
         today=stats["today"],
+        counts=counts,
+        threshold_method=threshold_method,
+        label=label,
     )

@@ -54,7 +54,7 @@ def q_transactions(spark, sf_dir):
 
 
 def q_rfm_base(spark, sf_dir):
-    _, base, _ = _scored(spark, sf_dir)
+    base = _scored(spark, sf_dir).base
     return _money(base.select("client_id", "shop", "recency", "frequency", "monetary"), "monetary")
 
 
