@@ -132,3 +132,18 @@ def test_hot_client_with_a_third_of_all_receipts(spark):
     assert ltv_rows and all(r.active_month == 12 for r in ltv_rows)
     assert sum(r.revenue for r in ltv_rows) == 2 * float(hot_a.monetary + hot_b.monetary)
     sc.unpersist()
+
+
+def test_approx_thresholds_stay_within_a_rank_band(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(f"200{i:04d}", i, "A", f"2020-{1 + i % 12:02d}-{1 + i % 28:02d} 10:00:00", round(rnd.uniform(1, 900), 2)) for i in range(2000)]
+    sc = rfm.score(_cheques(spark, rows), _shops(spark))
+    approx = rfm.rfm_thresholds(sc.base, method="approx").collect()[0]
+    values = sorted(float(r.monetary) for r in sc.base.select("monetary").collect())
+    n = len(values)
+    for name, p in (("m25", 0.25), ("monetary_median", 0.5), ("m75", 0.75)):
+        lo, hi = values[int((p - 0.02) * (n - 1))], values[int((p + 0.02) * (n - 1))]
+        assert lo <= approx[name] <= hi, (name, approx[name], lo, hi)
+    sc.unpersist()
