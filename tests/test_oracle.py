@@ -18,7 +18,7 @@ SF_DIR = os.environ.get("SEGMENTA_ORACLE_SF_DIR", "/root/testdata/sf0.001")
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data not present")
 def test_all_cards_match_oracle(spark):
     oracle_compare.STRICT = True
-    results = oracle_compare.compare(spark, SF_DIR, only=list(CARDS), verbose=False)
+    results = oracle_compare.compare(spark, SF_DIR, keys=list(CARDS), verbose=False)
     assert set(results) == set(CARDS)
     bad = {k: v for k, v in results.items() if not v.get("match")}
     assert not bad, bad
