@@ -5,7 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.llm import exact_dedup, secret_scan, sentencepiece_codec, sharding
+from segmenta.llm import (
+    exact_dedup,
+    fingerprints,
+    line_dedup,
+    minhash_dedup,
+    packing,
+    secret_scan,
+    sentencepiece_codec,
+    sharding,
+)
 from segmenta.llm.common import read_table
 
 
@@ -24,6 +33,21 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.codec_digests(docs, _model("piece_bpe_32k.model"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    names = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    return packing.pack(docs, *map(_model, names), public_tokenizers.PATTERN)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read_table(spark, sf_dir, "documents"))
+
+
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -32,5 +56,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op7_secret_scan, op9_sharding)}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_sentencepiece, op3_packing, op6_minhash_dedup, op7_secret_scan,
+    op8_line_dedup, op9_sharding, op10_fingerprints,
+)}
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
