@@ -11,6 +11,8 @@ from segmenta.llm import (
     line_dedup,
     minhash_dedup,
     packing,
+    pii,
+    quality_cnn,
     secret_scan,
     sentencepiece_codec,
     sharding,
@@ -44,6 +46,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -65,7 +75,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_sentencepiece, op3_packing, op6_minhash_dedup, op7_secret_scan,
-    op8_line_dedup, op9_sharding, op10_fingerprints,
+    op1_exact_dedup, op2_sentencepiece, op3_packing, op4_quality_cnn, op5_pii,
+    op6_minhash_dedup, op7_secret_scan, op8_line_dedup, op9_sharding, op10_fingerprints,
 )}
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
