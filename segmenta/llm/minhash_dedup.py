@@ -2,13 +2,15 @@
 
 1. A text's set of word shingles gives a signature: ``coordinates`` minima of independent hashes.
    Texts with the same set are one class, represented by one narrow row.
-2. Two sets of the wanted similarity agree in at least ``matches`` coordinates, but for a chance
-   of ``miss``.  So they agree in one of the first ``coordinates - matches + 1``: only these are
-   posted, each class under every (coordinate, value) pair of the prefix.
+2. Two sets of the wanted similarity differ in at most ``misses`` coordinates, but for a chance of
+   ``MISS``.  So they agree in one of any ``misses + 1`` blocks of coordinates: only that prefix of
+   blocks is posted, each class under the (coordinate, value) pairs of every block, a block being
+   as wide as the number of coordinates allows.
 3. Merging skips what is settled.  In every posting list one leader (another one each round)
    meets the members of other components; pairs with enough coinciding coordinates are confirmed
    on the full sets, and the components are merged.  After ``LEADER_ROUNDS`` rounds, the members
-   of a list that still lie in different components meet each other.  A group of near copies is
+   of a list that still lie in different components meet each other; a posting carries four bits
+   of every value, so that pairs with too few collisions never leave that join.  A group of near copies is
    thus joined through its leaders, without all of its pairs; pairs are left out only when both
    texts are known to be connected.
 4. Components are contracted by alternating large and small stars over component labels.
@@ -192,17 +194,45 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(joined.select("node", F.coalesce("root", "label").alias("label")), "labels")
 
 
+def _sketch(coordinates: int) -> Column:
+    """The lowest four bits of every coordinate, sixteen coordinates to a long."""
+
+    def packed(start: int) -> Column:
+        part = F.slice("sig", start + 1, 16)
+        return F.aggregate(part, F.lit(0).cast("long"), lambda word, v: F.shiftleft(word, 4).bitwiseOR(v.bitwiseAND(F.lit(15))))
+
+    return F.struct(*(packed(k).alias(f"w{k}") for k in range(0, coordinates, 16)))
+
+
+def _differing(a: str, b: str, coordinates: int) -> Column:
+    """In how many coordinates two sketches differ: at most as many as the signatures."""
+    total = F.lit(0)
+    for k in range(0, coordinates, 16):
+        x = F.col(f"{a}.w{k}").bitwiseXOR(F.col(f"{b}.w{k}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def _close(percent: int) -> Column:
+    """Whether the sizes of two sets allow the similarity."""
+    return F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+
+
 def _components(features: DataFrame, docs: DataFrame, words: int, percent: int, coordinates: int) -> DataFrame:
     """``class, label``: the component of every class that is linked with another one."""
     least = match_threshold(coordinates, percent / 100)
-    prefix = coordinates - least + 1
+    misses = coordinates - least
+    width = coordinates // (misses + 1)
     classes = features.where("class is not null").groupBy("class").agg(F.min("row").alias("row"))
     sigs = features.select("row", "key", "n_shingles", "sig")
     classes = materialize(classes.join(sigs, "row"), "classes")
 
-    posted = classes.select("row", F.posexplode(F.slice("sig", 1, prefix)).alias("k", "value")).select(
-        "row", F.xxhash64("k", "value").alias("list")
+    block = F.transform(
+        F.sequence(F.lit(0), F.lit(misses)), lambda k: F.xxhash64(k, F.slice("sig", k * width + 1, F.lit(width)))
     )
+    posted = classes.select("row", F.explode(block).alias("list"))
     shared = posted.groupBy("list").count().where("count > 1").select("list")
     postings = materialize(posted.join(shared, "list"), "postings")
 
@@ -221,10 +251,20 @@ def _components(features: DataFrame, docs: DataFrame, words: int, percent: int,
             pairs = members.join(mixed, "list").where("label != leader.label").select("leader.row", F.col("row").alias("other"))
             pairs = pairs.toDF("x", "y")
         else:
-            left = members.join(mixed.select("list"), "list")
-            right = left.select("list", F.col("row").alias("other"), F.col("label").alias("other_label"))
-            pairs = left.join(right, (left["list"] == right["list"]) & (F.col("row") < F.col("other")) & (F.col("label") != F.col("other_label")))
-            pairs = pairs.select(F.col("row").alias("x"), F.col("other").alias("y"))
+            sketched = classes.select("row", "n_shingles", _sketch(coordinates).alias("sketch"))
+            rest = materialize(members.join(mixed.select("list"), "list").join(sketched, "row"), "unsettled")
+            left, right = (
+                rest.select("list", *(F.col(c).alias(f"{c}_{side}") for c in ("row", "label", "sketch")), F.col("n_shingles").alias(f"n_{side}"))
+                for side in "ab"
+            )
+            met = (
+                (F.col("row_a") < F.col("row_b"))
+                & (F.col("label_a") != F.col("label_b"))
+                & _close(percent)
+                & (_differing("sketch_a", "sketch_b", coordinates) <= misses)
+            )
+            pairs = left.join(right, (left["list"] == right["list"]) & met)
+            pairs = pairs.select(F.col("row_a").alias("x"), F.col("row_b").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
@@ -232,7 +272,7 @@ def _components(features: DataFrame, docs: DataFrame, words: int, percent: int,
         two = classes.select(F.col("row").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
         near = (
             pairs.join(one, "a").join(two, "b")
-            .where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
+            .where(_close(percent))
             .where(_matches("sig_a", "sig_b") >= least)
             .select("a", "b")
         )
