@@ -8,6 +8,8 @@ cast to double for output.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def url_param(url: Column | str, key: str, exact_key: bool = False) -> Column:
     ``(?s)`` lets ``.`` cross line breaks as in the reference's regex dialect.
     """
     anchor = "(?:^|[?&])" if exact_key else ""
-    pattern = f"(?s).*{anchor}{key}=([^&]+)"
+    pattern = f"(?s).*{anchor}{re.escape(key)}=([^&]+)"
     return F.nullif(F.regexp_extract(_col(url), pattern, 1), F.lit(""))
 
 

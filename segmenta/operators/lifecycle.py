@@ -238,14 +238,15 @@ def weekly_retention(entries: DataFrame, *, row_cap: int | None = None) -> DataF
 
     Cohort = month of the user's first entry; week index = whole weeks (exact,
     sub-second) since that first entry; percent of the cohort active in that
-    exact week, weeks > 0 only; sorted by cohort then week.
+    exact week, weeks > 0 only; sorted by cohort then week.  Entries without a
+    user or a time do not count.
 
     Entries are first reduced to (user, day) min/max: a day is shorter than a
     week, so the weeks a user touches on a day are exactly those of that day's
     first and last entry.  ``row_cap`` reproduces the dashboard export cap
     (1,048,575) when set; by default the result is whole.
     """
-    daily = entries.where(F.col("entry_at").isNotNull()).groupBy(
+    daily = entries.where(F.col("entry_at").isNotNull() & F.col("user_id").isNotNull()).groupBy(
         "user_id", F.to_date("entry_at").alias("_day")
     ).agg(F.min("entry_at").alias("_lo"), F.max("entry_at").alias("_hi"))
     # First visit by a window over the user's days (bounded by the calendar),

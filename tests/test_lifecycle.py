@@ -137,3 +137,13 @@ def test_week_index_ignores_daylight_saving(spark):
         assert df.select(whole_weeks_between("b", "a").alias("w")).first().w == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_weekly_retention_ignores_entries_without_user(spark):
+    from segmenta.operators.lifecycle import weekly_retention
+
+    rows = [(1, "2024-01-01 10:00:00"), (1, "2024-01-08 11:00:00"), (2, "2024-01-02 10:00:00")]
+    rows += [(None, "2024-01-01 00:00:00"), (None, "2024-01-22 10:00:00"), (1, None)]
+    entries = spark.createDataFrame(rows, "user_id int, entry_at string").selectExpr("user_id", "cast(entry_at AS timestamp_ntz) entry_at")
+    out = weekly_retention(entries).collect()
+    assert [(r.weeks_since_first, float(r.retention_percent)) for r in out] == [(1, 50.0)]
