@@ -6,13 +6,16 @@
    ``MISS``.  So they agree in one of any ``misses + 1`` blocks of coordinates: only that prefix of
    blocks is posted, each class under the (coordinate, value) pairs of every block, a block being
    as wide as the number of coordinates allows.
-3. Merging skips what is settled.  In every posting list one leader (another one each round)
-   meets the members of other components; pairs with enough coinciding coordinates are confirmed
-   on the full sets, and the components are merged.  After ``LEADER_ROUNDS`` rounds, the members
-   of a list that still lie in different components meet each other; a posting carries four bits
-   of every value, so that pairs with too few collisions never leave that join.  A group of near copies is
-   thus joined through its leaders, without all of its pairs; pairs are left out only when both
-   texts are known to be connected.
+3. Merging skips what is settled.  In every posting list one leader meets the members of other
+   components: first the class with the longest lists in all, which is the most central one of a
+   group of near copies, then another one each round.  Of the leaders that a member matches, the
+   best one is confirmed on the full sets, and the components are merged.  After ``LEADER_ROUNDS``
+   rounds, the members of a list that still lie in different components meet each other; pairs
+   are left out only when both texts are known to be connected.
+   Two bounds keep pairs from leaving a join: four bits of every coordinate give at least the
+   number of its collisions, and the parity sketch (a bit flipped by every shingle) of two sets
+   differs in at most as many bits as the sets differ in shingles.  The second one never
+   rejects a link, and rejects nearly all other pairs of texts of up to some thousand words.
 4. Components are contracted by alternating large and small stars over component labels.
 
 Texts are read once for the signatures and once for the classes on shared posting lists.  Hot lists,
@@ -44,6 +47,7 @@ LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 COORDINATES = 48
 MISS = 1e-5
 LEADER_ROUNDS = 3
+PARITY_WORDS = 16  # 1,024 bits
 BLOCK = 1 << 12
 U64 = np.uint64
 FACTORS = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
@@ -90,29 +94,37 @@ def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     return out
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """``PARITY_WORDS`` longs; every shingle flips one bit."""
+    flips = np.bincount((shingles % U64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
 def _key() -> Column:
     """Identifies a document by its content, whatever the order of a scan."""
     return F.xxhash64(F.col("doc_id"), F.lit(0), F.col("text")).alias("key")
 
 
 def _features(docs: DataFrame, words: int, coordinates: int, carried: list[str]) -> DataFrame:
-    """``row``, the carried columns, ``n_shingles``, ``class`` and ``sig`` of every row."""
-    added = "n_shingles long, class string, sig array<long>"
+    """``row``, the carried columns, ``n_shingles``, ``class``, ``sig`` and ``parity`` of every row."""
+    added = "n_shingles long, class string, sig array<long>, parity array<long>"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), _key(), *carried, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, sigs = [], [], []
+            sizes, classes, sigs, parities = [], [], [], []
             for text in batch.column("text"):
                 shingles = shingle_set(text.as_py(), words)
                 sizes.append(len(shingles))
                 some = len(shingles) > 0
                 classes.append(xxhash.xxh3_128_hexdigest(shingles.tobytes()) if some else None)
                 sigs.append(signature(shingles, coordinates).view(np.int64) if some else None)
+                parities.append(parity_sketch(shingles) if some else None)
             kept = [n for n in batch.schema.names if n != "text"]
-            made = [pa.array(sizes, pa.int64()), pa.array(classes, pa.string()), pa.array(sigs, pa.list_(pa.int64()))]
+            longs = pa.list_(pa.int64())
+            made = [pa.array(sizes, pa.int64()), pa.array(classes, pa.string()), pa.array(sigs, longs), pa.array(parities, longs)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in kept), *made], [*kept, "n_shingles", "class", "sig"]
+                [*(batch.column(n) for n in kept), *made], [*kept, "n_shingles", "class", "sig", "parity"]
             )
 
     from pyspark.sql.types import StructType
@@ -183,7 +195,7 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (``node, label``) after the links between nodes."""
+    """``labels`` (``node, label, degree``) after the links between nodes."""
     by_label = (
         links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
         .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
@@ -191,7 +203,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     )
     roots = connected(by_label)
     joined = labels.join(roots.withColumnRenamed("node", "label"), "label", "left")
-    return materialize(joined.select("node", F.coalesce("root", "label").alias("label")), "labels")
+    return materialize(joined.select("node", F.coalesce("root", "label").alias("label"), "degree"), "labels")
 
 
 def _sketch(coordinates: int) -> Column:
@@ -215,6 +227,18 @@ def _differing(a: str, b: str, coordinates: int) -> Column:
     return total
 
 
+def _parity() -> Column:
+    return F.struct(*(F.get("parity", F.lit(k)).alias(f"w{k}") for k in range(PARITY_WORDS)))
+
+
+def _within(percent: int) -> Column:
+    """Whether two sets may differ in as many shingles as their parity sketches prove."""
+    differing = F.lit(0)
+    for k in range(PARITY_WORDS):
+        differing = differing + F.bit_count(F.col(f"parity_a.w{k}").bitwiseXOR(F.col(f"parity_b.w{k}")))
+    return F.lit(100 + percent) * differing <= F.lit(100 - percent) * (F.col("n_a") + F.col("n_b"))
+
+
 def _close(percent: int) -> Column:
     """Whether the sizes of two sets allow the similarity."""
     return F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
@@ -226,57 +250,59 @@ def _components(features: DataFrame, docs: DataFrame, words: int, percent: int,
     misses = coordinates - least
     width = coordinates // (misses + 1)
     classes = features.where("class is not null").groupBy("class").agg(F.min("row").alias("row"))
-    sigs = features.select("row", "key", "n_shingles", "sig")
+    sigs = features.select("row", "key", "n_shingles", "sig", _parity().alias("parity"))
     classes = materialize(classes.join(sigs, "row"), "classes")
 
     block = F.transform(
         F.sequence(F.lit(0), F.lit(misses)), lambda k: F.xxhash64(k, F.slice("sig", k * width + 1, F.lit(width)))
     )
     posted = classes.select("row", F.explode(block).alias("list"))
-    shared = posted.groupBy("list").count().where("count > 1").select("list")
+    shared = posted.groupBy("list").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     postings = materialize(posted.join(shared, "list"), "postings")
 
-    nodes = postings.select(F.col("row").alias("node")).distinct()
-    labels = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
-    wanted = classes.join(nodes.withColumnRenamed("node", "row"), "row").select("row", "key")
+    nodes = postings.groupBy(F.col("row").alias("node")).agg(F.sum("length").alias("degree"))
+    labels = materialize(nodes.select("node", F.col("node").alias("label"), "degree"), "labels")
+    wanted = classes.join(labels.select(F.col("node").alias("row")), "row").select("row", "key")
     texts = materialize(docs.select(_key(), "text").join(wanted, "key").select("row", "text"), "texts")
     seen = None
     for turn in range(LEADER_ROUNDS + 1):
-        members = postings.join(labels.withColumnRenamed("node", "row"), "row")
+        members = postings.drop("length").join(labels.withColumnRenamed("node", "row"), "row")
+        order = F.xxhash64("row", F.lit(turn)) if turn else F.struct(-F.col("degree"), F.col("row"))
         mixed = members.groupBy("list").agg(
             F.min("label").alias("low"), F.max("label").alias("high"),
-            F.min_by(F.struct("row", "label"), F.xxhash64("row", F.lit(turn))).alias("leader"),
+            F.min_by(F.struct("row", "label"), order).alias("leader"),
         ).where("low < high")
         if turn < LEADER_ROUNDS:
             pairs = members.join(mixed, "list").where("label != leader.label").select("leader.row", F.col("row").alias("other"))
             pairs = pairs.toDF("x", "y")
         else:
-            sketched = classes.select("row", "n_shingles", _sketch(coordinates).alias("sketch"))
+            sketched = classes.select("row", "n_shingles", "parity", _sketch(coordinates).alias("sketch"))
             rest = materialize(members.join(mixed.select("list"), "list").join(sketched, "row"), "unsettled")
             left, right = (
-                rest.select("list", *(F.col(c).alias(f"{c}_{side}") for c in ("row", "label", "sketch")), F.col("n_shingles").alias(f"n_{side}"))
+                rest.select("list", *(F.col(c).alias(f"{c}_{side}") for c in ("row", "label", "sketch", "parity")), F.col("n_shingles").alias(f"n_{side}"))
                 for side in "ab"
             )
             met = (
                 (F.col("row_a") < F.col("row_b"))
                 & (F.col("label_a") != F.col("label_b"))
                 & _close(percent)
+                & _within(percent)
                 & (_differing("sketch_a", "sketch_b", coordinates) <= misses)
             )
             pairs = left.join(right, (left["list"] == right["list"]) & met)
             pairs = pairs.select(F.col("row_a").alias("x"), F.col("row_b").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = pairs.distinct().select("x", "y", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        one = classes.select(F.col("row").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
-        two = classes.select(F.col("row").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
-        near = (
-            pairs.join(one, "a").join(two, "b")
-            .where(_close(percent))
-            .where(_matches("sig_a", "sig_b") >= least)
-            .select("a", "b")
+        one, two = (
+            classes.select(F.col("row").alias(side), F.col("n_shingles").alias(f"n_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("sig", "parity")))
+            for side in "ab"
         )
-        near = materialize(near, "candidates")
+        near = pairs.join(one, "a").join(two, "b").where(_close(percent)).where(_within(percent))
+        near = near.select("a", "b", "x", "y", _matches("sig_a", "sig_b").alias("matches")).where(F.col("matches") >= least)
+        if turn < LEADER_ROUNDS:  # of each member's leaders the best one; the others meet it again while unsettled
+            near = near.groupBy("y").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "x")).alias("best")).select("best.*")
+        near = materialize(near.select("a", "b").distinct(), "candidates")
         if near.isEmpty():
             if turn < LEADER_ROUNDS:
                 continue
@@ -294,7 +320,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, coordinates: int, carrie
     classes = features.where("class is not null").groupBy("class").agg(F.min("row").alias("first"))
     labels = _components(features, rows.select("doc_id", "text"), words, percent, coordinates)
     labels = classes.join(labels, "class", "left").select("class", F.coalesce("label", "first").alias("label"))
-    return features.drop("sig").join(labels, "class", "left")
+    return features.drop("sig", "parity").join(labels, "class", "left")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
