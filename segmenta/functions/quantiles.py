@@ -1,29 +1,21 @@
-"""Exact continuous percentiles (``PERCENTILE_CONT``) computed without a single task
-holding all distinct values.
-
-Spark's built-in ``percentile`` is exact but merges a value->count map of the
-whole column in one final task; memory grows with the number of distinct
-values, which is unbounded for money amounts.  This module narrows first and
-ranks exactly second.  After a count per measure, if a measure has at most
-``single_task_max_values`` values the built-in exact ``percentile`` is used
-(its single final task then has a proven bound); beyond that, two distributed
-passes:
-
-1. per measure: row count and ``percentile_approx`` brackets (a bounded sketch
-   with rank error n/accuracy) around every requested probability p — the two
-   ranks PERCENTILE_CONT needs, floor and ceil of p*(n-1), lie inside;
-2. rows inside a bracket are grouped to (value, count); rows below it are
-   grouped into one NULL-valued count per (measure, p) that sorts first.  A
-   running sum per (measure, p) then gives every value's rank range, and the
-   rows holding the two ranks are kept.  Each window holds about
-   ``6 * n / accuracy`` rows, however skewed the values are.  A bracket that
-   misses a needed rank (the sketch's bound failed) is redone over the whole
-   column, so the answer stays exact.
-
-Only bounded results reach the driver: the brackets (two values per measure
-and probability) and the at most two ranked values per probability.
-The result is a one-row local DataFrame; callers read its values back as
-literals, so downstream plans do not carry the quantile computation.
+"""Exact continuous percentiles (``PERCENTILE_CONT``) without a task that holds a whole column.
+
+Spark's built-in ``percentile`` is exact but merges a value->count map of the column in one final
+task, and money amounts have an unbounded number of distinct values.  Here one path serves every
+size: narrow, then rank.
+
+1. Narrowing.  ``percentile_approx`` (a bounded sketch) gives ``GRID`` steps over the values inside
+   a target's bracket, at first the whole column; the steps around the wanted ranks, floor and
+   ceil of p*(n-1), become the new bracket, about a hundredth of the old one.  This is repeated
+   until a bracket is expected to hold at most ``window_values`` values, or shrinks no more
+   because most of its rows share the values at its ends.
+2. Ranking.  Rows inside a bracket are grouped to (value, count), rows below it to one NULL-valued
+   count that sorts first; a running sum gives every value's rank range.  A bracket that misses
+   its ranks starts anew with a wider margin, so the answer stays exact.
+
+Only bounded results reach the driver: the steps of each bracket and at most two values per target.
+The result is a one-row DataFrame; callers read its values back as literals, so downstream plans do
+not carry the quantile computation.
 """
 
 from __future__ import annotations
@@ -36,10 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_ACCURACY = 10_000
-# Up to this many non-NULL values per measure, Spark's exact ``percentile``
-# (whose final task keeps at most one entry per value) is used directly: the
-# count is checked first, so the single task's state has a proven bound.
-SINGLE_TASK_MAX_VALUES = 1_000_000
+GRID = 512
+WINDOW_VALUES = 100_000  # values that one ranking window is expected to hold at most
 
 
 def exact_percentiles(
@@ -48,7 +38,7 @@ def exact_percentiles(
     probs: Sequence[float] = (0.25, 0.5, 0.75),
     names: dict[tuple[str, float], str] | None = None,
     accuracy: int = DEFAULT_ACCURACY,
-    single_task_max_values: int = SINGLE_TASK_MAX_VALUES,
+    window_values: int = WINDOW_VALUES,
     counts: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row with ``PERCENTILE_CONT(p)`` of every measure, as doubles.
@@ -62,7 +52,6 @@ def exact_percentiles(
     names = names or {}
     measure_names = list(measures)
     probs = [float(p) for p in probs]
-    margin = 3.0 / accuracy
 
     long = (
         df.select(
@@ -84,88 +73,98 @@ def exact_percentiles(
 
     def result(values: dict[tuple[int, int], float | None]) -> DataFrame:
         # An inline VALUES row is a local relation: reading it back needs no
-        # Spark job.  repr() of a float round-trips exactly through the D suffix.
+        # Spark job.  repr() of a finite float round-trips exactly through the D suffix.
         cells, aliases = [], []
         for mi, mname in enumerate(measure_names):
             for pi, p in enumerate(probs):
                 v = values.get((mi, pi))
-                cells.append("CAST(NULL AS DOUBLE)" if v is None else f"{float(v)!r}D")
+                finite = v is not None and math.isfinite(v)
+                cells.append(f"{float(v)!r}D" if finite else f"CAST({'NULL' if v is None else repr(str(v))} AS DOUBLE)")
                 aliases.append("`" + names.get((mname, p), f"{mname}_p{p}").replace("`", "``") + "`")
         return spark.sql(f"SELECT * FROM VALUES ({', '.join(cells)}) AS t({', '.join(aliases)})")
 
-    # Size check: non-NULL values per measure (one partial count per task).
+    # Non-NULL values per measure (one partial count per task).
     if counts is not None:
         counts = {mi: counts[name] for mi, name in enumerate(measure_names)}
     else:
         counts = {r["m"]: r["n"] for r in long.groupBy("m").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    targets = []  # [t, m, p index, r_lo, r_hi, frac]
+    # Spans (measure, lo, hi) with their targets: [margin, m, p index, r_lo, r_hi, frac].
+    margin = 1 + 2 * GRID // accuracy
+    spans: dict[tuple, list] = {}
     for mi in range(len(measure_names)):
-        n = counts.get(mi, 0)
-        if n == 0:
-            continue
-        for pi, p in enumerate(probs):
-            h = p * (n - 1)
-            targets.append([len(targets), mi, pi, math.floor(h), math.ceil(h), h - math.floor(h)])
-
-    def whole_column(tgts):
-        by_m: dict[int, list] = {}
-        for tg in tgts:
-            by_m.setdefault(tg[1], []).append(tg)
-        return [(mi, None, None, tg_list) for mi, tg_list in by_m.items()]
-
-    if max(counts.values(), default=0) <= single_task_max_values:
-        # Small: one window per measure over all its values (bounded by the count).
-        brackets = whole_column(targets)
-    else:
-        # Large: sketch brackets around every probability (bounded sketches).
-        bracket_probs: list[float] = []
-        for p in probs:
-            bracket_probs += [max(0.0, p - margin), min(1.0, p + margin)]
-        sketches = {
-            r["m"]: r["br"]
-            for r in long.groupBy("m").agg(F.percentile_approx("v", bracket_probs, accuracy).alias("br")).collect()
-        }
-        brackets = [(tg[1], sketches[tg[1]][2 * tg[2]], sketches[tg[1]][2 * tg[2] + 1], [tg]) for tg in targets]
+        for pi, p in enumerate(probs if counts.get(mi, 0) else ()):
+            h = p * (counts[mi] - 1)
+            target = [margin, mi, pi, math.floor(h), math.ceil(h), h - math.floor(h)]
+            spans.setdefault((mi, None, None), []).append(target)
 
     values: dict[tuple[int, int], float | None] = {}
-    while brackets:
-        picks = _rank_in_brackets(long, brackets)
-        missed = []
-        for _mi, lo_v, _hi_v, tgts in brackets:
-            for t, mi, pi, r_lo, r_hi, frac in tgts:
+    while spans:
+        keys = list(spans)
+        steps = _steps_in_spans(long, keys, accuracy)
+        narrowed: dict[tuple, list] = {}
+        brackets, missed = [], []
+        for b, key in enumerate(keys):
+            below, inside, grid = steps.get(b, (0, 0, None))
+            for target in spans[key]:
+                wide, mi, _pi, r_lo, r_hi, _frac = target
+                if not below <= r_lo <= r_hi < below + inside:
+                    missed.append(target)
+                    continue
+                scale = GRID / max(1, inside - 1)
+                first = max(0, math.floor((r_lo - below) * scale) - wide)
+                last = min(GRID, math.ceil((r_hi - below) * scale) + wide)
+                span = (mi, grid[first], grid[last])
+                if (last - first + 1) / GRID * inside <= window_values or span == key:
+                    brackets.append((*span, [target]))
+                else:
+                    narrowed.setdefault(span, []).append(target)
+        picks = _rank_in_brackets(long, brackets) if brackets else {}
+        for _mi, _lo, _hi, targets in brackets:
+            for target in targets:
+                _wide, mi, pi, r_lo, r_hi, frac = target
                 a, b = picks.get((mi, r_lo)), picks.get((mi, r_hi))
-                if a is not None and b is not None:
-                    values[(mi, pi)] = a + frac * (b - a)
-                elif lo_v is not None:
-                    missed.append([t, mi, pi, r_lo, r_hi, frac])
-        # A sketch bound that missed a rank: redo those over the whole column.
-        brackets = whole_column(missed)
+                if a is None or b is None:
+                    missed.append(target)
+                else:
+                    values[(mi, pi)] = a if a == b or not frac else a + frac * (b - a)
+        for target in missed:
+            narrowed.setdefault((target[1], None, None), []).append([4 * target[0], *target[1:]])
+        spans = narrowed
     return result(values)
 
 
-def _rank_in_brackets(long: DataFrame, brackets: list) -> dict[tuple[int, int], float]:
-    """{(measure, rank): value} for the ranks each bracket was asked for and holds.
-
-    A bracket is (measure, lo, hi, targets); lo None = the whole column.  Rows
-    below a bracket collapse into one NULL-valued count that sorts first, so a
-    running sum over the bracket's (value, count) rows gives true ranks.
-    """
+def _tagged(long: DataFrame, spans: list) -> DataFrame:
+    """``b, v`` for every span ``b`` that a value lies in; ``v`` is NULL below the span."""
     m, v = F.col("m"), F.col("v")
     tags = []
-    for b, (mi, lo_v, hi_v, _t) in enumerate(brackets):
-        if lo_v is None:
-            tags.append(F.when(m == mi, F.struct(F.lit(b).alias("b"), v.alias("v"))))
+    for b, (mi, lo, hi) in enumerate(spans):
+        inside = F.struct(F.lit(b).alias("b"), v.alias("v"))
+        below = F.struct(F.lit(b).alias("b"), F.lit(None).cast("double").alias("v"))
+        if lo is None:
+            tags.append(F.when(m == mi, inside))
         else:
-            below = F.struct(F.lit(b).alias("b"), F.lit(None).cast("double").alias("v"))
-            tags.append(F.when((m == mi) & (v < lo_v), below))
-            tags.append(F.when((m == mi) & v.between(lo_v, hi_v), F.struct(F.lit(b).alias("b"), v.alias("v"))))
-    hist = (
-        long.select(F.explode(F.array(*tags)).alias("x"))
-        .where(F.col("x").isNotNull())
-        .groupBy("x.b", "x.v")
-        .agg(F.count(F.lit(1)).alias("c"))
+            tags.append(F.when((m == mi) & (v < lo), below).when((m == mi) & (v <= hi), inside))
+    return long.select(F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("x")).select("x.b", "x.v")
+
+
+def _steps_in_spans(long: DataFrame, spans: list, accuracy: int) -> dict[int, tuple]:
+    """{span: (rows below, rows inside, GRID + 1 steps over the values inside)}."""
+    grid = [k / GRID for k in range(GRID + 1)]
+    rows = _tagged(long, spans).groupBy("b").agg(
+        F.count_if(F.col("v").isNull()).alias("below"), F.count("v").alias("inside"),
+        F.percentile_approx("v", grid, accuracy).alias("steps"),
     )
+    return {r["b"]: (r["below"], r["inside"], r["steps"]) for r in rows.collect()}
+
+
+def _rank_in_brackets(long: DataFrame, brackets: list) -> dict[tuple[int, int], float]:
+    """{(measure, rank): value} for the ranks each bracket was asked for and holds.
+
+    A bracket is (measure, lo, hi, targets).  Rows below a bracket collapse into one NULL-valued
+    count that sorts first, so a running sum over the bracket's (value, count) rows gives true ranks.
+    """
+    hist = _tagged(long, [bracket[:3] for bracket in brackets]).groupBy("b", "v").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("b").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

@@ -20,7 +20,7 @@ def _cont(values, p):
     return xs[lo] + (h - lo) * (xs[hi] - xs[lo])
 
 
-def test_exact_percentiles_both_modes_with_a_hot_value(spark):
+def test_exact_percentiles_with_a_hot_value(spark):
     rnd = random.Random(7)
     a = [rnd.choice([5.0, rnd.uniform(0, 100)]) for _ in range(3000)]  # one value ~ half the rows
     b = [float(rnd.randint(0, 20)) for _ in range(3000)]
@@ -28,12 +28,19 @@ def test_exact_percentiles_both_modes_with_a_hot_value(spark):
     df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
     probs = (0.1, 0.25, 0.5, 0.75, 0.9)
     want = {(m, p): _cont([x for x in vals if x is not None], p) for m, vals in (("a", a), ("b", b)) for p in probs}
-    for kwargs in ({}, {"single_task_max_values": 0}, {"single_task_max_values": 0, "accuracy": 20}):
+    for kwargs in ({}, {"window_values": 0}, {"window_values": 0, "accuracy": 20}):
         got = quantiles.exact_percentiles(df, {"a": "a", "b": "b"}, probs, **kwargs).collect()[0]
         for (m, p), v in want.items():
             assert got[f"{m}_p{p}"] == v, (kwargs, m, p)
 
 
+def test_exact_percentiles_of_infinite_equal_and_missing_values(spark):
+    rows = [(float("inf"), 4.0, None), (1.0, 4.0, None), (float("inf"), 4.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = quantiles.exact_percentiles(df, {"a": "a", "b": "b", "c": "c"}, (0.0, 0.75)).collect()[0]
+    assert list(got) == [1.0, float("inf"), 4.0, 4.0, None, None]
+
+
 def test_lag_by_key_equals_plain_lag(spark):
     rnd = random.Random(3)
     rows = []
