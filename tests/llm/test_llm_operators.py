@@ -354,3 +354,15 @@ def test_null_ids_and_clashing_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
         assert {r.key for r in out.collect()} == {"key"}
+
+
+def test_parity_sketches_differ_in_at_most_as_many_bits_as_the_sets():
+    from segmenta.llm.minhash_dedup import parity_sketch
+
+    rng = np.random.default_rng(5)
+    for size in (1, 40, 400, 5000):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[size // 5 :], rng.integers(0, 2**63, size // 6, dtype=np.uint64)]))
+        flipped = np.unpackbits((parity_sketch(a) ^ parity_sketch(b)).view(np.uint8)).sum()
+        assert flipped <= len(np.setxor1d(a, b))
+        assert not (parity_sketch(a) ^ parity_sketch(a)).any()
