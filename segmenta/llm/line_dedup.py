@@ -1,24 +1,30 @@
-"""Line deduplication over content-defined chunks of lines, in DataFrame functions only.
+"""Deduplication of repeated passages of whole lines, in DataFrame functions only.
 
 A text falls into lines (a physical line that holds several sentences is split at their ends, so
-a passage is found inside a long line as well).  Lines are hashed; a chunk ends where a rolling
-hash over the last ``WINDOW`` line hashes is divisible by ``DIVISOR``.  A boundary depends on the
-neighbouring lines alone, so a passage is cut alike wherever it stands.  Steps:
-
-1. Chunk hashes are counted over the corpus: a narrow aggregate, combined on the map side.
-2. Occurrences of repeated hashes are kept; their texts are fetched from the documents and the
-   bytes compared (smallest text = largest text).  A hash that two texts share is left in place.
-3. The first occurrence, by ``doc_id`` (nulls last) and position, stays.  Of the others, runs of
-   neighbouring chunks with at least ``min_lines`` lines and ``min_words`` words are removed: a
-   single repeated line such as a licence line is no passage.
+a passage is found inside a long line as well; blank lines belong to the line before them).  Lines
+are compared without the white space at their ends.  A passage is a run of lines with at least
+``min_words`` words, whatever its number of lines, that also stands earlier in the corpus.
+
+The shortest run of enough words that starts at a line, and the shortest that ends at it, are the
+line's windows.  A line of a repeated passage lies in a window inside that passage: in the one that
+starts at the line, or, if too few words follow, in the one that ends with the passage.  So the
+passages are the unions of the repeated windows, from their first to their last line, without
+comparing pairs of documents.  Steps:
+
+1. Window hashes are counted over the corpus: a narrow aggregate, combined on the map side.
+2. Windows of repeated hashes are read again from the documents and compared by SHA-256 of their
+   bytes; texts that merely share a 64-bit hash are told apart.
+3. The first occurrence, by ``doc_id`` (nulls last) and position, stays.  The lines of the others
+   go; within one text an occurrence that overlaps the first one stays as well.
 
 Documents move once, by their key, and both joins read that one exchange.  Documents are keyed by
-(id, text), so repeated rows are treated alike: a chunk's first occurrence stays in each of them.
-A hot chunk is one narrow row per occurrence; AQE splits its join.
+(id, text), so repeated rows are treated alike: a window's first occurrence stays in each of them.
+A hot passage is a few narrow rows per occurrence; AQE splits its joins.
 
 Results for odd input: null text stays null, empty stays empty, a document whose whole text was a
 repeat becomes empty; lines are never cut, so a long text without line or sentence ends is one
-line and stays; nulls in other columns pass through; added columns replace equally named ones.
+line and goes only as a whole; nulls in other columns pass through; added columns replace equally
+named ones.
 """
 
 from __future__ import annotations
@@ -28,120 +34,139 @@ from pyspark.sql import functions as F
 
 from segmenta.llm.common import materialize
 
-LINE_END = r"(?<=\n)|(?<=[.!?] )"
-WINDOW = 2
-DIVISOR = 2
+LINE_END = r"(?<=\n)(?![^\S\n]*+(?:\n|\z))|(?<=[.!?]\x20{1,3})(?=\S)"
+WORD = r"\S++"
+SPACES = " \t\n\r\f\x0b"
 
 
 def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, LINE_END, -1), lambda line: line != "")
 
 
-def with_chunks(rows: DataFrame, text: str, chunks: str) -> DataFrame:
-    """Adds the array of chunk texts, which joined give the text again.  One step per column, each
-    read more than once by the next, so that no step is evaluated anew per element."""
-    names = rows.columns
-    lined = rows.withColumn("_lines", lines_of(F.col(text)))
-    hashed = lined.withColumn("_hashes", F.transform("_lines", lambda line: F.xxhash64(line)))
+def _bare(line: Column) -> Column:
+    return F.rtrim(line, F.lit(SPACES))
 
-    def rolling(i: Column) -> Column:
-        return F.xxhash64(*(F.get("_hashes", i - back) for back in range(WINDOW)))
 
-    last = F.size("_hashes") - 1
-    cut = hashed.withColumn(
-        "_ends",
+def with_windows(rows: DataFrame, text: str, min_words: int) -> DataFrame:
+    """Adds the array ``windows`` of structs: first and last line, and hash.  One step per column,
+    each read more than once by the next, so that no step is evaluated anew per element."""
+    names = rows.columns
+    lined = rows.withColumn("_lines", lines_of(F.col(text)))
+    counted = lined.withColumn("_hashes", F.transform("_lines", lambda line: F.xxhash64(_bare(line)))).withColumn(
+        # The line of every word.
+        "_at",
+        F.flatten(F.transform("_lines", lambda line, i: F.array_repeat(i, F.regexp_count(line, F.lit(WORD))))),
+    )
+    words = F.size("_at")
+    begun = counted.withColumn(
+        # The first word of every line, and the number of words.
+        "_first",
         F.when(
-            F.size("_hashes") > 0,
+            words >= min_words,
             F.filter(
-                F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                lambda i: (i == last) | (F.pmod(rolling(i), F.lit(DIVISOR)) == 0),
+                F.sequence(F.lit(0), F.greatest(words, F.lit(0))),
+                lambda k: (k == 0) | ~F.get("_at", k - 1).eqNullSafe(F.get("_at", k)),
             ),
-        ).otherwise(F.array().cast("array<int>")),
+        ),
     )
 
-    def chunk(end: Column, k: Column) -> Column:
-        before = F.coalesce(F.get("_ends", k - 1), F.lit(-1))
-        return F.array_join(F.slice("_lines", before + 2, end - before), "")
+    def window(first: Column, last: Column) -> Column:
+        return F.shiftleft(first.cast("long"), 32) + last
 
-    return cut.withColumn(chunks, F.transform("_ends", chunk)).select(*names, chunks)
+    spans = begun.withColumn(
+        "_spans",
+        F.filter(
+            F.array_union(
+                F.transform("_first", lambda k: window(F.get("_at", k), F.get("_at", k + (min_words - 1)))),
+                F.transform("_first", lambda k: window(F.get("_at", k - min_words), F.get("_at", k - 1))),
+            ),
+            lambda w: w.isNotNull(),
+        ),
+    )
 
+    def hashed(w: Column) -> Column:
+        first, last = F.shiftright(w, 32).cast("int"), w.bitwiseAND(0x7FFFFFFF).cast("int")
+        return F.struct(
+            first.alias("first"), last.alias("last"), F.xxhash64(F.slice("_hashes", first + 1, last - first + 1)).alias("hash")
+        )
 
-def _words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    made = F.when(F.size("_hashes") > 0, F.transform("_spans", hashed))
+    return spans.withColumn("windows", made).select(*names, "windows")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``key, pos, hash`` of every chunk whose hash occurs more than once."""
-    chunked = with_chunks(docs.select("key", "text"), "text", "chunks")
+def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """``key, first, last`` of every window whose hash occurs more than once."""
     # The outer form: the plain one infers a filter on the array's size, which is pushed down
-    # through the projections of with_chunks and evaluates the array within itself.
-    seen = chunked.select("key", F.posexplode_outer("chunks").alias("pos", "chunk")).select(
-        "key", "pos", F.when(F.col("pos").isNotNull(), F.xxhash64("chunk")).alias("hash")
-    )
-    often = materialize(seen.groupBy("hash").count().where("hash is not null and count > 1").select("hash"), "often")
-    return materialize(seen.join(often.hint("merge"), "hash").select("key", "pos", "hash"), "repeated")
-
-
-def removed_chunks(docs: DataFrame, repeated: DataFrame, min_lines: int, min_words: int) -> DataFrame:
-    """``key, removed``: the sorted chunk positions that go."""
-    wanted = repeated.groupBy("key").agg(F.collect_list(F.struct("pos", "hash")).alias("wanted"))
-    texts = (
-        with_chunks(
-            docs.join(wanted.hint("merge"), "key").select(
-                "key", "wanted", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"),
-                # The whole row is read here as in the last join: both then share one exchange.
-                F.xxhash64("row").alias("row_hash"),
-            ),
-            "text",
-            "chunks",
-        )
-        .select("key", "doc_id", "row_hash", "chunks", F.explode("wanted").alias("at"))
-        .select("key", "doc_id", "row_hash", F.col("at.pos").alias("pos"), F.col("at.hash").alias("hash"), F.get("chunks", F.col("at.pos")).alias("chunk"))
-    )
-    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "pos", "row_hash")
-    verified = (
-        texts.groupBy("hash")
-        .agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"), F.min(order).alias("first"))
-        .where("low = high")
-        .select(
-            "hash",
-            F.col("first.key").alias("first_key"),
-            F.col("first.pos").alias("first_pos"),
-            F.size(lines_of(F.col("low"))).alias("lines"),
-            _words(F.col("low")).alias("words"),
+    # through the projections of with_windows and evaluates the array within itself.
+    seen = with_windows(docs.select("key", "text"), "text", min_words).select("key", F.explode_outer("windows").alias("w"))
+    seen = materialize(seen.select("key", "w.first", "w.last", "w.hash"), "windows").where("hash is not null")
+    often = materialize(seen.groupBy("hash").count().where("count > 1").select("hash"), "often")
+    return materialize(seen.join(often.hint("merge"), "hash").select("key", "first", "last"), "repeated")
+
+
+def removed_lines(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``key, removed, n_removed_lines``: the sorted, disjoint runs of lines that go."""
+    span = F.struct("first", "last")
+    wanted = repeated.distinct().groupBy("key").agg(F.collect_list(span).alias("wanted"))
+    lined = docs.join(wanted.hint("merge"), "key").select(
+        "key", "wanted", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"),
+        # The whole row is read here as in the last join: both then share one exchange.
+        F.xxhash64("row").alias("row_hash"),
+    ).withColumn("_bare", F.transform(lines_of(F.col("text")), _bare))
+
+    def confirmed(w: Column) -> Column:
+        lines = F.slice("_bare", w["first"] + 1, w["last"] - w["first"] + 1)
+        return F.struct(
+            w["first"].alias("first"), w["last"].alias("last"), F.unhex(F.sha2(F.array_join(lines, "\n"), 256)).alias("digest")
         )
+
+    confirmed_windows = F.when(F.size("_bare") > 0, F.transform("wanted", confirmed))
+    digests = lined.select("key", "doc_id", "row_hash", F.explode_outer(confirmed_windows).alias("w"))
+    digests = materialize(digests.select("key", "doc_id", "row_hash", "w.*"), "digests").where("digest is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "first", "last", "row_hash")
+    kept = digests.groupBy("digest").agg(F.min(order).alias("kept"))
+    kept = kept.select(
+        "digest", F.col("kept.key").alias("kept_key"), F.col("kept.last").alias("kept_last")
     )
-    others = repeated.join(verified.hint("merge"), "hash").where("not (key = first_key and pos = first_pos)")
-    others = others.select("key", "pos", "lines", "words").distinct()  # repeated rows have one key
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("key").orderBy("pos"))
-    run = Window.partitionBy("key", "island")
+    others = digests.join(kept.hint("merge"), "digest").where("not (key = kept_key and first <= kept_last)")
+    others = others.select("key", "first", "last").distinct()  # repeated rows have one key
+    ordered = Window.partitionBy("key").orderBy("first", "last")
+    reach = F.max("last").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("first") <= F.col("reach") + 1, 0).otherwise(1)).over(ordered)
     return (
-        others.withColumn("island", island)
-        .withColumn("run_lines", F.sum("lines").over(run))
-        .withColumn("run_words", F.sum("words").over(run))
-        .where((F.col("run_lines") >= min_lines) & (F.col("run_words") >= min_words))
+        others.withColumn("reach", reach)
+        .withColumn("island", island)
+        .groupBy("key", "island")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
         .groupBy("key")
-        .agg(F.collect_list("pos").alias("removed"), F.sum("lines").alias("n_removed_lines"))
+        .agg(
+            F.sort_array(F.collect_list(span)).alias("removed"),
+            F.sum(F.col("last") - F.col("first") + 1).alias("n_removed_lines"),
+        )
     )
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """``docs`` with ``text`` free of repeated passages, plus ``n_removed_lines`` and
     ``n_removed_chars``."""
     keyed = docs.select(
         F.xxhash64(F.col("doc_id"), F.lit(0), F.col("text")).alias("key"), F.struct(*docs.columns).alias("row")
     )
-    repeated = repeated_chunks(keyed.select("key", F.col("row.text").alias("text")))
-    removed = removed_chunks(keyed, repeated, min_lines, min_words)
+    repeated = repeated_windows(keyed.select("key", F.col("row.text").alias("text")), min_words)
+    removed = removed_lines(keyed, repeated)
     joined = keyed.join(removed.hint("merge"), "key", "left").withColumn("text", F.col("row.text"))
-    chunked = with_chunks(
-        joined.withColumn("cut_text", F.when(F.col("removed").isNotNull(), F.col("text"))), "cut_text", "chunks"
+    lined = joined.withColumn("_lines", F.when(F.col("removed").isNotNull(), lines_of(F.col("text"))))
+
+    def between(run: Column, i: Column) -> Column:
+        after = F.coalesce(F.get("removed", i - 1)["last"], F.lit(-1)) + 1
+        return F.array_join(F.slice("_lines", after + 1, run["first"] - after), "")
+
+    end = F.element_at("removed", -1)["last"]
+    rest = F.array_join(F.slice("_lines", end + 2, F.size("_lines")), "")
+    kept = lined.withColumn(
+        "_kept", F.when(F.size("_lines") > 0, F.concat(F.array_join(F.transform("removed", between), ""), rest))
     )
-    keep = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.col("removed"))
-    kept = chunked.withColumn("keep", F.when(F.col("removed").isNotNull(), keep))
-    text = F.when(
-        F.col("removed").isNotNull(), F.array_join(F.transform("keep", lambda i: F.get("chunks", i)), "")
-    ).otherwise(F.col("text"))
+    text = F.when(F.col("removed").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
     added = {
         "text": text,
         "n_removed_lines": F.coalesce("n_removed_lines", F.lit(0)).cast("long"),

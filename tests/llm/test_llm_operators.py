@@ -255,6 +255,31 @@ def test_line_dedup(spark):
         assert rows[i].n_removed_chars == len(own[i]) - len(rows[i].text)
 
 
+def test_line_dedup_removes_whole_passages(spark):
+    """Planted passages of 1 to 10 lines, after texts that shift them, go from end to end; the line
+    ends do not count, and the first occurrence stays."""
+    passages = [
+        "".join(f"Passage {n} line {i} {' '.join(f'p{n}w{i}x{k}' for k in range(60 // n + 1))}.\n" for i in range(n)) for n in range(1, 11)
+    ]
+    before = ["".join(f"Document {d} begins with line {i}.\n" for i in range(d % 4 + 1)) for d in range(20)]
+    after = [f"Document {d} ends. Really {d}." for d in range(20)]
+    own = [before[d] + passages[d % 10] + after[d] for d in range(20)]
+    own[13] = own[13].replace("\n", " \r\n\n")
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    for d in range(20):
+        left = own[d] if d < 10 else before[d] + after[d]
+        assert rows[d].text.split() == left.split(), d
+        assert rows[d].n_removed_lines == (0 if d < 10 else d % 10 + 1)
+
+
+def test_line_dedup_keeps_the_first_of_overlapping_repeats(spark):
+    line = " ".join(f"w{k}" for k in range(20)) + "\n"
+    docs = spark.createDataFrame([(0, line * 9 + "end")], "doc_id long, text string")
+    row = line_dedup.dedup_lines(docs, min_words=51).first()
+    assert row.text == line * 3 + "end" and row.n_removed_lines == 6
+
+
 def test_sharding(odd):
     rows = sharding.assign_shards(odd).collect()
     assert len(rows) == odd.count()
