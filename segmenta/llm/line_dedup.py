@@ -146,7 +146,7 @@ def removed_lines(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 51) -> DataFrame:
     """``docs`` with ``text`` free of repeated passages, plus ``n_removed_lines`` and
     ``n_removed_chars``."""
     keyed = docs.select(

@@ -280,6 +280,16 @@ def test_line_dedup_keeps_the_first_of_overlapping_repeats(spark):
     assert row.text == line * 3 + "end" and row.n_removed_lines == 6
 
 
+def test_line_dedup_keeps_shorter_repeats(spark):
+    """Shared runs of 50 words stay, in one line or in five; one word more and they go."""
+    lines = ["".join(f"{' '.join(f'n{n}w{i}x{k}' for k in range(50 // n))}\n" for i in range(n)) for n in (1, 5)]
+    own = [f"Doc {d} begins.\n{lines[d % 2]}{extra}Doc {d} ends." for d, extra in enumerate(["", "", "", "", "more\n", "more\n", "more\n", "more\n"])]
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert [rows[d].text for d in range(6)] == own[:6]
+    assert [rows[d].text for d in (6, 7)] == [f"Doc {d} begins.\nDoc {d} ends." for d in (6, 7)]
+
+
 def test_sharding(odd):
     rows = sharding.assign_shards(odd).collect()
     assert len(rows) == odd.count()
