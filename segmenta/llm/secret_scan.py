@@ -4,7 +4,9 @@ Every whole text is read twice inside one Arrow task, without a shuffle:
 
 * Base patterns find assigned values, access keys and long hex runs.
 * A lexer finds assignment operators (``=``, ``:``, ``:=``, ``=>``) and parses the name before
-  and the literal, or the other name, after each.  Constants are propagated in text order:
+  and the literal, or the other name, after each.  The name may be a quoted subscript
+  (``config["password"] = ...``) or have a type (``token: str = ...``; then the word before the
+  operator is judged as well), the literal a prefix (``b"..."``).  Constants are propagated in text order:
   ``a = "..."; password = a`` traces back to the literal of ``a``.  A literal is reported when
   the score of its most sensitive target name times the score of its own form reaches
   ``threshold``.
@@ -14,7 +16,8 @@ base span covers is not reported again.
 
 Results for odd input: null or empty text has no spans; nulls in other columns are kept; repeated
 rows are each scanned; extra columns of any name pass through ``redact_secrets``; texts of any
-length are scanned whole, and only a name longer than 128 characters is judged by its last 128.
+length are scanned whole, and only a name longer than 128 characters is judged by its last 128; a
+type is skipped if name and type stand in one line within 384 characters before the operator.
 """
 
 from __future__ import annotations
@@ -54,10 +57,14 @@ SENSITIVE_PAIRS = {
 PLACEHOLDERS = ("changeme", "example", "placeholder", "redacted", "your", "xxxx", "****", "todo")
 
 OPERATOR = re.compile(r":=|=>|[:=]")
-NAME_BEFORE = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*)["']?[ \t]*\Z""")
+NAME = r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)(?:["'][ \t]*+\]|["'])?[ \t]*+"""
+NAME_BEFORE = re.compile(rf"{NAME}\Z")
+TYPED_BEFORE = re.compile(rf"""{NAME}[?!]?:[ \t]*+([A-Za-z_&*(\[{{][^\n=;"#]*+)\Z""")
 NAME_WINDOW = 128
+TYPE_WINDOW = 256
 VALUE_AFTER = re.compile(
-    r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([^\s"'#;,:=]+))"""
+    r"""[ \t]*(?:(?:[bru]|f|br|rb|fr|rf)?\#*"((?:[^"\\\n]|\\.)*+)"|(?:[bru]|f|br|rb|fr|rf)?'((?:[^'\\\n]|\\.)*+)'|([^\s"'#;,:=]+))""",
+    re.IGNORECASE,
 )
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -98,13 +105,20 @@ def literal_score(value: str) -> float:
 def literal_spans(text: str, threshold: float) -> list[Span]:
     """Literals that reach a sensitive name, directly or through other names."""
     known: dict[str, tuple[int, int]] = {}  # name -> the literal that it stands for
-    found: set[tuple[int, int]] = set()
+    found: dict[int, int] = {}  # start -> end
     for op in OPERATOR.finditer(text):
         value = VALUE_AFTER.match(text, op.end())
         if value is None:
             continue
         name = NAME_BEFORE.search(text[max(0, op.start() - NAME_WINDOW) : op.start()])
-        if name is None:
+        names = [name[1]] if name else []
+        if op[0] == "=":
+            begin = max(0, text.rfind("\n", 0, op.start()) + 1, op.start() - NAME_WINDOW - TYPE_WINDOW)
+            typed = TYPED_BEFORE.search(text[begin : op.start()])
+            if typed:
+                names.append(typed[1])
+                found.pop(begin + typed.start(2), None)  # the type is no literal
+        if not names:
             continue
         group = value.lastindex
         raw = value[group]
@@ -112,11 +126,11 @@ def literal_spans(text: str, threshold: float) -> list[Span]:
             at = known[raw]
         else:
             at = value.span(group)
-        known[name[1]] = at
-        score = name_score(name[1])
+        known.update((n, at) for n in names)
+        score = max(map(name_score, names))
         if score and score * literal_score(text[at[0] : at[1]]) >= threshold:
-            found.add(at)
-    return [("literal", *at) for at in sorted(found)]
+            found[at[0]] = at[1]
+    return [("literal", *at) for at in sorted(found.items())]
 
 
 def secret_spans(text: str, threshold: float = 0.6) -> tuple[list[Span], list[Span]]:

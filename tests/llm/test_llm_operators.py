@@ -241,6 +241,25 @@ def test_secrets(odd):
     assert "hunter2" not in clean[11] and clean[0] == BASE
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('api_token: str = "', '"'), ("private_key: Optional[str] = '", "'"), ('const apiToken: string = "', '";'),
+        ('val password: String? = "', '"'), ('const API_KEY: &str = "', '";'), ("let token: &'static str = \"", '";'),
+        ('def f(password: str = "', '", n: int = 3)'), ('config["password"] = "', '"'), ("$c['db'][ 'api_key' ] = '", "';"),
+        ('PRIVATE_KEY = b"', '"'), ("secret = rb'", "'"), ('token = f"', '"'), ('passwd = U"', '"'), ('let token = r#"', '"#;'),
+        ('server: password = "', '"'),
+    ],
+)
+def test_secrets_in_source_syntax(before, after):
+    value = "Zx81kQp0Lm42"
+    text = f"x = 1\n{before}{value}{after}\nname: str = \"{value}\""
+    at = len("x = 1\n" + before)
+    cleaned = secret_scan.redacted(text, secret_scan.secret_spans(text)[1], "*")
+    assert any(s[1] <= at and at + len(value) <= s[2] for s in secret_scan.secret_spans(text)[1])
+    assert cleaned.endswith(f'name: str = "{value}"') and ("Optional[str]" in cleaned) == ("Optional" in text)
+
+
 def test_line_dedup(spark):
     passage = " ".join(f"Line {i} of a passage that many documents share word by word." for i in range(8)) + " "
     licence = "Licensed under the Example licence.\n"
