@@ -125,9 +125,8 @@ def removed_lines(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     digests = materialize(digests.select("key", "doc_id", "row_hash", "w.*"), "digests").where("digest is not null")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "first", "last", "row_hash")
     kept = digests.groupBy("digest").agg(F.min(order).alias("kept"))
-    kept = kept.select(
-        "digest", F.col("kept.key").alias("kept_key"), F.col("kept.last").alias("kept_last")
-    )
+    kept = kept.select("digest", F.col("kept.key").alias("kept_key"), F.col("kept.last").alias("kept_last"))
+    kept = materialize(kept, "kept")  # AQE splits a join's hot key only between plain exchanges
     others = digests.join(kept.hint("merge"), "digest").where("not (key = kept_key and first <= kept_last)")
     others = others.select("key", "first", "last").distinct()  # repeated rows have one key
     ordered = Window.partitionBy("key").orderBy("first", "last")
