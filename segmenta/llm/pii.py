@@ -3,11 +3,12 @@
 1. Seeds: e-mail addresses, IP addresses, card and phone numbers, by fixed patterns over the whole
    text.  Candidates: all other runs of letters, digits and ``@ _ . + -`` with a digit and at least
    ``MIN_LENGTH`` characters.
-2. The word before a seed or candidate is its lexical pattern.  Patterns and instances (values
+2. The word before a seed or candidate, or the part of its own word before it, is its lexical
+   pattern.  Patterns and instances (values
    without punctuation) form a bipartite graph of narrow rows.
 3. The graph is scored in ``ROUNDS`` rounds: a pattern's confidence is the summed score of the
-   instances that follow it over *all* of its occurrences in the corpus, whatever follows them, so
-   that common words stay weak; an instance that is no seed gets the chance that not all of its
+   instances that follow it over *all* of its occurrences in the corpus, as a word or glued to what
+   follows (``email=a@b.c``), whatever follows them, so that common words stay weak; an instance that is no seed gets the chance that not all of its
    patterns are wrong.  A pattern needs ``support`` different instances with a score to count.
 4. Candidates whose instance reaches ``threshold`` are reported with the kind ``found``.
 
@@ -47,6 +48,12 @@ FOUND = "found"
 CONTEXT = 64
 ROUNDS = 3
 
+#: White space as in ``\\s``, for SQL.
+SPACES = r"' \t\n\r\f\u000b'"
+#: In a word in small letters: the two characters around a place where a span may start.
+START = r"^(?:[^a-z0-9].|[^0-9][0-9]|.\+)"
+BLOCK = 1024
+
 SPAN = "array<struct<start:int,kind:int,end:int,value:string,before:string>>"
 
 
@@ -61,20 +68,30 @@ def matches_of(text: Column, pattern: str, needs: str | None) -> tuple[Column, C
 
 
 def _placed(values: str, pieces: str, kind: int) -> Column:
-    """The spans with their positions, values and preceding characters."""
+    """The spans with their positions, values and the characters before them in the whole text:
+    ``tail`` ends where the match starts, white space at its end is one space."""
     return F.expr(
         f"""aggregate(
           zip_with({values}, slice({pieces}, 1, size({values})), (v, p) -> struct(v, p)),
-          struct(0 AS at, cast(array() AS {SPAN}) AS out),
+          struct(0 AS at, '' AS tail, cast(array() AS {SPAN}) AS out),
           (acc, x) -> struct(
             acc.at + length(x.p) + length(x.v) AS at,
+            right(concat({_context("acc.tail", "x.p")}, x.v), {CONTEXT}) AS tail,
             concat(acc.out, array(struct(
               acc.at + length(x.p) AS start, {kind} AS kind,
-              acc.at + length(x.p) + length(x.v) AS end, x.v AS value, right(x.p, {CONTEXT}) AS before))) AS out),
+              acc.at + length(x.p) + length(x.v) AS end, x.v AS value,
+              {_context("acc.tail", "x.p")} AS before))) AS out),
           acc -> acc.out)"""
     )
 
 
+def _context(tail: str, piece: str) -> str:
+    """The last ``CONTEXT`` characters, and a space if white space follows them."""
+    both = f"concat({tail}, {piece})"
+    bare = f"rtrim({SPACES}, {both})"
+    return f"concat(right({bare}, {CONTEXT}), if(length({bare}) < length({both}), ' ', ''))"
+
+
 def _luhn(digits: Column) -> Column:
     numbers = F.transform(F.split(F.reverse(digits), ""), lambda d: d.cast("int"))
     numbers = F.filter(numbers, lambda d: d.isNotNull())
@@ -145,11 +162,32 @@ def _mentions(spans: DataFrame, column: str, seed: bool) -> DataFrame:
     )
 
 
+def _glued(word: str) -> Column:
+    """The contexts of all places inside a word where a span may start: the word's characters before
+    the place.  A long word is read in blocks, so that the work stays linear in its length."""
+    return F.expr(
+        f"""flatten(transform(
+          transform(
+            sequence(0, (length({word}) - 1) div {BLOCK}),
+            b -> struct(least(b * {BLOCK}, {CONTEXT}) AS head,
+                        substring({word}, b * {BLOCK} - least(b * {BLOCK}, {CONTEXT}) + 1,
+                                  {BLOCK} + least(b * {BLOCK}, {CONTEXT}) + 1) AS part)),
+          x -> transform(
+            filter(sequence(x.head, least(x.head + {BLOCK}, length(x.part) - 1)),
+                   q -> q > 0 AND q < length(x.part) AND (x.head = 0 OR q > x.head)
+                        AND substring(x.part, q, 2) RLIKE r'(?s){START}'),
+            q -> right(left(x.part, q), {CONTEXT}))))"""
+    )
+
+
 def pattern_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``pattern, total``: how often each word of ``patterns`` occurs in the corpus."""
+    """``pattern, total``: how often each of ``patterns`` occurs in the corpus, as a word or glued to
+    what follows."""
     words = docs.select(F.explode(F.split(F.lower(text_or_empty()), r"\s+")).alias("word"))
-    counts = words.select(F.right("word", F.lit(CONTEXT)).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(patterns, "pattern", "left_semi")
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    contexts = F.concat(F.array(F.right("word", F.lit(CONTEXT))), _glued("word"))
+    counts = counted.where("word != ''").select(F.explode(contexts).alias("pattern"), "n")
+    return counts.groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns, "pattern", "left_semi")
 
 
 def score_instances(edges: DataFrame, totals: DataFrame, support: int, rounds: int = ROUNDS) -> DataFrame:
@@ -189,7 +227,10 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5, support: int = 3
     named = seeds.unionByName(others).where("pattern is not null and instance != ''")
     edges = named.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
     edges = materialize(edges, "edges")
-    totals = materialize(pattern_counts(docs, edges.select("pattern").distinct()), "totals")
+    own = edges.groupBy("pattern").agg(F.sum("n").alias("own"))
+    # At least its own spans: an e-mail address right after another starts at no counted place.
+    totals = own.join(pattern_counts(docs, own.select("pattern")), "pattern", "left")
+    totals = materialize(totals.select("pattern", F.greatest("total", "own").alias("total")), "totals")
     scores = score_instances(edges, totals, support)
     accepted = scores.where(F.col("score") >= threshold).select("instance")
     span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")

@@ -230,6 +230,26 @@ def test_personal_data_found_by_context(spark):
     assert "found:" in found[8]  # the same number, without the pattern
 
 
+def test_personal_data_found_by_glued_and_neighbouring_contexts(spark):
+    """"tel:" and "no5" lead to seeds; "ref=" mostly to other values, though it never stands alone but once."""
+    rows = [f"tel:+1 (555) 010-{1000 + i} and no5 +1 (555) 011-{1000 + i}; ref=+1 (555) 012-{1000 + i}." for i in range(8)]
+    rows += [f"ref=word{'abcdefghijklmnopqrst'[i]}" for i in range(20)] + ["tel: ref= none"]
+    rows += ["call tel:555-010-7777 now", "see no5 AB123456 left", "see ref=XY987654 left", f"no5{' ' * 99}AB123499"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    assert [found[i] for i in range(29, 33)] == ["found:9:21", "found:8:16", "", "found:102:110"]
+
+
+def test_pattern_counts(spark):
+    """A context is counted as a word and glued, also across the blocks of a long word."""
+    words = ["tel:", "tel:55", "(tel:a", "mail=a@b", "x" * 1023 + "=1", "y" * 1024 + "=1", "z" * 1025 + "=1", "no5"]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, "TEL:1")], "doc_id long, text string")
+    asked = ["tel:", "(tel:", "mail=", *(c * 63 + "=" for c in "xyz"), "no", "none"]
+    patterns = spark.createDataFrame([(a,) for a in asked], "pattern string")
+    totals = {r.pattern: r.total for r in pii.pattern_counts(docs, patterns).collect()}
+    assert totals == {"tel:": 3, "(tel:": 1, "mail=": 1, "no": 1, **{c * 63 + "=": 1 for c in "xyz"}}
+
+
 def test_secrets(odd):
     docs = unique(odd)
     for r in secret_scan.scan_secrets(docs).collect():
