@@ -362,6 +362,37 @@ def test_prefix_hash():
     assert one.span(2, 7) == two.span(0, 5) and one.common_extension(2, two, 0) == 5
 
 
+def test_likeness_counts_all_common_passages():
+    """Near the true common share, within the stated bound per edit, also far from both ends."""
+    rng = np.random.default_rng(7)
+
+    def text(n):
+        return "".join(map(chr, rng.integers(97, 123, n)))
+
+    def alike(one, other):
+        one, other = (fingerprints.fingerprint(fingerprints.PrefixHash(t)) for t in (one, other))
+        return fingerprints.likeness(one, other)
+
+    base, n = text(200_000), 200_000
+    loss = (2 * fingerprints.MOST + fingerprints.WINDOW) / n
+    assert 1 - 2 * loss <= alike(base, "#" + base[1:-1] + "#") < 1
+    assert 1 - 5 * loss <= alike(base, base[:9] + "new" + base[9:70_000] + base[70_050:150_000] + "x" + base[150_000:-3]) < 1
+    assert 1 - 2 * loss <= alike(base, base[90_000:] + base[:90_000]) < 1
+    assert 0.25 - loss <= alike(base, text(100_000) + base[60_000:110_000] + text(50_000)) <= 0.2501
+    assert alike(base, text(n)) < 0.001
+
+
+def test_spans_of_spliced_texts():
+    rng = np.random.default_rng(8)
+    for n, m in [(0, 0), (3, 5), (20, 40), (3000, 2000), (40_000, 70_000)]:
+        one, two = ("".join(map(chr, rng.integers(97, 101, k))) for k in (n, m))
+        for cut, length in [(n, m), (n // 2, m // 2), (min(n, 7), min(m, 12)), (n, 0), (0, m)]:
+            made = fingerprints.Spliced(fingerprints.PrefixHash(one), cut, fingerprints.PrefixHash(two), length)
+            plain = fingerprints.PrefixHash(one[:cut] + two[:length])
+            assert fingerprints.fingerprint(made) == fingerprints.fingerprint(plain)
+            assert fingerprints.spans_of(made)["length"].sum() == cut + length
+
+
 def test_quality(spark, odd, labels):
     rows = quality_cnn.score_documents(odd, labels).collect()
     assert len(rows) == odd.count()
