@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from segmenta.llm import (
+    byte_bpe_codec,
     exact_dedup,
     fingerprints,
     line_dedup,
@@ -74,8 +75,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(read_table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe_codec.codec_digests(read_table(spark, sf_dir, "documents"), _model("byte_bpe_50k.json"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_sentencepiece, op3_packing, op4_quality_cnn, op5_pii,
-    op6_minhash_dedup, op7_secret_scan, op8_line_dedup, op9_sharding, op10_fingerprints,
+    op6_minhash_dedup, op7_secret_scan, op8_line_dedup, op9_sharding, op10_fingerprints, op13_byte_bpe,
 )}
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
