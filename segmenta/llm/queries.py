@@ -17,6 +17,8 @@ from segmenta.llm import (
     secret_scan,
     sentencepiece_codec,
     sharding,
+    vector_codes,
+    whitening,
 )
 from segmenta.llm.common import read_table
 
@@ -75,12 +77,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(read_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_codec.codec_digests(read_table(spark, sf_dir, "documents"), _model("byte_bpe_50k.json"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_sentencepiece, op3_packing, op4_quality_cnn, op5_pii,
-    op6_minhash_dedup, op7_secret_scan, op8_line_dedup, op9_sharding, op10_fingerprints, op13_byte_bpe,
+    op6_minhash_dedup, op7_secret_scan, op8_line_dedup, op9_sharding, op10_fingerprints,
+    op11_vector_codes, op12_whitening, op13_byte_bpe,
 )}
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op11_vector_codes": vector_codes.oracle_sql()}
