@@ -21,6 +21,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
     return F.broadcast(df) if n <= max_rows else df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the session's checkpoint folder, if it has
+    one: later steps neither recompute it nor depend on the executors that made it."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
+def any_row(df: DataFrame) -> bool:
+    """Whether ``df`` has a row (a bounded job: it stops at the first one)."""
+    return len(df.take(1)) > 0
+
+
 def one_row(df: DataFrame):
     """The single row of a global aggregate (``df.agg(...)`` without keys).
 

@@ -2,8 +2,8 @@
 form (Q21) and event counts per parameter (Q22).
 
 Plan at scale: parsing is four ``regexp_extract`` columns in the scan stage;
-the fill is a per-user LAG computed in time chunks (``functions.sequence``) so
-the anonymous / NULL uid does not land in one task; the long form is one
+the fill is a per-user LAG computed in pieces of bounded size
+(``functions.sequence``) so the anonymous / NULL uid does not land in one task; the long form is one
 ``explode`` over the four columns (a single pass, not four unions); the counts
 are a partial + final hash aggregate.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmenta.functions.columns import url_param
-from segmenta.functions.sequence import lag_by_key
+from segmenta.functions.sequence import DEFAULT_PIECE_ROWS, lag_by_key
 from segmenta.operators.filters import apply_filters, date_range_predicate
 from segmenta.sources.tables import require_columns
 
@@ -30,18 +30,21 @@ def url_params(
     *,
     date_range=None,
     exact_key: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """uid, event, created_at and one column per key (NULL when absent or empty).
+    """uid, event, created_at, the columns to ``keep`` (such as the log's own
+    event id) and one column per key (NULL when absent or empty).
 
     The period filter applies here, before the fill, so rows outside it cannot
     lend values to rows inside.
     """
-    require_columns(stat, ["uid", "event", "created_at", "url_params"], "stat")
+    require_columns(stat, ["uid", "event", "created_at", "url_params", *keep], "stat")
     rows = apply_filters(stat, date_range_predicate("created_at", date_range))
     return rows.select(
         "uid",
         "event",
         "created_at",
+        *keep,
         *[url_param("url_params", k, exact_key=exact_key).alias(k) for k in keys],
     )
 
@@ -53,12 +56,14 @@ def attribution_fill(
     carry_forward: bool = False,
     tiebreak: Sequence[str] = (),
     chunk_seconds: int = 3600,
+    piece_rows: int = DEFAULT_PIECE_ROWS,
 ) -> DataFrame:
-    """uid, event, created_at, <key>_filled for every key.
+    """uid, event, created_at, the tie-break columns, <key>_filled for every key.
 
     Faithful default: a missing value takes the value of the user's
-    immediately preceding row (by created_at) — one row back only, so two
-    blanks in a row leave the second blank.  ``carry_forward=True`` takes the
+    immediately preceding row (by created_at, rows without a time last; rows of
+    one instant by the tie-break) — one row back only, so two blanks in a row
+    leave the second blank.  ``carry_forward=True`` takes the
     last non-missing earlier value instead.
     """
     with_prev = lag_by_key(
@@ -68,6 +73,7 @@ def attribution_fill(
         list(keys),
         tiebreak=tiebreak,
         chunk_seconds=chunk_seconds,
+        piece_rows=piece_rows,
         ignore_nulls=carry_forward,
         prefix="_prev_",
     )
@@ -75,6 +81,7 @@ def attribution_fill(
         "uid",
         "event",
         "created_at",
+        *tiebreak,
         *[F.coalesce(F.col(k), F.col(f"_prev_{k}")).alias(f"{k}_filled") for k in keys],
     )
 

@@ -19,6 +19,8 @@ DateLike = str | _dt.date | None
 
 
 def _as_date(value: DateLike) -> _dt.date | None:
+    if isinstance(value, _dt.datetime):  # a moment counts as its day
+        return value.date()
     if value is None or isinstance(value, _dt.date):
         return value
     return _dt.date.fromisoformat(str(value)[:10])

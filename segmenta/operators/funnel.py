@@ -62,9 +62,9 @@ def param_funnel(counts: DataFrame, *, param: str | None = None) -> DataFrame:
     first present step is 100.0).  The optional case-insensitive ``param``
     pattern is applied after the conversion, so it only selects rows.
     """
-    w = Window.partitionBy("param").orderBy("step")
+    w = Window.partitionBy("param").orderBy(F.col("step").asc_nulls_last())
     prev = F.lag("users_count").over(w)
     conv = F.when(prev.isNull(), F.lit(100.0)).otherwise(percent("users_count", prev, 2))
     out = counts.select("param", "step", "users_count", conv.alias("conversion_percent"))
     out = apply_filters(out, ilike_predicate("param", param))
-    return out.select("step", "users_count", "conversion_percent", "param").orderBy("step")
+    return out.select("step", "users_count", "conversion_percent", "param").orderBy(F.col("step").asc_nulls_last())

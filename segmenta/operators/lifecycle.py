@@ -97,7 +97,7 @@ def cohort_retention(tx: DataFrame, segments: DataFrame, *, rfm_group=None, publ
             ratio(F.least("retained_users", "cohort_users"), "cohort_users", 2).alias("retention_rate"),
             "months_after_first",
         )
-        .orderBy("cohort_month", "months_after_first", "rfm_group")
+        .orderBy(*[F.col(c).asc_nulls_last() for c in ("cohort_month", "months_after_first", "rfm_group")])
     )
     if published_columns:
         out = out.drop("months_after_first")
@@ -172,7 +172,7 @@ def churn_rate(
         F.col("total_clients").cast("bigint").alias("total_clients"),
         F.col("churn_clients").cast("bigint").alias("churn_clients"),
         percent("churn_clients", "total_clients", 2).alias("churn_percent"),
-    ).orderBy("rfm_group", F.col("churn_percent").desc_nulls_first())
+    ).orderBy(F.col("rfm_group").asc_nulls_last(), F.col("churn_percent").desc_nulls_first())
 
 
 # ---------------------------------------------------------------------------
@@ -280,7 +280,7 @@ def weekly_retention(entries: DataFrame, *, row_cap: int | None = None) -> DataF
             "weeks_since_first",
             percent("active_users", "cohort_size", 2).alias("retention_percent"),
         )
-        .orderBy("cohort_month", "weeks_since_first")
+        .orderBy(F.col("cohort_month").asc_nulls_last(), F.col("weeks_since_first").asc_nulls_last())
     )
     if row_cap is not None:
         out = out.limit(row_cap)

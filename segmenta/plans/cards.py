@@ -28,6 +28,12 @@ FILTER_GROUPS = ("Чемпионы", "Лояльные", "Спящие")
 FILTER_PARAM = "UTM_SOURCE=%"
 FILTER_STAT_PERIOD = ("2024-01-10", "2024-01-20")
 
+# Click-stream rows of one instant follow each other by the log's own id.
+EVENT_ID = ("event_id",)
+# Rows of a piece in the cards over the irregular click-stream, whose anonymous
+# rows are cut into many pieces at every scale.
+FEW_ROWS = 200
+
 Card = Callable[[SparkSession, str], DataFrame]
 
 
@@ -167,8 +173,12 @@ def _parsed(spark, sf_dir, **kw):
     return attribution.url_params(tables.stat(spark, sf_dir), **kw)
 
 
+def _filled(spark, sf_dir, **kw):
+    return attribution.attribution_fill(_parsed(spark, sf_dir, keep=EVENT_ID, **kw), tiebreak=EVENT_ID)
+
+
 def _param_rows(spark, sf_dir):
-    return attribution.param_rows(attribution.attribution_fill(_parsed(spark, sf_dir)))
+    return attribution.param_rows(_filled(spark, sf_dir))
 
 
 def q_url_params(spark, sf_dir):
@@ -180,11 +190,30 @@ def q_url_params_exact_key(spark, sf_dir):
 
 
 def q_attribution_fill(spark, sf_dir):
-    return attribution.attribution_fill(_parsed(spark, sf_dir))
+    return _filled(spark, sf_dir).drop(*EVENT_ID)
 
 
 def q_attribution_carry_forward(spark, sf_dir):
-    return attribution.attribution_fill(_parsed(spark, sf_dir), carry_forward=True)
+    parsed = _parsed(spark, sf_dir, keep=EVENT_ID)
+    return attribution.attribution_fill(parsed, tiebreak=EVENT_ID, carry_forward=True).drop(*EVENT_ID)
+
+
+def _irregular(spark, sf_dir, **kw):
+    parsed = attribution.url_params(tables.stat_irregular(spark, sf_dir), keep=EVENT_ID)
+    return attribution.attribution_fill(parsed, tiebreak=EVENT_ID, piece_rows=FEW_ROWS, **kw)
+
+
+def q_attribution_fill_irregular(spark, sf_dir):
+    """Tied and missing times, a third of the rows anonymous; pieces of few rows."""
+    return _irregular(spark, sf_dir)
+
+
+def q_attribution_carry_forward_irregular(spark, sf_dir):
+    return _irregular(spark, sf_dir, carry_forward=True)
+
+
+def q_param_event_counts_irregular(spark, sf_dir):
+    return attribution.param_event_counts(attribution.param_rows(_irregular(spark, sf_dir)))
 
 
 def q_param_rows(spark, sf_dir):
@@ -262,8 +291,8 @@ def q_avg_recency_filtered(spark, sf_dir):
 
 def q_param_event_counts_period(spark, sf_dir):
     """Period filter on the click-stream, applied before the fill."""
-    parsed = _parsed(spark, sf_dir, date_range=FILTER_STAT_PERIOD)
-    return attribution.param_event_counts(attribution.param_rows(attribution.attribution_fill(parsed)))
+    filled = _filled(spark, sf_dir, date_range=FILTER_STAT_PERIOD)
+    return attribution.param_event_counts(attribution.param_rows(filled))
 
 
 # --- audiences (narrative N1, N2) -------------------------------------------
@@ -305,6 +334,9 @@ CARDS: dict[str, Card] = {
     "url_params_exact_key": q_url_params_exact_key,
     "attribution_fill": q_attribution_fill,
     "attribution_carry_forward": q_attribution_carry_forward,
+    "attribution_fill_irregular": q_attribution_fill_irregular,
+    "attribution_carry_forward_irregular": q_attribution_carry_forward_irregular,
+    "param_event_counts_irregular": q_param_event_counts_irregular,
     "param_rows": q_param_rows,
     "param_event_counts": q_param_event_counts,
     "param_funnel_flags": q_param_funnel_flags,

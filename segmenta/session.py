@@ -43,7 +43,7 @@ def get_spark(
     spark = builder.getOrCreate()
     # getOrCreate may hand back an existing session: re-apply runtime SQL conf.
     for key, value in conf.items():
-        if key.startswith("spark.sql."):
+        if spark.conf.isModifiable(key):  # not those fixed when the session was made
             spark.conf.set(key, value)
     ensure_checkpoint_dir(spark)
     return spark

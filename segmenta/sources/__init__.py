@@ -8,6 +8,7 @@ from segmenta.sources.tables import (
     require_columns,
     shops,
     stat,
+    stat_irregular,
     userentry,
     userentry_months,
     users,
@@ -21,6 +22,7 @@ __all__ = [
     "require_columns",
     "shops",
     "stat",
+    "stat_irregular",
     "userentry",
     "userentry_months",
     "users",

@@ -8,7 +8,7 @@ Business tables (schemas in FIXTURES.md):
 * ``shops``        — name
 * ``users``        — id, date_joined
 * ``userentry``    — user_id, entry_at
-* ``stat``         — uid, event, created_at, url_params
+* ``stat``         — uid, event, created_at, url_params, and the log's own event_id
 
 On a real deployment these are tables of their own (``spark.table`` or
 ``spark.read.parquet``); here they are derived from the TPC-H-style test data
@@ -29,25 +29,27 @@ from pyspark.sql import functions as F
 _SCHEMAS: dict[tuple, object] = {}
 
 
-def _schema_key(path: str) -> tuple:
+def _local_version(path: str) -> int | None:
     try:
-        return (path, os.stat(path).st_mtime_ns)
-    except OSError:  # remote file systems: key on the path only
-        return (path, None)
+        return os.stat(path).st_mtime_ns
+    except OSError:  # not a local path
+        return None
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, e.g. ``read_table(spark, '/root/testdata/sf0.01', 'orders')``.
 
-    The Parquet schema is inferred once per file (and file version) and then
-    passed explicitly, so repeated reads skip the footer-inference job.
+    The Parquet schema of a local file is inferred once per file version and then
+    passed explicitly, so repeated reads skip the footer-inference job.  In a
+    store whose file versions are not known, it is inferred at every read.
     """
     path = os.path.join(sf_dir, f"{name}.parquet")
-    key = _schema_key(path)
-    schema = _SCHEMAS.get(key)
+    version = _local_version(path)
+    if version is None:
+        return spark.read.parquet(path)
+    schema = _SCHEMAS.get((path, version))
     if schema is None:
-        schema = spark.read.parquet(path).schema
-        _SCHEMAS[key] = schema
+        schema = _SCHEMAS[path, version] = spark.read.parquet(path).schema
     return spark.read.schema(schema).parquet(path)
 
 
@@ -160,6 +162,19 @@ def stat(spark: SparkSession, sf_dir: str) -> DataFrame:
         event.alias("event"),
         F.col("ts").alias("created_at"),
         url.alias("url_params"),
+        "event_id",
+    )
+
+
+def stat_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same click-stream with a third of the rows anonymous, many of them at
+    the same instant (midnight) and some without a time."""
+    eid = F.col("event_id")
+    return stat(spark, sf_dir).withColumns(
+        {
+            "uid": F.when(eid % 3 != 0, F.col("uid")),
+            "created_at": F.when(eid % 11 != 0, F.when(eid % 2 == 0, F.col("created_at").cast("date").cast("timestamp_ntz")).otherwise(F.col("created_at"))),
+        }
     )
 
 
@@ -170,10 +185,11 @@ FIXTURE_VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "userentry": userentry,
     "userentry_months": userentry_months,
     "stat": stat,
+    "stat_irregular": stat_irregular,
 }
 
 
 def load_fixtures(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All six views as lazy DataFrames."""
+    """All fixture views as lazy DataFrames."""
     return {name: build(spark, sf_dir) for name, build in FIXTURE_VIEWS.items()}
 

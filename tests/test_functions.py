@@ -78,3 +78,18 @@ def test_percent_rounds_half_up_exactly(spark):
     assert got == [14.38, 33.33, 12.5, 66.67]
     got = [r.q for r in df.select(columns.ratio("k", "n", 2).alias("q")).collect()]
     assert got == [0.14, 0.33, 0.13, 0.67]
+
+
+def test_moments_count_as_their_days():
+    import datetime as dt
+
+    from segmenta.operators.filters import _as_date
+
+    assert _as_date(dt.datetime(2024, 1, 2, 10)) == dt.date(2024, 1, 2) == _as_date("2024-01-02 10:00:00")
+
+
+def test_settings_fixed_at_the_start_are_left_alone(spark):
+    from segmenta.session import get_spark
+
+    again = get_spark(extra_conf={"spark.sql.warehouse.dir": "/tmp/other", "spark.sql.shuffle.partitions": "8"})
+    assert again.conf.get("spark.sql.warehouse.dir") != "/tmp/other"

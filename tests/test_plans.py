@@ -12,7 +12,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as se
+from segmenta.plans.cards import CARDS
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def _physical(df) -> str:
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data not present")
 def test_single_partition_exchanges_only_over_aggregates(spark):
     offenders = {}
-    for key, card in se.queries().items():
+    for key, card in CARDS.items():
         plan = _physical(card(spark, SF_DIR)).splitlines()
         for i, line in enumerate(plan):
             if "Exchange SinglePartition" in line:
