@@ -192,6 +192,43 @@ def lag_by_key(
     return out.select(*df.columns, *[prefix + c for c in cols])
 
 
+def replicate_in_order(
+    df: DataFrame, count_col: str, by: str, *, then: Sequence[str] = (), block: int = 4096, slots: int | None = None
+) -> DataFrame:
+    """Emit every row ``count_col`` times (then drop the column), sorted by ``by``
+    descending, NULLs first; rows of one value by ``then`` within a task.
+
+    Only blocks of at most ``block`` copies move: they are counted per value of
+    ``by`` (few values: a calendar's days), which gives every value its share of
+    the ``slots`` output tasks, several for a value with many copies; each task
+    sorts its blocks and emits their copies last.  ``slots`` is the number of
+    shuffle partitions by default.
+    """
+    spark = df.sparkSession
+    slots = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = F.col(count_col)
+    number = F.floor((n - 1) / F.lit(block)).cast("bigint")
+    blocks = df.where(n > 0).withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), number))).withColumn(
+        "_copies_here", F.least(F.lit(block).cast("bigint"), n - F.col("_blk") * block)
+    )
+    counted = df.where(n > 0).groupBy(F.col(by).cast("bigint").alias("v")).agg(F.sum(n).alias("n")).collect()
+    share = max(1, -(-sum(r.n for r in counted) // slots))
+    cells, before = [], 0
+    for r in sorted(counted, key=lambda r: (r.v is not None, -(r.v or 0))):
+        cells.append(f"({'CAST(NULL AS BIGINT)' if r.v is None else f'{r.v}L'}, {before}L, {r.n}L)")
+        before += r.n
+    if not cells:
+        return df.limit(0).drop(count_col)
+    places = spark.sql(f"SELECT * FROM VALUES {', '.join(cells)} AS t(_v, _before, _total)")
+    placed = blocks.join(F.broadcast(places), F.col(by).cast("bigint").eqNullSafe(F.col("_v")))
+    # A block's place among the copies of its value is drawn by its hash.
+    place = F.col("_before") + F.pmod(F.xxhash64(*df.columns, "_blk"), F.col("_total"))
+    moved = placed.withColumn("_slot", F.floor(place / share).cast("int")).repartitionById(slots, F.col("_slot"))
+    ordered = moved.sortWithinPartitions(F.col(by).desc_nulls_first(), *then)
+    copies = ordered.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies_here"))))
+    return copies.select(*[c for c in df.columns if c != count_col])
+
+
 def replicate(df: DataFrame, count_col: str, *, block: int = 4096, index_col: str | None = None) -> DataFrame:
     """Emit every row ``count_col`` times (then drop the column).
 

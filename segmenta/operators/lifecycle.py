@@ -25,7 +25,7 @@ from segmenta.functions.columns import (
     whole_weeks_between,
 )
 from segmenta.functions.joins import literal, one_row
-from segmenta.functions.sequence import replicate
+from segmenta.functions.sequence import replicate_in_order
 from segmenta.operators.filters import apply_filters, in_predicate
 from segmenta.operators.rfm import as_receipts
 from segmenta.operators.value import segment_weights
@@ -194,8 +194,8 @@ def churn_risk_segment(
     client-only join), age measured against the newest receipt date (``today``,
     taken from the segments when not given);
     sorted by age, descending.  Receipt rows are first counted per
-    (client, day) and the copies are re-emitted in spread-out blocks, so the
-    join only sees calendar-bounded rows per client.
+    (client, day), so the join only sees calendar-bounded rows per client; the
+    counted rows are sorted and their copies emitted after the sort.
     """
     low, high = bounds
     if today is None:  # newest receipt date, as carried by the segments
@@ -220,12 +220,7 @@ def churn_risk_segment(
         )
         .withColumn("churn_risk_segment", label)
     )
-    # Full tie-break (down to the copy number) so the range-partitioned sort can
-    # split a run of equal ages instead of sending it to one task.
-    out = replicate(rows, "_copies", index_col="_copy").orderBy(
-        F.col("recency_days").desc_nulls_first(), "client_id", "rfm_group", "transaction_date", "_copy"
-    )
-    return out.drop("_copy")
+    return replicate_in_order(rows, "_copies", "recency_days", then=("client_id", "rfm_group"))
 
 
 # ---------------------------------------------------------------------------
@@ -262,10 +257,13 @@ def weekly_retention(entries: DataFrame, *, row_cap: int | None = None) -> DataF
             )
         ).alias("weeks_since_first"),
     )
+    # All rows of a user lie in one task since the window, so the distinct needs no
+    # exchange; only counts per (cohort, week) move.
     active = (
         touched.where(F.col("weeks_since_first") > 0)
+        .distinct()
         .groupBy("cohort_month", "weeks_since_first")
-        .agg(F.countDistinct("user_id").alias("active_users"))
+        .agg(F.count(F.lit(1)).alias("active_users"))
     )
     # Exactly one day per user starts at its first visit: one row per user.
     sizes = (

@@ -5,8 +5,9 @@ Grain: one row per (client, shop).  Plan shape at scale:
 
 * the receipt scan is filtered (card prefix, period, shop) in the Parquet reader;
 * the shop dimension is broadcast only after a bounded row-count check;
-* (client, shop) measures are one hash aggregate; COUNT(DISTINCT doc_id) is split
-  by doc_id first, so a client with a huge share of receipts is spread over tasks;
+* receipt lines are exchanged once, combined before the shuffle, to one row per
+  (client, shop, doc_id): a client with a huge share of receipts is spread over
+  tasks, and COUNT(DISTINCT doc_id) is a plain count of these rows;
 * "today" (``current_dt``) is a global aggregate (partial per task) read back
   as a literal, not a window over all receipts;
 * quartiles are exact and distributed (``functions.quantiles``);
@@ -16,10 +17,11 @@ Grain: one row per (client, shop).  Plan shape at scale:
 
 from __future__ import annotations
 
+import weakref
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmenta.functions.columns import days_between
@@ -65,6 +67,7 @@ SEGMENT_IDS: dict[str, str] = {
     "Прочие": "other",
 }
 
+# The threshold columns' names.
 THRESHOLD_NAMES = {
     ("recency", 0.25): "r25",
     ("recency", 0.5): "recency_median",
@@ -76,7 +79,6 @@ THRESHOLD_NAMES = {
     ("monetary", 0.5): "monetary_median",
     ("monetary", 0.75): "m75",
 }
-THRESHOLD_COLUMNS = list(THRESHOLD_NAMES.values())
 
 
 def segment_of_code(code_table: dict[str, list[str]] | None = None, label: str = "ru") -> dict[str, str]:
@@ -141,6 +143,9 @@ def transactions(
 # ---------------------------------------------------------------------------
 
 
+DOC = ["client_id", "shop", "doc_id"]
+
+
 def receipts(tx: DataFrame) -> DataFrame:
     """Pre-aggregate receipt lines to (client_id, shop, doc_id, transaction_date)
     with ``lines`` (rows represented) and ``purchase_amount`` (their sum).
@@ -150,12 +155,40 @@ def receipts(tx: DataFrame) -> DataFrame:
     map-side, and its shuffle key includes doc_id, so a client holding a large
     share of the receipts is spread over many tasks.
     """
-    return tx.groupBy("client_id", "shop", "doc_id", "transaction_date").agg(
+    return tx.groupBy(*DOC, "transaction_date").agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum("purchase_amount").alias("purchase_amount"),
     )
 
 
+def receipt_totals(tx: DataFrame) -> DataFrame:
+    """One row per (client_id, shop, doc_id): ``first_date``, ``last_date``, ``split``
+    (whether its lines differ in date), ``lines``, ``purchase_amount``.  ``tx`` = lines
+    or :func:`receipts` output."""
+    day = F.col("transaction_date")
+    some_dated = (F.count(day) > 0) & (F.count(day) < F.count(F.lit(1)))
+    return as_receipts(tx).groupBy(*DOC).agg(
+        F.min(day).alias("first_date"),
+        F.max(day).alias("last_date"),
+        (F.coalesce(F.min(day) < F.max(day), F.lit(False)) | some_dated).alias("split"),
+        F.sum("lines").alias("lines"),
+        F.sum("purchase_amount").alias("purchase_amount"),
+    )
+
+
+def receipts_of_totals(totals: DataFrame, tx: DataFrame, any_split: bool) -> DataFrame:
+    """:func:`receipts` from :func:`receipt_totals` without another look at the
+    lines, but for those of receipts that lie on several days, if there are any."""
+    one_day = totals.where(~F.col("split")).select(
+        *DOC, F.col("first_date").alias("transaction_date"), "lines", "purchase_amount"
+    )
+    if not any_split:
+        return one_day
+    split = totals.where("split").select(*[F.col(c).alias("_" + c) for c in DOC])
+    same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in DOC]
+    return one_day.unionByName(receipts(tx.join(split, same, "left_semi")))
+
+
 def as_receipts(tx: DataFrame) -> DataFrame:
     """Accept raw receipt lines (one row = one line) or :func:`receipts` output."""
     return tx if "lines" in tx.columns else tx.withColumn("lines", F.lit(1).cast("bigint"))
@@ -166,12 +199,15 @@ def as_receipts(tx: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def _group_measures(tx: DataFrame) -> DataFrame:
-    """(client_id, shop, last_date, frequency, monetary): one hash aggregate."""
-    return tx.groupBy("client_id", "shop").agg(
-        F.max("transaction_date").alias("last_date"),
-        F.countDistinct("doc_id").cast("bigint").alias("frequency"),
+def _group_measures(totals: DataFrame) -> DataFrame:
+    """(client_id, shop, last_date, frequency, monetary, split) from :func:`receipt_totals`;
+    ``split`` tells whether a receipt lies on several days.  Each receipt is one row, so
+    its distinct count is a count (a missing doc_id counts as none)."""
+    return totals.groupBy("client_id", "shop").agg(
+        F.max("last_date").alias("last_date"),
+        F.count("doc_id").cast("bigint").alias("frequency"),
         F.sum("purchase_amount").alias("monetary"),
+        F.max("split").alias("split"),
     )
 
 
@@ -195,7 +231,7 @@ def rfm_base(tx: DataFrame) -> DataFrame:
 
     "Today" is the max of the per-group last dates (= the newest receipt): a
     global aggregate, partial per task, read back as a literal."""
-    grouped = _group_measures(tx)
+    grouped = _group_measures(receipt_totals(tx))
     today = one_row(grouped.agg(F.max("last_date").alias("d")))["d"]
     return _with_today(grouped, today)
 
@@ -308,65 +344,83 @@ def rfm_segments(
 # ---------------------------------------------------------------------------
 
 
+#: Measure rows of one client that one task joins with the client's segments.
+PAIR_BLOCK = 64
+
+
+def _report_rows(df: DataFrame) -> DataFrame:
+    money = F.col("monetary").cast("double").alias("monetary")
+    return df.select("rfm_group", "shop", money, "recency", "frequency", "client_id", "rfm_code")
+
+
 def rfm_report(
     base: DataFrame,
     segments: DataFrame,
     *,
     rfm_group=None,
     join_on=("client_id",),
+    block: int = PAIR_BLOCK,
 ) -> DataFrame:
     """Client table: rfm_group, shop, monetary, recency, frequency, client_id, rfm_code.
 
     Faithful default joins measures to segments on client_id only, so a client
     in n shops yields n*n rows that pair one shop's measures with another shop's
-    code; ``join_on=('client_id', 'shop')`` gives the one-row-per-shop variant.
-    The segment filter applies after scoring (thresholds do not move).
+    code; ``join_on=('client_id', 'shop')`` gives the one-row-per-shop variant
+    (no join: the segments carry the measures).  The segment filter applies
+    after scoring (thresholds do not move).
+
+    Clients of at most ``block`` shops are joined where they lie.  The measures
+    of a client with more are numbered and cut into blocks, its segment rows
+    are repeated once per block, and the two meet on (client, block): the n*n
+    rows of one client are made by n / block tasks.
     """
-    keys = list(join_on)
+    if set(join_on) == {"client_id", "shop"}:
+        rows = apply_filters(segments, in_predicate("rfm_group", rfm_group))
+        return _report_rows(rows)
+    by_client = Window.partitionBy("client_id")
+    shops_of = F.count(F.lit(1)).over(by_client)
     seg = apply_filters(
-        segments.select("client_id", "shop", "rfm_code", "rfm_group"),
+        segments.select("client_id", "shop", "rfm_code", "rfm_group", shops_of.alias("_n")),
         in_predicate("rfm_group", rfm_group),
     )
     # Both sides derive from the same grouped table: rename the measure side's
     # keys so the self-join resolves unambiguously.
-    measures = base.select(
-        F.col("client_id").alias("_m_client"),
-        F.col("shop").alias("_m_shop"),
-        "monetary",
-        "recency",
-        "frequency",
-    )
-    cond = F.col("_m_client") == F.col("client_id")
-    if "shop" in keys:
-        cond = cond & (F.col("_m_shop") == F.col("shop"))
-    joined = measures.join(seg, cond)
-    return joined.select(
-        "rfm_group",
-        "shop",
-        F.col("monetary").cast("double").alias("monetary"),
-        "recency",
-        "frequency",
-        "client_id",
-        "rfm_code",
+    measures = base.select("client_id", "monetary", "recency", "frequency", "shop", shops_of.alias("_m_n"))
+    number = F.row_number().over(by_client.orderBy("shop"))
+    light = measures.where(F.col("_m_n") <= block).withColumnRenamed("client_id", "_m_client").drop("shop")
+    heavy = measures.where(F.col("_m_n") > block).select(
+        F.col("client_id").alias("_m_client"), "monetary", "recency", "frequency", F.floor((number - 1) / block).alias("_m_block")
     )
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / block))
+    # Dealt to all tasks before the join, however few rows they are and whichever join is planned.
+    slots = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    repeated = seg.where(F.col("_n") > block).withColumn("_block", F.explode(blocks)).repartition(slots, "client_id", "_block")
+    same_client = F.col("_m_client") == F.col("client_id")
+    joined = light.join(seg.where(F.col("_n") <= block), same_client)
+    pairs = heavy.join(repeated, same_client & (F.col("_m_block") == F.col("_block")))
+    return _report_rows(joined).unionByName(_report_rows(pairs))
 
 
 class Scoring:
     """The shared front half of every RFM card.
 
-    ``receipts`` and the (client, shop) measures behind ``base`` and
-    ``segments`` are persisted (memory, spilling to disk): each is read by
-    several branches of one plan (today's date, the exact quartiles, ranks,
-    weights, joins), and Catalyst prunes those branches differently, so
-    without persisting each branch would re-scan and re-shuffle the receipt
-    lines.  Lost blocks are recomputed from lineage.  ``thresholds`` and
-    ``segments`` are computed on first use only (cards that need neither skip
-    the quartile jobs).  Call :meth:`unpersist` when done.
+    The (client, shop) measures behind ``base`` and ``segments`` are persisted
+    (memory, spilling to disk): several branches of one plan read them (today's
+    date, the exact quartiles, ranks, weights, joins), and Catalyst prunes those
+    branches differently, so without persisting each branch would re-scan and
+    re-shuffle the receipt lines.  The receipts are persisted as well, if they
+    are to be read again (``keep_receipts``).  Lost blocks are recomputed from
+    lineage.  ``thresholds`` and ``segments`` are computed on first use only
+    (cards that need neither skip the quartile jobs).
+
+    A scoring owns its cached tables.  They go with ``with score(...) as s:``,
+    with :meth:`unpersist`, or with the result they are lent to (:meth:`lend`).
     """
 
-    def __init__(self, tx, receipts, grouped, base, today, counts, threshold_method="exact", label="ru"):
+    def __init__(self, tx, totals, grouped, base, today, any_split, counts, threshold_method="exact", label="ru"):
         self.tx = tx
-        self.receipts = receipts
+        self.totals = totals
+        self.any_split = any_split
         self.grouped = grouped
         self.base = base
         self.today = today  # newest receipt date of the filtered set (datetime.date)
@@ -374,6 +428,10 @@ class Scoring:
         self._threshold_method = threshold_method
         self._label = label
 
+    @cached_property
+    def receipts(self) -> DataFrame:
+        return receipts_of_totals(self.totals, self.tx, self.any_split)
+
     @cached_property
     def thresholds(self) -> DataFrame:
         return rfm_thresholds(self.base, method=self._threshold_method, counts=self._counts)
@@ -388,8 +446,26 @@ class Scoring:
         # (receipts, base, segments) unpacking for the operators.
         return iter((self.receipts, self.base, self.segments))
 
+    def __enter__(self) -> Scoring:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.unpersist()
+
     def unpersist(self) -> None:
-        for df in (self.grouped, self.receipts):
+        _free(self.grouped, self.totals)
+
+    def lend(self, result: DataFrame) -> DataFrame:
+        """``result``, a plan over the cached tables, which are freed when nothing
+        refers to it any more (a frame derived from it then still gives the same
+        rows, from the sources)."""
+        weakref.finalize(result, _free, self.grouped, self.totals).atexit = False
+        return result
+
+
+def _free(*cached: DataFrame) -> None:
+    for df in cached:
+        if df.sparkSession.sparkContext._jsc is not None:  # the session still runs
             df.unpersist()
 
 
@@ -402,23 +478,28 @@ def score(
     threshold_method: str = "exact",
     label: str = "ru",
     persist: bool = True,
+    keep_receipts: bool = True,
 ) -> Scoring:
     """Receipts, (client, shop) measures, quartile thresholds and segments for
     one set of dashboard filters.
 
     ``segments`` carries the measures, ranks, code and group per (client, shop)
     (and ``current_dt``), which is everything the value / lifecycle / average
-    operators need; ``receipts`` replaces the receipt lines for them.
+    operators need; ``receipts`` replaces the receipt lines for them.  With
+    ``keep_receipts=False`` the receipts are not cached: for results that read
+    the segments alone.
     """
     level = StorageLevel.MEMORY_AND_DISK
     keep = (lambda df: df.persist(level)) if persist else (lambda df: df)
     tx = transactions(cheques, shops, date_range=date_range, shop_in=shop_in)
-    rec = keep(receipts(tx))
+    totals = receipt_totals(tx)
+    if keep_receipts:
+        totals = keep(totals)
     # Hash the (client, shop) table by client before persisting: it has at most
     # one row per shop per client (no hot key), and every later join or
     # aggregate keyed by client (report self-join, segment weights, per-client
     # sums) then reads it without another exchange.
-    grouped = keep(_group_measures(rec).repartition("client_id"))
+    grouped = keep(_group_measures(totals).repartition("client_id"))
     # One global aggregate gives "today" and the value counts the exact
     # quartiles need (recency and frequency are never NULL per group).
     stats = one_row(
@@ -426,12 +507,14 @@ def score(
             F.max("last_date").alias("today"),
             F.count(F.lit(1)).alias("n"),
             F.count("monetary").alias("n_monetary"),
+            F.max("split").alias("any_split"),
         )
     )
     counts = {"recency": stats["n"], "frequency": stats["n"], "monetary": stats["n_monetary"]}
     return Scoring(
         tx=tx,
-        receipts=rec,
+        totals=totals,
+        any_split=bool(stats["any_split"]),
         grouped=grouped,
         base=_with_today(grouped, stats["today"]),
         today=stats["today"],

@@ -8,6 +8,7 @@ in :mod:`segmenta.plans.oracle` uses as well.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +38,20 @@ FEW_ROWS = 200
 Card = Callable[[SparkSession, str], DataFrame]
 
 
-def _scored(spark: SparkSession, sf_dir: str, **filters):
-    cheques = tables.bonuscheques(spark, sf_dir)
-    shops = tables.shops(spark, sf_dir)
-    return rfm.score(cheques, shops, **filters)
+def _on_scoring(*, receipts: bool = False, **filters):
+    """A card over the scoring of all receipts (under dashboard filters).  The cached
+    tables belong to the card's result and go with it."""
+
+    def wrap(operator: Callable[[rfm.Scoring], DataFrame]) -> Card:
+        @functools.wraps(operator)
+        def card(spark: SparkSession, sf_dir: str) -> DataFrame:
+            cheques, shops = tables.bonuscheques(spark, sf_dir), tables.shops(spark, sf_dir)
+            scoring = rfm.score(cheques, shops, keep_receipts=receipts, **filters)
+            return scoring.lend(operator(scoring))
+
+        return card
+
+    return wrap
 
 
 def _money(df: DataFrame, *cols: str) -> DataFrame:
@@ -59,73 +70,74 @@ def q_transactions(spark, sf_dir):
     )
 
 
-def q_rfm_base(spark, sf_dir):
-    base = _scored(spark, sf_dir).base
-    return _money(base.select("client_id", "shop", "recency", "frequency", "monetary"), "monetary")
+@_on_scoring()
+def q_rfm_base(sc):
+    return _money(sc.base.select("client_id", "shop", "recency", "frequency", "monetary"), "monetary")
 
 
-def q_rfm_thresholds(spark, sf_dir):
-    return _scored(spark, sf_dir).thresholds
+@_on_scoring()
+def q_rfm_thresholds(sc):
+    return sc.thresholds
 
 
-def q_rfm_ranks(spark, sf_dir):
-    _, _, seg = _scored(spark, sf_dir)
-    return seg.select("client_id", "shop", "r_rank", "f_rank", "m_rank")
+@_on_scoring()
+def q_rfm_ranks(sc):
+    return sc.segments.select("client_id", "shop", "r_rank", "f_rank", "m_rank")
 
 
-def q_rfm_segments(spark, sf_dir):
-    _, _, seg = _scored(spark, sf_dir)
-    return seg.select("client_id", "rfm_code", "shop", "rfm_group")
+@_on_scoring()
+def q_rfm_segments(sc):
+    return sc.segments.select("client_id", "rfm_code", "shop", "rfm_group")
 
 
-def q_rfm_report(spark, sf_dir):
-    _, base, seg = _scored(spark, sf_dir)
-    return rfm.rfm_report(base, seg)
+@_on_scoring()
+def q_rfm_report(sc):
+    return rfm.rfm_report(sc.base, sc.segments)
 
 
-def q_rfm_report_by_shop(spark, sf_dir):
-    _, base, seg = _scored(spark, sf_dir)
-    return rfm.rfm_report(base, seg, join_on=("client_id", "shop"))
+@_on_scoring()
+def q_rfm_report_by_shop(sc):
+    return rfm.rfm_report(sc.base, sc.segments, join_on=("client_id", "shop"))
 
 
 # --- value (Q07-Q09, Q27) ---------------------------------------------------
 
 
-def q_ltv(spark, sf_dir):
-    tx, _, seg = _scored(spark, sf_dir)
-    return value.ltv(tx, seg)
+@_on_scoring(receipts=True)
+def q_ltv(sc):
+    return value.ltv(sc.receipts, sc.segments)
 
 
-def q_seasonality_index(spark, sf_dir):
-    tx, _, seg = _scored(spark, sf_dir)
-    return value.seasonality_index(tx, seg)
+@_on_scoring(receipts=True)
+def q_seasonality_index(sc):
+    return value.seasonality_index(sc.receipts, sc.segments)
 
 
-def q_segment_revenue_share(spark, sf_dir):
-    _, _, seg = _scored(spark, sf_dir)
-    return value.segment_revenue_share(seg)
+@_on_scoring()
+def q_segment_revenue_share(sc):
+    return value.segment_revenue_share(sc.segments)
 
 
-def q_kpi_cards(spark, sf_dir):
-    _, _, seg = _scored(spark, sf_dir)
-    return value.kpi_cards(seg)
+@_on_scoring()
+def q_kpi_cards(sc):
+    return value.kpi_cards(sc.segments)
 
 
 # --- lifecycle (Q10-Q12, Q18) -----------------------------------------------
 
 
-def q_cohort_retention(spark, sf_dir):
-    tx, _, seg = _scored(spark, sf_dir)
-    return lifecycle.cohort_retention(tx, seg)
+@_on_scoring(receipts=True)
+def q_cohort_retention(sc):
+    return lifecycle.cohort_retention(sc.receipts, sc.segments)
 
 
-def q_churn_rate(spark, sf_dir):
-    tx, _, seg = _scored(spark, sf_dir)
-    return lifecycle.churn_rate(tx, seg, as_of=CHURN_AS_OF)
+@_on_scoring(receipts=True)
+def q_churn_rate(sc):
+    return lifecycle.churn_rate(sc.receipts, sc.segments, as_of=CHURN_AS_OF)
 
 
-def q_churn_risk_segment(spark, sf_dir):
-    sc = _scored(spark, sf_dir)
+@_on_scoring(receipts=True)
+def q_churn_risk_segment(sc):
     return lifecycle.churn_risk_segment(sc.receipts, sc.segments, today=sc.today)
 
 
@@ -140,19 +152,19 @@ def q_weekly_retention_cohorts(spark, sf_dir):
 # --- segment averages (Q13-Q15) ---------------------------------------------
 
 
-def q_avg_recency_by_segment(spark, sf_dir):
-    _, _, seg = _scored(spark, sf_dir)
-    return averages.avg_recency_by_segment(seg)
+@_on_scoring()
+def q_avg_recency_by_segment(sc):
+    return averages.avg_recency_by_segment(sc.segments)
 
 
-def q_avg_spend_by_segment(spark, sf_dir):
-    _, _, seg = _scored(spark, sf_dir)
-    return averages.avg_spend_by_segment(seg)
+@_on_scoring()
+def q_avg_spend_by_segment(sc):
+    return averages.avg_spend_by_segment(sc.segments)
 
 
-def q_avg_frequency_by_segment(spark, sf_dir):
-    _, _, seg = _scored(spark, sf_dir)
-    return averages.avg_frequency_by_segment(seg)
+@_on_scoring()
+def q_avg_frequency_by_segment(sc):
+    return averages.avg_frequency_by_segment(sc.segments)
 
 
 # --- registrations (Q16, Q17) -----------------------------------------------
@@ -245,48 +257,48 @@ def q_param_funnel_filtered(spark, sf_dir):
 # --- dashboard filters (Q26) ------------------------------------------------
 
 
-def q_dashboard_filters(spark, sf_dir):
+@_on_scoring(date_range=FILTER_DATE_RANGE, shop_in=FILTER_SHOPS)
+def q_dashboard_filters(sc):
     """RFM report with all three dashboard filters: period, shops, segment."""
-    _, base, seg = _scored(spark, sf_dir, date_range=FILTER_DATE_RANGE, shop_in=FILTER_SHOPS)
-    return rfm.rfm_report(base, seg, rfm_group=FILTER_GROUP)
+    return rfm.rfm_report(sc.base, sc.segments, rfm_group=FILTER_GROUP)
 
 
-def q_ltv_filtered(spark, sf_dir):
-    tx, _, seg = _scored(spark, sf_dir, date_range=FILTER_DATE_RANGE)
-    return value.ltv(tx, seg, rfm_group=FILTER_GROUPS)
+@_on_scoring(receipts=True, date_range=FILTER_DATE_RANGE)
+def q_ltv_filtered(sc):
+    return value.ltv(sc.receipts, sc.segments, rfm_group=FILTER_GROUPS)
 
 
-def q_churn_rate_filtered(spark, sf_dir):
-    tx, _, seg = _scored(spark, sf_dir, shop_in=FILTER_SHOPS)
-    return lifecycle.churn_rate(tx, seg, as_of=CHURN_AS_OF, rfm_group=FILTER_GROUP)
+@_on_scoring(receipts=True, shop_in=FILTER_SHOPS)
+def q_churn_rate_filtered(sc):
+    return lifecycle.churn_rate(sc.receipts, sc.segments, as_of=CHURN_AS_OF, rfm_group=FILTER_GROUP)
 
 
-def q_segment_revenue_share_filtered(spark, sf_dir):
-    _, _, seg = _scored(spark, sf_dir, date_range=FILTER_DATE_RANGE)
-    return value.segment_revenue_share(seg, rfm_group=FILTER_GROUP)
+@_on_scoring(date_range=FILTER_DATE_RANGE)
+def q_segment_revenue_share_filtered(sc):
+    return value.segment_revenue_share(sc.segments, rfm_group=FILTER_GROUP)
 
 
-def q_seasonality_index_filtered(spark, sf_dir):
+@_on_scoring(receipts=True)
+def q_seasonality_index_filtered(sc):
     """Segment filter inside the monthly sums (before both averages)."""
-    tx, _, seg = _scored(spark, sf_dir)
-    return value.seasonality_index(tx, seg, rfm_group=FILTER_GROUP)
+    return value.seasonality_index(sc.receipts, sc.segments, rfm_group=FILTER_GROUP)
 
 
-def q_cohort_retention_filtered(spark, sf_dir):
+@_on_scoring(receipts=True, shop_in=FILTER_SHOPS)
+def q_cohort_retention_filtered(sc):
     """Segment filter after the join, published five columns."""
-    tx, _, seg = _scored(spark, sf_dir, shop_in=FILTER_SHOPS)
-    return lifecycle.cohort_retention(tx, seg, rfm_group=FILTER_GROUP, published_columns=True)
+    return lifecycle.cohort_retention(sc.receipts, sc.segments, rfm_group=FILTER_GROUP, published_columns=True)
 
 
-def q_churn_risk_segment_filtered(spark, sf_dir):
+@_on_scoring(receipts=True)
+def q_churn_risk_segment_filtered(sc):
     """Segment filter as an IN list."""
-    sc = _scored(spark, sf_dir)
     return lifecycle.churn_risk_segment(sc.receipts, sc.segments, rfm_group=FILTER_GROUPS, today=sc.today)
 
 
-def q_avg_recency_filtered(spark, sf_dir):
-    _, _, seg = _scored(spark, sf_dir, date_range=FILTER_DATE_RANGE)
-    return averages.avg_recency_by_segment(seg, rfm_group=FILTER_GROUP)
+@_on_scoring(date_range=FILTER_DATE_RANGE)
+def q_avg_recency_filtered(sc):
+    return averages.avg_recency_by_segment(sc.segments, rfm_group=FILTER_GROUP)
 
 
 def q_param_event_counts_period(spark, sf_dir):
@@ -298,13 +310,13 @@ def q_param_event_counts_period(spark, sf_dir):
 # --- audiences (narrative N1, N2) -------------------------------------------
 
 
-def q_campaign_audience(spark, sf_dir):
-    _, _, seg = _scored(spark, sf_dir)
-    return audience.campaign_audience(seg)
+@_on_scoring()
+def q_campaign_audience(sc):
+    return audience.campaign_audience(sc.segments)
 
 
-def q_repeat_buyers(spark, sf_dir):
-    sc = _scored(spark, sf_dir)
+@_on_scoring(receipts=True)
+def q_repeat_buyers(sc):
     return audience.repeat_buyers(sc.receipts, today=sc.today)
 
 

@@ -11,7 +11,8 @@ PKG = pathlib.Path(__file__).resolve().parents[1] / "segmenta"
 
 # Files allowed to bring results to the driver, and why the result is bounded.
 BOUNDED_COLLECTS = {
-    "functions/joins.py": "one_row(): a global aggregate, exactly one row",
+    "functions/joins.py": "one_row(): a global aggregate, exactly one row; any_row(): at most one",
+    "functions/sequence.py": "replicate_in_order(): one count per day of the calendar",
     "functions/quantiles.py": "per-measure counts / sketches and at most two values per probability",
 }
 
