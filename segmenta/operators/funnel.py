@@ -55,8 +55,9 @@ def param_funnel_steps(flags: DataFrame, steps=FUNNEL_STEPS) -> DataFrame:
     return long.where(F.col("users_count") > 0)
 
 
-def param_funnel(counts: DataFrame, *, param: str | None = None) -> DataFrame:
+def param_funnel(counts: DataFrame, *, param: str | None = None, published_columns: bool = False) -> DataFrame:
     """step, users_count, conversion_percent, param — sorted by step.
+    ``published_columns=True`` drops the param (the printed card's three columns).
 
     Conversion is against the previous *present* step of the same param (the
     first present step is 100.0).  The optional case-insensitive ``param``
@@ -67,4 +68,5 @@ def param_funnel(counts: DataFrame, *, param: str | None = None) -> DataFrame:
     conv = F.when(prev.isNull(), F.lit(100.0)).otherwise(percent("users_count", prev, 2))
     out = counts.select("param", "step", "users_count", conv.alias("conversion_percent"))
     out = apply_filters(out, ilike_predicate("param", param))
-    return out.select("step", "users_count", "conversion_percent", "param").orderBy(F.col("step").asc_nulls_last())
+    columns = ["step", "users_count", "conversion_percent"] + ([] if published_columns else ["param"])
+    return out.select(*columns).orderBy(F.col("step").asc_nulls_last())

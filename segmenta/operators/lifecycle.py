@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from segmenta.functions.columns import (
     days_between,
+    mean,
     month_start,
     months_between_starts,
     percent,
@@ -25,10 +26,12 @@ from segmenta.functions.columns import (
     whole_weeks_between,
 )
 from segmenta.functions.joins import literal, one_row
+from segmenta.functions.limits import ordered_limit
 from segmenta.functions.sequence import replicate_in_order
 from segmenta.operators.filters import apply_filters, in_predicate
 from segmenta.operators.rfm import as_receipts
 from segmenta.operators.value import segment_weights
+from segmenta.sources.tables import require_columns
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's): output labels.
@@ -223,6 +226,36 @@ def churn_risk_segment(
     return replicate_in_order(rows, "_copies", "recency_days", then=("client_id", "rfm_group"))
 
 
+def avg_interval_by_churn_risk(tx: DataFrame, *, bounds: tuple[int, int] = (30, 90), today=None) -> DataFrame:
+    """churn_risk_segment, clients_count, avg_interval_days — how many days clients of each
+    risk let pass between two purchase days, on average over all their intervals.
+
+    A client's risk is that of the newest purchase (as in :func:`churn_risk_segment`), against the
+    newest receipt date.  The intervals of a client add up to last minus first day, and number one
+    less than the distinct days, so no row meets its successor.  Clients of a single day count, but
+    have no interval; a risk without any interval has a NULL mean.
+    """
+    low, high = bounds
+    days = tx.select("client_id", "transaction_date").where(F.col("transaction_date").isNotNull()).distinct()
+    per_client = days.groupBy("client_id").agg(
+        F.max("transaction_date").alias("last"), F.min("transaction_date").alias("first"), F.count(F.lit(1)).alias("days")
+    )
+    if today is None:
+        today = one_row(days.agg(F.max("transaction_date").alias("d")))["d"]
+    age = days_between(literal(today, "date"), "last")
+    label = F.when(age <= low, F.lit(RISK_LOW)).when(age <= high, F.lit(RISK_MEDIUM)).otherwise(F.lit(RISK_HIGH))
+    return (
+        per_client.groupBy(label.alias("churn_risk_segment"))
+        .agg(
+            F.count(F.lit(1)).alias("clients_count"),
+            F.sum(days_between("last", "first")).alias("total"),
+            F.sum(F.col("days") - 1).alias("intervals"),
+        )
+        .select("churn_risk_segment", "clients_count", mean("total", "intervals", 1).alias("avg_interval_days"))
+        .orderBy("churn_risk_segment")
+    )
+
+
 # ---------------------------------------------------------------------------
 # Q18 weekly_retention
 # ---------------------------------------------------------------------------
@@ -241,6 +274,7 @@ def weekly_retention(entries: DataFrame, *, row_cap: int | None = None) -> DataF
     first and last entry.  ``row_cap`` reproduces the dashboard export cap
     (1,048,575) when set; by default the result is whole.
     """
+    require_columns(entries, ["user_id", "entry_at"], "userentry")
     daily = entries.where(F.col("entry_at").isNotNull() & F.col("user_id").isNotNull()).groupBy(
         "user_id", F.to_date("entry_at").alias("_day")
     ).agg(F.min("entry_at").alias("_lo"), F.max("entry_at").alias("_hi"))
@@ -271,15 +305,12 @@ def weekly_retention(entries: DataFrame, *, row_cap: int | None = None) -> DataF
         .groupBy(month_start("first_visit").alias("cohort_month"))
         .agg(F.count(F.lit(1)).alias("cohort_size"))
     )
-    out = (
-        active.join(sizes, "cohort_month")
-        .select(
-            "cohort_month",
-            "weeks_since_first",
-            percent("active_users", "cohort_size", 2).alias("retention_percent"),
-        )
-        .orderBy(F.col("cohort_month").asc_nulls_last(), F.col("weeks_since_first").asc_nulls_last())
+    out = active.join(sizes, "cohort_month").select(
+        "cohort_month",
+        "weeks_since_first",
+        percent("active_users", "cohort_size", 2).alias("retention_percent"),
     )
+    order = ["cohort_month", "weeks_since_first"]
     if row_cap is not None:
-        out = out.limit(row_cap)
-    return out
+        return ordered_limit(out, row_cap, order)
+    return out.orderBy(*[F.col(c).asc_nulls_last() for c in order])

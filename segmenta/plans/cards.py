@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmenta.operators import attribution, audience, averages, funnel, lifecycle, registrations, rfm, value
-from segmenta.sources import tables
+from segmenta import sinks
+from segmenta.session import scratch_path
+from segmenta.sources import contracts, tables
 
 # Fixed clocks for reproducible results (the reference uses NOW / CURRENT_DATE).
 CHURN_AS_OF = "2001-08-15"
@@ -35,6 +37,10 @@ EVENT_ID = ("event_id",)
 # rows are cut into many pieces at every scale.
 FEW_ROWS = 200
 
+# The dashboard's export cap, and one that cuts the test data.
+EXPORT_CAP = 1_048_575
+SMALL_CAP = 500
+
 Card = Callable[[SparkSession, str], DataFrame]
 
 
@@ -149,6 +155,21 @@ def q_weekly_retention_cohorts(spark, sf_dir):
     return lifecycle.weekly_retention(tables.userentry_months(spark, sf_dir))
 
 
+def q_weekly_retention_exported(spark, sf_dir):
+    """With the dashboard's export cap."""
+    return lifecycle.weekly_retention(tables.userentry_months(spark, sf_dir), row_cap=EXPORT_CAP)
+
+
+def q_weekly_retention_capped(spark, sf_dir):
+    """With a cap below the number of rows."""
+    return lifecycle.weekly_retention(tables.userentry_months(spark, sf_dir), row_cap=SMALL_CAP)
+
+
+@_on_scoring(receipts=True)
+def q_avg_interval_by_churn_risk(sc):
+    return lifecycle.avg_interval_by_churn_risk(sc.receipts, today=sc.today)
+
+
 # --- segment averages (Q13-Q15) ---------------------------------------------
 
 
@@ -254,6 +275,12 @@ def q_param_funnel_filtered(spark, sf_dir):
     return funnel.param_funnel(steps, param=FILTER_PARAM)
 
 
+def q_param_funnel_published(spark, sf_dir):
+    """The printed card's three columns."""
+    steps = funnel.param_funnel_steps(funnel.param_funnel_flags(_param_rows(spark, sf_dir)))
+    return funnel.param_funnel(steps, published_columns=True)
+
+
 # --- dashboard filters (Q26) ------------------------------------------------
 
 
@@ -307,6 +334,83 @@ def q_param_event_counts_period(spark, sf_dir):
     return attribution.param_event_counts(attribution.param_rows(filled))
 
 
+@_on_scoring(date_range=FILTER_DATE_RANGE)
+def q_avg_spend_filtered(sc):
+    return averages.avg_spend_by_segment(sc.segments, rfm_group=FILTER_GROUPS)
+
+
+@_on_scoring(shop_in=FILTER_SHOPS)
+def q_avg_frequency_filtered(sc):
+    return averages.avg_frequency_by_segment(sc.segments, rfm_group=FILTER_GROUP)
+
+
+@_on_scoring(date_range=FILTER_DATE_RANGE, shop_in=FILTER_SHOPS)
+def q_kpi_cards_filtered(sc):
+    return value.kpi_cards(sc.segments, rfm_group=FILTER_GROUPS)
+
+
+def q_param_funnel_period(spark, sf_dir):
+    """Period filter on the click-stream, applied before the fill."""
+    rows = attribution.param_rows(_filled(spark, sf_dir, date_range=FILTER_STAT_PERIOD))
+    return funnel.param_funnel(funnel.param_funnel_steps(funnel.param_funnel_flags(rows)))
+
+
+# --- sources and sinks (§2.4) -----------------------------------------------
+
+
+def _checked(spark, sf_dir, table: str) -> contracts.Checked:
+    return contracts.check(tables.FIXTURE_VIEWS[table](spark, sf_dir), table)
+
+
+def q_read_bonuscheques(spark, sf_dir):
+    return _money(_checked(spark, sf_dir, "bonuscheques").rows, "summ_with_disc")
+
+
+def q_read_shops(spark, sf_dir):
+    return _checked(spark, sf_dir, "shops").rows
+
+
+def q_read_users(spark, sf_dir):
+    return _checked(spark, sf_dir, "users").rows
+
+
+def q_read_userentry(spark, sf_dir):
+    return _checked(spark, sf_dir, "userentry").rows
+
+
+def q_read_stat(spark, sf_dir):
+    return _checked(spark, sf_dir, "stat").rows
+
+
+def q_rejected_stat(spark, sf_dir):
+    """problem, rows — of the irregular click-stream, whose times are partly missing."""
+    return contracts.check(tables.stat_irregular(spark, sf_dir), "stat").report()
+
+
+def q_cheques_of_a_period(spark, sf_dir):
+    """Receipt lines kept by month; the period's folders are read again."""
+    path = scratch_path(spark, "cheques")
+    contracts.write_cheques(tables.bonuscheques(spark, sf_dir), path, grain="month")
+    cheques = contracts.read_cheques(spark, path, grain="month", date_range=FILTER_DATE_RANGE).rows
+    return _money(rfm.transactions(cheques, tables.shops(spark, sf_dir)), "purchase_amount")
+
+
+def q_published_rfm_segments(spark, sf_dir):
+    """Written twice, a folder per segment, and read back."""
+    root, segments = scratch_path(spark, "published"), q_rfm_segments(spark, sf_dir)
+    for _ in range(2):
+        sinks.publish(segments, root, "rfm_segments", partition_by=("rfm_group",))
+    return sinks.published(spark, root, "rfm_segments", segments.schema)
+
+
+def q_published_registrations(spark, sf_dir):
+    """Written as sorted files and read back in order."""
+    root, order = scratch_path(spark, "published"), ["date_joined"]
+    result = q_registrations_daily(spark, sf_dir)
+    sinks.publish(result, root, "registrations_daily", order_by=order, files=4)
+    return sinks.published(spark, root, "registrations_daily", result.schema, order)
+
+
 # --- audiences (narrative N1, N2) -------------------------------------------
 
 
@@ -364,6 +468,23 @@ CARDS: dict[str, Card] = {
     "churn_risk_segment_filtered": q_churn_risk_segment_filtered,
     "avg_recency_filtered": q_avg_recency_filtered,
     "param_event_counts_period": q_param_event_counts_period,
+    "avg_spend_filtered": q_avg_spend_filtered,
+    "avg_frequency_filtered": q_avg_frequency_filtered,
+    "kpi_cards_filtered": q_kpi_cards_filtered,
+    "param_funnel_period": q_param_funnel_period,
+    "param_funnel_published": q_param_funnel_published,
+    "weekly_retention_exported": q_weekly_retention_exported,
+    "weekly_retention_capped": q_weekly_retention_capped,
+    "avg_interval_by_churn_risk": q_avg_interval_by_churn_risk,
+    "read_bonuscheques": q_read_bonuscheques,
+    "read_shops": q_read_shops,
+    "read_users": q_read_users,
+    "read_userentry": q_read_userentry,
+    "read_stat": q_read_stat,
+    "rejected_stat": q_rejected_stat,
+    "cheques_of_a_period": q_cheques_of_a_period,
+    "published_rfm_segments": q_published_rfm_segments,
+    "published_registrations": q_published_registrations,
     "campaign_audience": q_campaign_audience,
     "repeat_buyers": q_repeat_buyers,
 }

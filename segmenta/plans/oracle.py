@@ -206,12 +206,13 @@ SELECT if(good, 'High M + Good R/F', 'Other') AS segment, rfm_group, count(*) AS
 FROM chosen GROUP BY good, rfm_group ORDER BY revenue_share_percent DESC"""
 
 
-KPI_CARDS = _scored() + """
+def _kpi(groups=None, **filters) -> str:
+    return _scored(**filters) + f"""
 SELECT round(CAST(100 * coalesce(sum(monetary) FILTER (greatest(r_rank, f_rank, m_rank) < 2), 0) AS DOUBLE)
              / CAST(sum(monetary) AS DOUBLE), 2) AS high_value_share_percent,
        CAST(sum(frequency) AS BIGINT) AS total_purchases, count(*) AS clients_count,
        CAST(sum(monetary) AS DOUBLE) AS total_revenue, CAST(sum(monetary) AS DOUBLE) / count(*) AS avg_check
-FROM scored"""
+FROM scored WHERE {_is('rfm_group', groups)}"""
 
 
 def _average(measure: str, out: str, group=None, **filters) -> str:
@@ -269,6 +270,18 @@ FROM (SELECT client_id, day, (SELECT max(day) FROM purchase) - day AS age FROM p
 WHERE {_is('rfm_group', groups)} ORDER BY age DESC"""
 
 
+AVG_INTERVAL_BY_CHURN_RISK = _scored() + """,
+days AS (SELECT DISTINCT client_id, day FROM purchase),
+steps AS (
+  SELECT client_id, day - lag(day) OVER client AS gap,
+         (SELECT max(day) FROM purchase) - max(day) OVER (PARTITION BY client_id) AS age
+  FROM days WINDOW client AS (PARTITION BY client_id ORDER BY day))
+SELECT CASE WHEN age > 90 THEN 'высокий' WHEN age > 30 THEN 'средний' ELSE 'низкий' END || ' риск ухода'
+         AS churn_risk_segment,
+       count(DISTINCT client_id) AS clients_count, round(avg(gap), 1) AS avg_interval_days
+FROM steps GROUP BY 1 ORDER BY 1"""
+
+
 def _weekly(entries: str) -> str:
     return f"""WITH {entries},
 aged AS (
@@ -323,16 +336,16 @@ PARAM_FUNNEL_FLAGS = _tagged() + "SELECT uid, param, " + ", ".join(
 ) + " FROM tagged GROUP BY uid, param"
 
 
-def _reached() -> str:
+def _reached(**filters) -> str:
     """Visitors per parameter and step; those without an id are one."""
-    return _tagged() + f""", reached AS (
+    return _tagged(**filters) + f""", reached AS (
   SELECT param, step, count(DISTINCT coalesce(CAST(uid AS VARCHAR), '')) AS users_count
   FROM tagged JOIN (VALUES {_values((event, title) for _, event, title in STEPS)}) AS steps(event, step) USING (event)
   GROUP BY param, step)"""
 
 
-def _funnel(pattern=None) -> str:
-    return _reached() + f"""
+def _funnel(pattern=None, **filters) -> str:
+    return _reached(**filters) + f"""
 SELECT step, users_count,
        coalesce(round(100.0 * users_count / lag(users_count) OVER (PARTITION BY param ORDER BY step), 2), 100.0)
          AS conversion_percent, param
@@ -348,6 +361,10 @@ SELECT * FROM (
   WHERE day > (SELECT max(day) - INTERVAL 6 MONTH FROM purchase) GROUP BY client_id)
 WHERE purchases > 2"""
 
+def _table(view: str, name: str) -> str:
+    return f"WITH {view} SELECT * FROM {name}"
+
+
 _DAYS, _SHOPS = cards.FILTER_DATE_RANGE, cards.FILTER_SHOPS
 _GROUP, _GROUPS = cards.FILTER_GROUP, cards.FILTER_GROUPS
 _PUBLISHED = "cohort_month, rfm_group, retained_users, cohort_users, retention_rate"
@@ -363,7 +380,7 @@ ORACLE_SQL: dict[str, str] = {
     "ltv": _ltv(),
     "seasonality_index": _seasonality(),
     "segment_revenue_share": _share(),
-    "kpi_cards": KPI_CARDS,
+    "kpi_cards": _kpi(),
     "cohort_retention": _cohort(),
     "churn_rate": _churn(),
     "churn_risk_segment": _churn_risk(),
@@ -396,6 +413,24 @@ ORACLE_SQL: dict[str, str] = {
     "churn_risk_segment_filtered": _churn_risk(_GROUPS),
     "avg_recency_filtered": _average("recency", "avg_interval_days", _GROUP, days=_DAYS),
     "param_event_counts_period": _event_counts(days=cards.FILTER_STAT_PERIOD),
+    "avg_spend_filtered": _average("monetary", "avg_spend", _GROUPS, days=_DAYS),
+    "avg_frequency_filtered": _average("frequency", "avg_frequency", _GROUP, shops=_SHOPS),
+    "kpi_cards_filtered": _kpi(_GROUPS, days=_DAYS, shops=_SHOPS),
+    "param_funnel_period": _funnel(days=cards.FILTER_STAT_PERIOD),
+    "param_funnel_published": f"SELECT * EXCLUDE param FROM ({_funnel()})",
+    "weekly_retention_exported": _weekly(USERENTRY_MONTHS) + f" LIMIT {cards.EXPORT_CAP}",
+    "weekly_retention_capped": _weekly(USERENTRY_MONTHS) + f" LIMIT {cards.SMALL_CAP}",
+    "avg_interval_by_churn_risk": AVG_INTERVAL_BY_CHURN_RISK,
+    "read_bonuscheques": f"WITH {BONUSCHEQUES} SELECT * REPLACE (CAST(summ_with_disc AS DOUBLE) AS summ_with_disc) FROM bonuscheques",
+    "read_shops": _table(SHOPS, "shops"),
+    "read_users": _table(USERS, "users"),
+    "read_userentry": _table(USERENTRY, "userentry"),
+    "read_stat": f"WITH {STAT} SELECT * EXCLUDE event_id FROM stat",
+    "rejected_stat": f"WITH {STAT_IRREGULAR} SELECT 'created_at: missing' AS problem, count(*) AS rows FROM stat WHERE created_at IS NULL",
+    "cheques_of_a_period": _scored(days=_DAYS) + """
+SELECT client_id, doc_id, shop, day AS transaction_date, CAST(amount AS DOUBLE) AS purchase_amount FROM purchase""",
+    "published_rfm_segments": RFM_SEGMENTS,
+    "published_registrations": REGISTRATIONS_DAILY,
     "campaign_audience": CAMPAIGN_AUDIENCE,
     "repeat_buyers": REPEAT_BUYERS,
 }

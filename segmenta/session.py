@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,6 +50,15 @@ def get_spark(
     return spark
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder for files that driver and executors share: below the checkpoint
+    folder (on a cluster: ``spark.checkpoint.dir``)."""
+    root = ensure_checkpoint_dir(spark)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the checkpoint directory, setting one only when none is configured.
 

@@ -13,6 +13,7 @@ PKG = pathlib.Path(__file__).resolve().parents[1] / "segmenta"
 BOUNDED_COLLECTS = {
     "functions/joins.py": "one_row(): a global aggregate, exactly one row; any_row(): at most one",
     "functions/sequence.py": "replicate_in_order(): one count per day of the calendar",
+    "functions/limits.py": "with_positions(): one count per range",
     "functions/quantiles.py": "per-measure counts / sketches and at most two values per probability",
 }
 
