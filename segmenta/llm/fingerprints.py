@@ -19,12 +19,14 @@ most ``2 * MOST + WINDOW`` characters (on ordinary text about ``2 * DIVISOR + WI
 without cuts, such as one repeated character, falls into spans of ``MOST`` from its start; there an
 edit may lose all of it that follows up to the next cut.
 
-Documents are range-partitioned and sorted by id once, and streamed: a document meets the next one
-in the same task.  The first and last document of each range meet their neighbours in a second,
-small step.  Nothing else of a task is held but the documents in hand.
+The keys alone (id and a hash of the text) are cut into ranges first; with the first key of each
+known, documents move once, sorted within their range, and the first document of a range is sent to
+the end of the range before as well.  So every document meets the next one in the same task, in one
+stream, and nothing is written but that exchange.  A task holds two documents, some 23 bytes a
+character each (prefix tables of two primes, code points and cuts), and ``BATCH_ROWS`` results.
 
 Results for odd input: a null text counts as empty; null ids come first, repeated ids are ordered by
-their texts; the document after the last one is the first, so a single document follows itself; two
+a hash of their texts, then by the texts; repeated rows follow each other; the document after the last one is the first, so a single document follows itself; two
 empty texts have likeness 1; an empty table gives no rows.  Other columns are not read.
 """
 
@@ -36,10 +38,10 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import materialize, text_or_empty
+from segmenta.llm.common import shuffle_partitions, text_or_empty
 
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (911_382_323, 972_663_749)
@@ -265,61 +267,75 @@ RESULT_DDL = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
 )
-EDGE = pa.schema([*RESULT, ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
-EDGE_DDL = RESULT_DDL + ", part int, edge string, text string"
 BATCH_ROWS = 512
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RESULT)], schema=RESULT)
 
 
 def _compare_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one sorted range: results, and its first and last document as edges."""
-    from pyspark import TaskContext
-
-    part, previous, out = TaskContext.get().partitionId(), None, []
-    blank = (None,) * (len(RESULT) - 1)
+    """The result rows of one sorted range, whose last rows are copies of the document after it."""
+    previous, out = None, []
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+        for doc_id, text, after in zip(*(batch.column(c) for c in ("doc_id", "text", "after"))):
+            if after.as_py() and previous is None:
+                break  # a further copy: the document after the range has an equal row
             doc = _Document(doc_id.as_py(), text.as_py())
-            if previous is None:
-                out.append((doc.doc_id, *blank, part, "first", doc.text))
-            else:
-                out.append((*_compared(previous, doc), part, None, None))
-            previous = doc
+            if previous is not None:
+                out.append(_compared(previous, doc))
+            previous = None if after.as_py() else doc
             if len(out) >= BATCH_ROWS:
-                yield _batch(out, EDGE)
+                yield _batch(out)
                 out = []
-    if previous is not None:
-        out.append((previous.doc_id, *blank, part, "last", previous.text))
     if out:
-        yield _batch(out, EDGE)
+        yield _batch(out)
 
 
-def _compare_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [
-            _compared(_Document(r["doc_id"], r["text"]), _Document(None, r["next_text"])) for r in batch.to_pylist()
-        ]
-        if rows:
-            yield _batch(rows, RESULT)
+KEY = ["known", "id", "hash"]  # the order of documents: null ids first
+
+
+def _first_keys(rows: DataFrame) -> list[tuple]:
+    """The first key of every range, in order, when the keys alone are cut into as many ranges as
+    there are shuffle partitions; a narrow exchange, and one row per range on the driver."""
+    # A stated number of ranges: keys are few bytes, and would be gathered into one.
+    ranged = rows.select(*KEY).repartitionByRange(shuffle_partitions(rows.sparkSession), *KEY)
+    first = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*KEY)).alias("key"))
+    return sorted(tuple(r.key) for r in first.collect())
+
+
+def _range_of(firsts: list[tuple]) -> Column:
+    """The number of the range that holds a row's key: a balanced tree of comparisons."""
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high + 1) // 2
+        bound = F.struct(*(F.lit(v).cast(t).alias(c) for c, v, t in zip(KEY, firsts[middle], ("boolean", "long", "long"))))
+        return F.when(F.struct(*KEY) < bound, among(low, middle - 1)).otherwise(among(middle, high))
+
+    return among(0, len(firsts) - 1)
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to that and to the
     next document."""
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc()]
-    ranged = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    found = materialize(ranged.mapInArrow(_compare_range, EDGE_DDL), "ranges")
-
-    first = found.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-    last = found.where("edge = 'last'").select("part", "doc_id", "text")
-    # One narrow row per range: the next range that has documents, after the last the first.
-    by_part = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts = last.select("part").withColumn("next_part", F.lead("part").over(Window.orderBy("part")))
-    parts = parts.withColumn("next_part", F.coalesce("next_part", F.first("part").over(by_part)))
-    pairs = last.join(parts, "part").join(first, "next_part").select("doc_id", "text", "next_text")
-    return found.where("edge is null").select(*RESULT.names).unionByName(pairs.mapInArrow(_compare_edges, RESULT_DDL))
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), text_or_empty().alias("text")).select(
+        "doc_id", "text", F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash")
+    )
+    firsts = _first_keys(rows)
+    if not firsts:
+        return rows.limit(0).select("doc_id", "text", F.lit(False).alias("after")).mapInArrow(_compare_range, RESULT_DDL)
+    starts = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(KEY, key))) for key in firsts))
+    ranged = rows.withColumn("range", _range_of(firsts))
+    is_first = F.element_at(starts, F.col("range") + 1) == F.struct(*KEY)
+    # The first document of a range goes to the end of the one before as well; the last range is
+    # before the first.
+    here = F.struct(F.col("range").alias("range"), F.lit(False).alias("after"))
+    before = F.struct(F.pmod(F.col("range") - 1, F.lit(len(firsts))).alias("range"), F.lit(True).alias("after"))
+    placed = ranged.withColumn("at", F.explode(F.when(is_first, F.array(here, before)).otherwise(F.array(here))))
+    dealt = placed.select("doc_id", "text", *KEY, "at.range", "at.after").repartitionById(len(firsts), F.col("range"))
+    ordered = dealt.sortWithinPartitions("after", *KEY, "text")
+    return ordered.select("doc_id", "text", "after").mapInArrow(_compare_range, RESULT_DDL)

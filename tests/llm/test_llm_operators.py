@@ -357,6 +357,27 @@ def test_fingerprints(odd):
     assert all(len(p) == 1 for p in prints.values())
 
 
+@pytest.mark.parametrize("n", [1, 2, 300])
+def test_fingerprints_of_repeated_rows(spark, n):
+    """Every row meets the next one, over range ends and with a hot id, null ids and equal rows."""
+    made = [(None if i % 9 == 0 else 5 if i % 3 == 0 else i // 2, f"text {i % 4} " * (i % 5)) for i in range(n)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(7)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(made, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]], r[1]))
+    wanted = []
+    for (i, text), (_, following) in zip(ordered, ordered[1:] + ordered[:1]):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        wanted.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    found = [(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.compare_with_next(docs).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, wanted))
+
+
+def test_fingerprint_query_writes_one_exchange_of_texts(spark, odd):
+    plan = fingerprints.compare_with_next(odd)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Exchange", plan)) == 1 and "SinglePartition" not in plan
+
+
 def test_prefix_hash():
     one, two = fingerprints.PrefixHash("xxabcdefg"), fingerprints.PrefixHash("abcdezz")
     assert one.span(2, 7) == two.span(0, 5) and one.common_extension(2, two, 0) == 5
@@ -438,6 +459,7 @@ def test_pipeline_stages(spark, odd, labels, tmp_path):
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
@@ -451,8 +473,13 @@ def test_null_ids_and_clashing_columns(spark, tmp_path):
     docs = spark.createDataFrame(rows, schema)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    vectors = [(None, [0.0] * 4, None, *clash), (4, [1.0] * 4, 1, *clash), (4, [0.0, 1.0, 0.0, 0.0], 1, *clash)]
+    names = "".join(f", {c} string" for c in clash if c != "label")
+    vectors = [row[:3] + tuple(c for c in clash if c != "label") for row in vectors]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int" + names).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert queries.op12_whitening(spark, str(tmp_path)).count() == 6  # three vectors span two directions
     for name, query in queries.QUERIES.items():
-        if name != "op3_packing":
+        if name not in ("op3_packing", "op12_whitening"):
             assert query(spark, str(tmp_path)).count() == 3, name
     assert queries.op3_packing(spark, str(tmp_path)).select("doc_id").distinct().count() == 2
     for _, stage in corpus_pipeline.STAGES[:-1]:
