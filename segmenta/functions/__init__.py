@@ -8,7 +8,7 @@ from segmenta.functions.columns import (
     months_between_starts,
     percent,
     ratio,
-    url_param,
+    url_values,
     whole_weeks_between,
 )
 from segmenta.functions.joins import broadcast_if_small, literal, one_row
@@ -27,7 +27,7 @@ __all__ = [
     "percent",
     "ratio",
     "replicate",
-    "url_param",
+    "url_values",
     "whole_weeks_between",
     "literal",
     "one_row",

@@ -8,8 +8,6 @@ cast to double for output.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,18 +69,31 @@ def whole_weeks_between(later_ts: Column | str, earlier_ts: Column | str) -> Col
     return F.floor(delta / F.lit(MICROS_PER_WEEK)).cast("bigint")
 
 
-def url_param(url: Column | str, key: str, exact_key: bool = False) -> Column:
-    """Value of ``key=`` in a query string, NULL when absent or empty.
+def _token_value(token: Column, key: str, exact_key: bool) -> Column:
+    """The value that the last ``key=`` of a token without ``&`` gives, NULL without one.  A
+    ``key=`` at the very end has no value; then the one before it counts, if there is one."""
+    sign = f"?{key}=" if exact_key else f"{key}="
+    text = F.concat(F.lit("?"), token) if exact_key else token
+    from_last, from_one_before = (F.substring_index(text, sign, -n) for n in (1, 2))
+    ends = F.endswith(text, F.lit(sign))
+    return F.when(F.contains(text, F.lit(sign)), F.when(~ends, from_last).when(from_one_before != text, from_one_before))
+
+
+def url_values(url: Column | str, keys, exact_key: bool = False) -> Column:
+    """A struct with the value of every key in a query string, NULL when absent or empty.
 
-    Faithful mode (default): the *last* ``key=`` followed by a non-empty value
-    wins, the value runs to the next ``&``, and the key may end another name
-    (``source`` also matches inside ``utm_source``).  ``exact_key=True`` anchors
-    the key to the start of the string or a ``?`` / ``&`` separator.
-    ``(?s)`` lets ``.`` cross line breaks as in the reference's regex dialect.
+    The string is split once at ``&``, and its tokens are folded into the struct, later ones
+    over earlier ones.  Faithful mode (default): the *last* ``key=`` followed by a non-empty
+    value wins, the value runs to the next ``&``, and the key may end another name (``source``
+    also matches inside ``utm_source``).  ``exact_key=True`` wants the key at the start of the
+    string or after a ``?`` or ``&``.
     """
-    anchor = "(?:^|[?&])" if exact_key else ""
-    pattern = f"(?s).*{anchor}{re.escape(key)}=([^&]+)"
-    return F.nullif(F.regexp_extract(_col(url), pattern, 1), F.lit(""))
+    nothing = F.struct(*[F.lit(None).cast("string").alias(k) for k in keys])
+
+    def fold(found: Column, token: Column) -> Column:
+        return F.struct(*[F.coalesce(_token_value(token, k, exact_key), found[k]).alias(k) for k in keys])
+
+    return F.aggregate(F.split(_col(url), "&"), nothing, fold)
 
 
 def as_list(value) -> list | None:

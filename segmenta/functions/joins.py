@@ -13,12 +13,12 @@ DEFAULT_BROADCAST_MAX_ROWS = 200_000
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
 
-    The check is a bounded job (``limit(max_rows + 1).count()``): it stops
-    reading once the bound is exceeded, so it stays cheap on a large table.
-    Larger inputs are returned unhinted and joined by shuffle.
+    The check reads at most ``max_rows + 1`` rows, and a table within the bound
+    is joined as read: it is computed once.  Larger inputs are returned
+    unhinted and joined by shuffle.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    read = df.limit(max_rows + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(read, df.schema)) if read.num_rows <= max_rows else df
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -4,14 +4,16 @@ Spark's built-in ``percentile`` is exact but merges a value->count map of the co
 task, and money amounts have an unbounded number of distinct values.  Here one path serves every
 size: narrow, then rank.
 
-1. Narrowing.  ``percentile_approx`` (a bounded sketch) gives ``GRID`` steps over the values inside
-   a target's bracket, at first the whole column; the steps around the wanted ranks, floor and
-   ceil of p*(n-1), become the new bracket, about a hundredth of the old one.  This is repeated
-   until a bracket is expected to hold at most ``window_values`` values, or shrinks no more
-   because most of its rows share the values at its ends.
+1. Narrowing.  ``percentile_approx`` (a bounded, mergeable sketch) gives ``GRID`` steps over the
+   values of a column; the steps around the wanted ranks, floor and ceil of p*(n-1), become the
+   target's bracket, about a hundredth of the column.
 2. Ranking.  Rows inside a bracket are grouped to (value, count), rows below it to one NULL-valued
-   count that sorts first; a running sum gives every value's rank range.  A bracket that misses
-   its ranks starts anew with a wider margin, so the answer stays exact.
+   count that sorts first; a running sum gives every value's rank range.  Brackets that may hold
+   more than ``window_values`` values are sorted by ranges, and only the ranges that hold a wanted
+   rank get a running sum.  A bracket that misses its ranks starts anew with a wider margin, so the
+   answer stays exact.
+
+So the measures are read twice, whatever their number.
 
 Only bounded results reach the driver: the steps of each bracket and at most two values per target.
 The result is a one-row DataFrame; callers read its values back as literals, so downstream plans do
@@ -27,6 +29,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segmenta.functions.joins import settled
+from segmenta.session import ensure_checkpoint_dir
+
 DEFAULT_ACCURACY = 10_000
 GRID = 512
 WINDOW_VALUES = 100_000  # values that one ranking window is expected to hold at most
@@ -102,8 +107,8 @@ def exact_percentiles(
     while spans:
         keys = list(spans)
         steps = _steps_in_spans(long, keys, accuracy)
-        narrowed: dict[tuple, list] = {}
-        brackets, missed = [], []
+        again: dict[tuple, list] = {}
+        brackets, wide_brackets, missed = [], [], []
         for b, key in enumerate(keys):
             below, inside, grid = steps.get(b, (0, 0, None))
             for target in spans[key]:
@@ -115,12 +120,14 @@ def exact_percentiles(
                 first = max(0, math.floor((r_lo - below) * scale) - wide)
                 last = min(GRID, math.ceil((r_hi - below) * scale) + wide)
                 span = (mi, grid[first], grid[last])
-                if (last - first + 1) / GRID * inside <= window_values or span == key:
-                    brackets.append((*span, [target]))
-                else:
-                    narrowed.setdefault(span, []).append(target)
+                small = (last - first + 1) / GRID * inside <= window_values
+                (brackets if small else wide_brackets).append((*span, [target]))
         picks = _rank_in_brackets(long, brackets) if brackets else {}
-        for _mi, _lo, _hi, targets in brackets:
+        if wide_brackets:
+            # Without a checkpoint folder ranges could not be kept from one job to the next.
+            rank = _rank_in_ranges if ensure_checkpoint_dir(spark) else _rank_in_brackets
+            picks |= rank(long, wide_brackets)
+        for _mi, _lo, _hi, targets in brackets + wide_brackets:
             for target in targets:
                 _wide, mi, pi, r_lo, r_hi, frac = target
                 a, b = picks.get((mi, r_lo)), picks.get((mi, r_hi))
@@ -129,8 +136,8 @@ def exact_percentiles(
                 else:
                     values[(mi, pi)] = a if a == b or not frac else a + frac * (b - a)
         for target in missed:
-            narrowed.setdefault((target[1], None, None), []).append([4 * target[0], *target[1:]])
-        spans = narrowed
+            again.setdefault((target[1], None, None), []).append([4 * target[0], *target[1:]])
+        spans = again
     return result(values)
 
 
@@ -158,6 +165,45 @@ def _steps_in_spans(long: DataFrame, spans: list, accuracy: int) -> dict[int, tu
     return {r["b"]: (r["below"], r["inside"], r["steps"]) for r in rows.collect()}
 
 
+def _rank_in_ranges(long: DataFrame, brackets: list) -> dict[tuple[int, int], float]:
+    """:func:`_rank_in_brackets` for brackets of any number of values: the (value, count) pairs are
+    sorted by ranges, one sum per bracket and range tells which ranges hold the wanted ranks."""
+    hist = _tagged(long, [bracket[:3] for bracket in brackets]).groupBy("b", "v").agg(F.count(F.lit(1)).alias("c"))
+    ranges = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("b").asc(), F.col("v").asc_nulls_first()]
+    # Settled: the measures are not read again, and ranges, drawn by sampling, stay as they are.
+    ranged = settled(hist.repartitionByRange(ranges, *order)).withColumn("r", F.spark_partition_id())
+    sums = ranged.groupBy("b", "r").agg(F.sum("c").alias("c")).collect()
+    out: dict[tuple[int, int], float] = {}
+    starts: dict[tuple[int, int], int] = {}
+    wanted: dict[tuple[int, int], list[int]] = {}
+    for b, (_mi, _lo, _hi, targets) in enumerate(brackets):
+        ranks = {rank for target in targets for rank in target[3:5]}
+        before = 0
+        for r, c in sorted((s["r"], s["c"]) for s in sums if s["b"] == b):
+            here = [rank for rank in ranks if before <= rank < before + c]
+            if here:
+                starts[b, r], wanted[b, r] = before, here
+            before += c
+    if not wanted:
+        return out
+    at = F.struct("b", "r")
+    cells = [(F.struct(F.lit(b).alias("b"), F.lit(r).alias("r")), F.lit(s).cast("bigint")) for (b, r), s in starts.items()]
+    start = F.element_at(F.create_map(*[x for cell in cells for x in cell]), at)
+    w = Window.partitionBy("b", "r").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    held = ranged.where(at.isin([cell[0] for cell in cells]))
+    placed = held.select("b", "r", "v", (start + F.sum("c").over(w)).alias("end"), "c")
+    lists = F.create_map(*[
+        x for (key, _), ranks in zip(cells, wanted.values()) for x in (key, F.array(*[F.lit(k).cast("bigint") for k in ranks]))
+    ])
+    hit = F.exists(F.element_at(lists, at), lambda k: (F.col("end") - F.col("c") <= k) & (k < F.col("end")))
+    for row in placed.where(F.col("v").isNotNull() & hit).collect():
+        for rank in wanted[row["b"], row["r"]]:
+            if row["end"] - row["c"] <= rank < row["end"]:
+                out[brackets[row["b"]][0], rank] = row["v"]
+    return out
+
+
 def _rank_in_brackets(long: DataFrame, brackets: list) -> dict[tuple[int, int], float]:
     """{(measure, rank): value} for the ranks each bracket was asked for and holds.
 

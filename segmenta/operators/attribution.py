@@ -1,7 +1,8 @@
 """Campaign parameters from URLs (Q19), per-user attribution fill (Q20), long
 form (Q21) and event counts per parameter (Q22).
 
-Plan at scale: parsing is four ``regexp_extract`` columns in the scan stage;
+Plan at scale: the query string is split once in the scan stage and its tokens
+are folded into the four values;
 the fill is a per-user LAG computed in pieces of bounded size
 (``functions.sequence``) so the anonymous / NULL uid does not land in one task; the long form is one
 ``explode`` over the four columns (a single pass, not four unions); the counts
@@ -15,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.functions.columns import url_param
+from segmenta.functions.columns import url_values
 from segmenta.functions.sequence import DEFAULT_PIECE_ROWS, lag_by_key
 from segmenta.operators.filters import apply_filters, date_range_predicate
 from segmenta.sources.tables import require_columns
@@ -40,13 +41,8 @@ def url_params(
     """
     require_columns(stat, ["uid", "event", "created_at", "url_params", *keep], "stat")
     rows = apply_filters(stat, date_range_predicate("created_at", date_range))
-    return rows.select(
-        "uid",
-        "event",
-        "created_at",
-        *keep,
-        *[url_param("url_params", k, exact_key=exact_key).alias(k) for k in keys],
-    )
+    parsed = rows.withColumn("_values", url_values("url_params", keys, exact_key=exact_key))
+    return parsed.select("uid", "event", "created_at", *keep, *[F.col("_values")[k].alias(k) for k in keys])
 
 
 def attribution_fill(

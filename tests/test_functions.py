@@ -93,3 +93,53 @@ def test_settings_fixed_at_the_start_are_left_alone(spark):
 
     again = get_spark(extra_conf={"spark.sql.warehouse.dir": "/tmp/other", "spark.sql.shuffle.partitions": "8"})
     assert again.conf.get("spark.sql.warehouse.dir") != "/tmp/other"
+
+
+def test_wide_brackets_read_the_measures_twice(spark):
+    """Whatever their number, the measures are read by one sketch and one count of brackets."""
+    reads = []
+    frame = spark.range(0, 50_000, 1, 4).select((F.col("id") * 7919 % 50_021).cast("double").alias("a"))
+    narrowed = quantiles._tagged
+
+    def counted(long, spans):
+        reads.append(len(spans))
+        return narrowed(long, spans)
+
+    quantiles._tagged = counted
+    try:
+        got = quantiles.exact_percentiles(frame, {"a": "a"}, (0.25, 0.5, 0.999), window_values=10, counts={"a": 50_000})
+        assert list(got.collect()[0]) == [_cont([i * 7919 % 50_021 for i in range(50_000)], p) for p in (0.25, 0.5, 0.999)]
+    finally:
+        quantiles._tagged = narrowed
+    assert reads == [1, 3]
+
+
+def test_url_values_equal_the_regular_expression(spark):
+    """The fold against ``last key= followed by a value``, on random strings."""
+    keys = ("discount", "utm_source", "funnel", "source")
+    rnd = random.Random(4)
+    parts = ["source=", "utm_source=", "discount=", "funnel=", "&", "?", "a", "=", "&source=&", "x=1", "\n", "é"]
+    rows = [("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))),) for _ in range(5_000)] + [(None,), ("",)]
+    frame = spark.createDataFrame(rows, "u string")
+    for exact, anchor in ((False, ""), (True, "(?:^|[?&])")):
+        regex = [F.nullif(F.regexp_extract("u", f"(?s).*{anchor}{k}=([^&]+)", 1), F.lit("")).alias(k) for k in keys]
+        wanted = frame.select("u", *regex).collect()
+        assert frame.select("u", columns.url_values("u", keys, exact).alias("v")).select("u", "v.*").collect() == wanted
+
+
+def test_small_dimensions_are_read_once(spark):
+    from segmenta.functions.joins import broadcast_if_small
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    frame = spark.range(5).mapInPandas(note, "id long")
+    joined = spark.range(100).join(broadcast_if_small(frame, 5), "id")
+    assert joined.count() == 5 and joined.count() == 5 and seen.value == 5
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    large = broadcast_if_small(frame, 4)
+    assert large is frame
