@@ -280,6 +280,23 @@ def test_secrets_in_source_syntax(before, after):
     assert cleaned.endswith(f'name: str = "{value}"') and ("Optional[str]" in cleaned) == ("Optional" in text)
 
 
+def test_lines_are_whole_and_their_words_counted(spark):
+    """Marks lose nothing; lines end as the regular expression says, but for blanks around ends."""
+    rng = np.random.default_rng(2)
+    parts = ["A", "b c", ". ", "! ", "?  ", "\n", " ", "\t", ".", "\n\n", "\r\n", "é", line_dedup.MARK]
+    made = [("".join(rng.choice(parts, rng.integers(0, 14))),) for _ in range(3_000)] + [(None,), ("",)]
+    lines = line_dedup.lines_of(F.col("t"))
+    old = F.filter(F.split("t", line_dedup.LINE_END, -1), lambda line: line != "")
+    words = F.transform(lines, lambda line: line_dedup._words(line_dedup._bare(line)))
+    for r in spark.createDataFrame(made, "t string").select("t", lines.alias("l"), old.alias("o"), words.alias("w")).collect():
+        if r.t is None:
+            assert r.l is None
+            continue
+        assert "".join(r.l) == r.t and r.w == [len(re.findall(r"[^ \t\n\x0b\f\r]+", line)) for line in r.l]
+        if not re.search(r"\n[ \t\r]| {3}", r.t):
+            assert r.l == r.o, r.t
+
+
 def test_line_dedup(spark):
     passage = " ".join(f"Line {i} of a passage that many documents share word by word." for i in range(8)) + " "
     licence = "Licensed under the Example licence.\n"
