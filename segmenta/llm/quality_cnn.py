@@ -5,10 +5,11 @@ Their responses are max-pooled over overlapping chunks of ``CHUNK`` bytes (one s
 ``CHUNK / 2``), and the chunks' maxima are combined into one vector, their mean and their maximum,
 from which a logistic unit gives the probability of label 1.
 
-Training takes a bounded sample: at most ``train_rows`` labelled rows (those with the smallest hash
-of the id) outside the held-out fold, each with at most ``TRAIN_CHUNKS`` evenly spaced chunks.  So
-it costs the same at every size.  Scoring runs over every byte of every text, block by block.  Only
-bytes of the text enter; label, language, source and id never do.
+Training takes a bounded sample: at most ``train_rows`` labelled rows of the documents at hand
+(those with the smallest hash of the id) outside the held-out fold, each as a whole: every chunk of
+its text enters every epoch.  So its cost grows with ``train_rows`` and their lengths, not with the
+table.  Scoring runs over every byte of every text, block by block.  Only bytes of the text enter;
+label, language, source and id never do.
 
 Results for odd input: a null text counts as empty; a text shorter than a filter is filled with zero
 bytes, so that empty texts have a score; a null id is not held out and never trained on; rows with
@@ -37,9 +38,10 @@ CHUNK = 256
 HALF = CHUNK // 2
 #: Half chunks that are scored at once.
 BLOCK = 256
+#: Chunks that are trained on at once.
+TRAIN_BLOCK = 64
 FOLDS = 5
 TRAIN_ROWS = 1_500
-TRAIN_CHUNKS = 24
 EPOCHS = 20
 BATCH = 16
 RATE = 0.01
@@ -121,8 +123,8 @@ def _tables(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.einsum("bd,wdf->wbf", p["embedding"], p["filters"]).astype(np.float32)
 
 
-def train(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> QualityModel:
-    """``samples``: a document's sampled chunks, (chunks, bytes), zero-filled."""
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> QualityModel:
+    """Learns from whole texts: every chunk of every text, in every epoch."""
     prior = float(np.mean(labels)) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
         return QualityModel(None, None, None, 0.0, prior)
@@ -135,6 +137,7 @@ def train(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Quali
         "offset": np.array([np.log(prior / (1 - prior))]),
     }
     adam, every = _Adam(p), np.arange(FILTERS)
+    samples = [all_chunks(t) for t in texts]
     for epoch in range(EPOCHS):
         order = random.permutation(len(samples))
         for start in range(0, len(order), BATCH):
@@ -143,9 +146,13 @@ def train(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Quali
             slots, amounts = [], []
             for i in batch:
                 chunks = samples[i]
-                z = _responses(chunks.T.copy(), tables)  # (positions, chunks, filters)
-                where = z.argmax(axis=0)
-                top = np.take_along_axis(z, where[None], 0)[0] + p["bias"]
+                where, top = [], []
+                for block in range(0, len(chunks), TRAIN_BLOCK):
+                    z = _responses(chunks[block : block + TRAIN_BLOCK].T.copy(), tables)  # (positions, chunks, filters)
+                    at = z.argmax(axis=0)
+                    where.append(at)
+                    top.append(np.take_along_axis(z, at[None], 0)[0])
+                where, top = np.concatenate(where), np.concatenate(top) + p["bias"]
                 active = np.maximum(top, 0)
                 best = active.argmax(axis=0)
                 pooled = np.concatenate([active.mean(axis=0), active[best, every]])
@@ -170,17 +177,16 @@ def train(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Quali
     return QualityModel(_tables(p), p["bias"].astype(np.float32), p["weights"], float(p["offset"][0]), prior)
 
 
-def sample_chunks(text: bytes) -> np.ndarray:
-    """At most ``TRAIN_CHUNKS`` chunks, evenly spaced over the text.  A chunk is as wide as the
-    text where that is shorter than a chunk."""
+def all_chunks(text: bytes) -> np.ndarray:
+    """All chunks of the text, a half apart; the last one ends with the text.  A chunk is as wide
+    as the text where that is shorter than a chunk."""
     codes = padded(text)
     width = min(len(codes), CHUNK + WIDTH - 1)
-    starts = np.arange(0, max(1, len(codes) - width + 1), HALF)
+    chunks = np.lib.stride_tricks.sliding_window_view(codes, width)
+    starts = np.arange(0, len(chunks), HALF)
     if starts[-1] + width < len(codes):
         starts = np.append(starts, len(codes) - width)
-    if len(starts) > TRAIN_CHUNKS:
-        starts = starts[np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).astype(int)]
-    return np.stack([codes[s : s + width] for s in starts])
+    return chunks[starts]
 
 
 def held_out_fold():
@@ -188,30 +194,16 @@ def held_out_fold():
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
-    """Learns from a sample of the labelled rows outside the held-out fold."""
-    chosen = (
-        labels.where(~held_out_fold() & F.col("quality").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.min("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(train_rows)
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [sample_chunks(t.as_py().encode()) for t in batch.column("text")]
-            arrays = [pa.array([c.tobytes() for c in made], pa.binary()), pa.array([c.shape[1] for c in made], pa.int32())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("quality"), *arrays], ["doc_id", "quality", "chunks", "width"]
-            )
-
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    # At most train_rows narrow rows are broadcast.
-    labelled = texts.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "quality", "text")
-    sampled = labelled.mapInArrow(run, "doc_id long, quality int, chunks binary, width int")
-    rows = sampled.orderBy(F.xxhash64("doc_id"), "doc_id", "chunks").limit(train_rows).collect()
-    samples = [np.frombuffer(r.chunks, np.uint8).reshape(-1, r.width) for r in rows]
-    return train(samples, np.array([r.quality for r in rows], np.float64))
+    """Learns from the whole texts of a sample of ``train_rows`` of those rows of ``docs`` that are
+    labelled and outside the held-out fold."""
+    known = labels.where(~held_out_fold() & F.col("quality").isNotNull())
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    # Drawn from ids alone; at most train_rows narrow rows are broadcast.
+    drawn = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    labelled = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id")
+    # Repeated ids may bring more rows than were drawn.
+    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(train_rows).collect()
+    return train([r.text.encode() for r in rows], np.array([r.quality for r in rows], np.float64))
 
 
 def with_score(docs: DataFrame, model: QualityModel, column: str) -> DataFrame:

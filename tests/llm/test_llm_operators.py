@@ -515,3 +515,24 @@ def test_parity_sketches_differ_in_at_most_as_many_bits_as_the_sets():
         flipped = np.unpackbits((parity_sketch(a) ^ parity_sketch(b)).view(np.uint8)).sum()
         assert flipped <= len(np.setxor1d(a, b))
         assert not (parity_sketch(a) ^ parity_sketch(a)).any()
+
+
+def test_training_takes_every_chunk():
+    """What marks a text may stand anywhere in it, far beyond any number of chunks."""
+    rng = np.random.default_rng(6)
+    for n in (0, 3, 200, 261, 5_000, 70_000):
+        chunks = quality_cnn.all_chunks(bytes(rng.integers(97, 123, n, np.uint8)))
+        assert len(chunks) >= max(1, n // quality_cnn.CHUNK)
+    text = bytes(range(256)) * 100
+    chunks, codes = quality_cnn.all_chunks(text), np.frombuffer(text, np.uint8)
+    width = chunks.shape[1]
+    assert all((chunks[k] == codes[k * quality_cnn.HALF :][:width]).all() for k in range(len(chunks) - 1))
+    assert (chunks[-1] == codes[-width:]).all() and quality_cnn.HALF * (len(chunks) - 1) + width >= len(codes)
+
+
+def test_training_rows_are_drawn_from_the_documents(spark):
+    """Few documents, many labels of others: all of them are learned from."""
+    docs = spark.createDataFrame([(i, ("good " if i % 2 else "bad ") * 30) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(i, 1, 0) for i in range(1000, 4000)], "doc_id long, quality int, toxic int")
+    model = quality_cnn.fit(docs, labels, train_rows=50)
+    assert model.tables is not None and model.score(b"good " * 30) > 0.5 > model.score(b"bad " * 30)
