@@ -17,6 +17,7 @@ Grain: one row per (client, shop).  Plan shape at scale:
 
 from __future__ import annotations
 
+import threading
 import weakref
 from functools import cached_property
 
@@ -459,10 +460,16 @@ class Scoring:
         """``result``, a plan over the cached tables, which are freed when nothing
         refers to it any more (a frame derived from it then still gives the same
         rows, from the sources)."""
-        weakref.finalize(result, _free, self.grouped, self.totals).atexit = False
+        weakref.finalize(result, _free_apart, self.grouped, self.totals).atexit = False
         return result
 
 
+def _free_apart(*cached: DataFrame) -> None:
+    """:func:`_free` in a thread of its own: the last reference may go at any time, even while
+    this thread is speaking to the JVM."""
+    threading.Thread(target=_free, args=cached, daemon=True).start()
+
+
 def _free(*cached: DataFrame) -> None:
     for df in cached:
         if df.sparkSession.sparkContext._jsc is not None:  # the session still runs

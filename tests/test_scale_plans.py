@@ -6,6 +6,7 @@ from __future__ import annotations
 import gc
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,10 @@ def test_cards_free_their_caches(spark, card):
     derived = result.where(F.lit(True))
     del result
     gc.collect()
+    for _ in range(100):  # freed by a thread of its own
+        if not _cached(spark):
+            break
+        time.sleep(0.1)
     assert not _cached(spark)
     assert derived.count() == rows
 
