@@ -2,14 +2,13 @@
 
 Every prefix of a text has one encoding, so it has one last token.  Of the pieces that end a
 prefix, that one is its last token which is compatible with the last token of the prefix before
-it: the two, merged from characters, come out as exactly that pair.  The ids are read from the
-table backwards, and pair tests are remembered.  Long segments get a table of their own along the
-matches of an Aho-Corasick automaton, linear in the text whatever its form; short ones share one
-table by prefix, as words begin alike.
+it: the two, merged from characters, come out as exactly that pair.  The table of a segment is
+filled along the matches of an Aho-Corasick automaton, linear in the text whatever its form, and
+the ids are read from it backwards; pair tests are remembered.
 
 Pieces never hold a space mark after another character, and characters outside the vocabulary
-merge with nothing, so a text falls into independent segments; short segments are remembered in a
-cache of bounded size.  The merge scores and pieces come from the model file through the
+merge with nothing, so a text falls into independent segments; the ids of short segments are
+remembered in a cache of bounded size, long ones are worked out each time by the same table.  The merge scores and pieces come from the model file through the
 ``sentencepiece`` library, which takes no part in encoding or decoding.
 
 Results for odd input: a null text counts as empty; an empty text has no ids and decodes to the
@@ -35,7 +34,6 @@ SPACE = "▁"
 #: Bounds of what a worker process remembers.
 CACHED_SEGMENTS = 400_000
 CACHED_LENGTH = 64
-CACHED_PREFIXES = 300_000
 CACHED_PAIRS = 1_000_000
 
 
@@ -85,21 +83,20 @@ class PieceCodec:
             self.raw[i] = bytes([value])
         self.raw[model.unk_id()] = " ⁇ ".encode()
         self.silent = frozenset(i for i in range(size) if model.is_control(i))
+        self.characters = frozenset(p for p in self.ids if len(p) == 1)
+        if size > 1 << 16:
+            raise ValueError("pair keys hold ids of 16 bits")
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self.length = [len(p) for p in self.pieces]
         self.rank = {piece: self.scores[i] for piece, i in self.ids.items()}
-        self.reach: dict[str, int] = {}  # the longest piece by its last two characters
-        for piece in self.ids:
-            self.reach[piece[-2:]] = max(len(piece), self.reach.get(piece[-2:], 1))
         self.byte_set = frozenset(self.byte_ids)
         # Newline is outside most vocabularies: a segment of its own.
         self.segment = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if "\n" not in self.ids else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.bare = SegmentCache(self, "")
         self.words = SegmentCache(self, SPACE)
-        self.table: dict[str, int] = {}
         self.pairs: dict[int, bool] = {}
 
     # -- encoding ----------------------------------------------------------------------
@@ -129,51 +126,25 @@ class PieceCodec:
         b = self.pieces[right]
         return self.merged(a + b) == ([a, b] if a else [b])
 
-    def encode_short(self, prefix: str) -> tuple[int, ...]:
-        """By the table that all short segments share; it keeps the ids that lead to each
-        prefix's last token, and only prefixes in question are filled in."""
-        found = self.table.get(prefix)
-        if found is not None:
-            return found
-        n = len(prefix)
-        for start in range(max(0, n - self.reach.get(prefix[-2:], 1)), n):  # the longest piece first
-            token = self.ids.get(prefix[start:])
-            if token is None:
-                continue
-            before = self.encode_short(prefix[:start]) if start else ()
-            if self.known_pair(before[-1] if before else -1, token):
-                found = (*before, token)
-                break
-        else:
-            found = (*(self.encode_short(prefix[:-1]) if n > 1 else ()), *self.unknown(prefix[-1]))
-        if len(self.table) >= CACHED_PREFIXES:
-            self.table.clear()
-        self.table[prefix] = found
-        return found
-
     def unknown(self, character: str) -> list[int]:
         return [self.byte_ids[b] for b in character.encode()]
 
-    def encode_long(self, segment: str) -> tuple[int, ...]:
-        """By a table of its own, filled from left to right along the automaton's matches."""
+    def encode_segment(self, segment: str) -> tuple[int, ...]:
+        """The last token of every prefix, filled from left to right along the automaton's matches,
+        then read backwards."""
         n = len(segment)
         last = [-2] * (n + 1)  # -2: no token ends here yet
         last[0] = -1
-        done = 0
+        if not self.characters.issuperset(segment):  # characters that no piece covers
+            last[1:] = [-2 if c in self.characters else -3 - ord(c) for c in segment]
+        pairs = self.pairs
         for end, (length, token) in self.automaton.iter(segment):
-            for i in range(done + 1, end + 1):  # characters that no piece covers
-                if last[i] == -2:
-                    last[i] = -3 - ord(segment[i - 1])
-            done = end
-            here = end + 1
-            if last[here] != -2:
-                continue
-            before = last[here - length]
-            if before != -2 and self.known_pair(max(before, -1), token):
-                last[here] = token
-        for i in range(done + 1, n + 1):
-            if last[i] == -2:
-                last[i] = -3 - ord(segment[i - 1])
+            end += 1
+            if last[end] == -2:
+                before = last[end - length]
+                key = ((before if before >= 0 else -1) << 16) + token
+                if pairs[key] if key in pairs else self.test_pair(key):
+                    last[end] = token
         ids: list[int] = []
         while n:
             n = self.take(last[n], n, ids)
@@ -188,18 +159,12 @@ class PieceCodec:
         ids.extend(reversed(self.unknown(chr(-3 - token))))
         return n - 1
 
-    def known_pair(self, before: int, token: int) -> bool:
-        key = (before << 16) + token
-        fits = self.pairs.get(key)
-        if fits is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            fits = self.pairs[key] = self.compatible(before, token)
+    def test_pair(self, key: int) -> bool:
+        if len(self.pairs) >= CACHED_PAIRS:
+            self.pairs.clear()
+        fits = self.pairs[key] = self.compatible(key >> 16, key & 0xFFFF)
         return fits
 
-    def encode_segment(self, segment: str) -> tuple[int, ...]:
-        return (self.encode_short if len(segment) <= CACHED_LENGTH else self.encode_long)(segment)
-
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
