@@ -3,21 +3,23 @@
 Every whole text is read twice inside one Arrow task, without a shuffle:
 
 * Base patterns find assigned values, access keys and long hex runs.
-* A lexer finds assignment operators (``=``, ``:``, ``:=``, ``=>``) and parses the name before
-  and the literal, or the other name, after each.  The name may be a quoted subscript
-  (``config["password"] = ...``) or have a type (``token: str = ...``; then the word before the
-  operator is judged as well), the literal a prefix (``b"..."``).  Constants are propagated in text order:
-  ``a = "..."; password = a`` traces back to the literal of ``a``.  A literal is reported when
-  the score of its most sensitive target name times the score of its own form reaches
-  ``threshold``.
+* A lexer reads the text once, from left to right, and pairs names with literals.  It knows
+  assignments (``=``, ``:``, ``:=``, ``=>``) with the name before and the literal, or the other
+  name, after the operator; quoted subscripts (``config["password"] = ...``); types
+  (``token: str = ...``); prefixed literals (``b"..."``); literals that go on in further quotes
+  (``"ab" + "cd"``); markup elements (``<password>...</password>``); command line options
+  (``--password ...``); setters (``set_password("...")``) and fields without a telling name of
+  their own inside a block with one (``credentials: {value: ...}``).  Constants are propagated in
+  text order: ``a = "..."; password = a`` traces back to the literal of ``a``.  A literal is
+  reported when the score of its most sensitive target name times the score of its own form
+  reaches ``threshold``.
 
 Spans are code points, end exclusive.  The kind of added spans is ``literal``; a literal that a
 base span covers is not reported again.
 
 Results for odd input: null or empty text has no spans; nulls in other columns are kept; repeated
 rows are each scanned; extra columns of any name pass through ``redact_secrets``; texts of any
-length are scanned whole, and only a name longer than 128 characters is judged by its last 128; a
-type is skipped if name and type stand in one line within 384 characters before the operator.
+length are scanned whole, in time linear in the text, and names have any length.
 """
 
 from __future__ import annotations
@@ -53,20 +55,35 @@ SENSITIVE_PARTS = {
 SENSITIVE_PAIRS = {
     ("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("signing", "key"): 0.9,
     ("encryption", "key"): 0.9, ("auth", "key"): 0.9, ("pass", "phrase"): 1.0,
+    ("db", "pass"): 0.9, ("user", "pass"): 0.9, ("admin", "pass"): 0.9, ("root", "pass"): 0.9,
+    ("smtp", "pass"): 0.9,
 }
+#: Names that say nothing of what they hold; the name of their block counts.
+PLAIN_NAMES = frozenset(("value", "val", "data", "key", "raw", "content", "string"))
 PLACEHOLDERS = ("changeme", "example", "placeholder", "redacted", "your", "xxxx", "****", "todo")
 
-OPERATOR = re.compile(r":=|=>|[:=]")
-NAME = r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)(?:["'][ \t]*+\]|["'])?[ \t]*+"""
-NAME_BEFORE = re.compile(rf"{NAME}\Z")
-TYPED_BEFORE = re.compile(rf"""{NAME}[?!]?:[ \t]*+([A-Za-z_&*(\[{{][^\n=;"#]*+)\Z""")
-NAME_WINDOW = 128
-TYPE_WINDOW = 256
+#: What the lexer stops at: a named operator, an element, an option, a call, a brace.
+TOKEN = re.compile(
+    r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?:["'][ \t]*+\]|["'])?[ \t]*+(?:[?!](?=:))?(?P<operator>:=|=>|[:=])
+    |<(?P<element>[A-Za-z_][A-Za-z0-9_.-]*+)>(?=[^<\s])
+    |(?<![^\s"'(\[,])--?(?P<option>[A-Za-z][A-Za-z0-9_-]++)[ \t]++(?=[^\s-])
+    |(?<![A-Za-z0-9_])(?P<call>[A-Za-z_][A-Za-z0-9_]*+)\([ \t]*+(?=["'])
+    |(?P<brace>[{}])""",
+    re.VERBOSE,
+)
+TYPE_AFTER = re.compile(r"""[ \t]*+(?:[A-Za-z_&*(\[{](?:[^\n=;"\#:]|::)*+)=(?![=>])""")
 VALUE_AFTER = re.compile(
     r"""[ \t]*(?:(?:[bru]|f|br|rb|fr|rf)?\#*"((?:[^"\\\n]|\\.)*+)"|(?:[bru]|f|br|rb|fr|rf)?'((?:[^'\\\n]|\\.)*+)'|([^\s"'#;,:=]+))""",
     re.IGNORECASE,
 )
+CONTINUED = re.compile(
+    r"""[ \t]*+(?:[+.\\][ \t]*+(?:\n[ \t]*+)?|\n[ \t]*+[+.][ \t]*+)(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')"""
+)
+ELEMENT_VALUE = re.compile(r"([^<>\s]++)</")
+HINT = re.compile(r"[=:(<]|(?<!\S)-")  # no token without one of these
+BLOCK_AFTER = re.compile(r"\s*+\{")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+SETTER = re.compile(r"(?:set|with|use|put|add)(?![a-z])")
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -102,45 +119,94 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.25 + 0.25 * classes + 0.01 * len(value))
 
 
+def literal_at(text: str, at: int) -> tuple[list[tuple[int, int]], bool]:
+    """The spans of the literal at ``at``, one for each pair of quotes, and whether it is quoted."""
+    value = VALUE_AFTER.match(text, at)
+    if value is None:
+        return [], False
+    spans = [value.span(value.lastindex)]
+    if value.lastindex == 3:
+        return spans, False
+    more = CONTINUED.match(text, value.end())
+    while more:
+        spans.append(more.span(more.lastindex))
+        more = CONTINUED.match(text, more.end())
+    return spans, True
+
+
 def literal_spans(text: str, threshold: float) -> list[Span]:
     """Literals that reach a sensitive name, directly or through other names."""
-    known: dict[str, tuple[int, int]] = {}  # name -> the literal that it stands for
+    known: dict[str, list[tuple[int, int]]] = {}  # name -> the literal that it stands for
     found: dict[int, int] = {}  # start -> end
-    for op in OPERATOR.finditer(text):
-        value = VALUE_AFTER.match(text, op.end())
-        if value is None:
-            continue
-        name = NAME_BEFORE.search(text[max(0, op.start() - NAME_WINDOW) : op.start()])
-        names = [name[1]] if name else []
-        if op[0] == "=":
-            begin = max(0, text.rfind("\n", 0, op.start()) + 1, op.start() - NAME_WINDOW - TYPE_WINDOW)
-            typed = TYPED_BEFORE.search(text[begin : op.start()])
-            if typed:
-                names.append(typed[1])
-                found.pop(begin + typed.start(2), None)  # the type is no literal
-        if not names:
+    blocks: list[str] = []  # the names of the open blocks
+    pending: tuple[int, str] | None = None  # where the next block with a name opens, and its name
+    done = 0  # the end of the last literal of several quotes
+
+    def judge(names: list[str], spans: list[tuple[int, int]]) -> None:
+        score = max(map(name_score, names))
+        if score and score * literal_score("".join(text[a:b] for a, b in spans)) >= threshold:
+            found.update(spans)
+
+    for token in TOKEN.finditer(text):
+        if token.start() < done:
             continue
-        group = value.lastindex
-        raw = value[group]
-        if group == 3 and IDENTIFIER.match(raw) and raw in known:
-            at = known[raw]
+        kind = token.lastgroup
+        if kind == "brace":
+            if token[0] == "{":
+                blocks.append(pending[1] if pending and pending[0] == token.start() else "")
+            elif blocks:
+                blocks.pop()
+        elif kind == "element":
+            value = ELEMENT_VALUE.match(text, token.end())
+            if value:
+                judge([token["element"]], [value.span(1)])
+        elif kind in ("option", "call"):
+            if kind == "option" or SETTER.match(token["call"]):
+                spans, _ = literal_at(text, token.end())
+                if spans:
+                    judge([token[kind]], spans)
         else:
-            at = value.span(group)
-        known.update((n, at) for n in names)
-        score = max(map(name_score, names))
-        if score and score * literal_score(text[at[0] : at[1]]) >= threshold:
-            found[at[0]] = at[1]
+            name, end = token["name"], token.end()
+            typed = TYPE_AFTER.match(text, end) if token["operator"] == ":" else None
+            if typed:
+                end = typed.end()
+            block = BLOCK_AFTER.match(text, end)
+            if block:
+                pending = (block.end() - 1, name)
+                continue
+            spans, quoted = literal_at(text, end)
+            if not spans:
+                continue
+            if not quoted:
+                raw = text[spans[0][0] : spans[0][1]]
+                if IDENTIFIER.match(raw) and raw in known:
+                    spans = known[raw]
+            elif len(spans) > 1:
+                done = spans[-1][1]
+            known[name] = spans
+            named = [name, blocks[-1]] if blocks and blocks[-1] and name.lower() in PLAIN_NAMES else [name]
+            judge(named, spans)
     return [("literal", *at) for at in sorted(found.items())]
 
 
+def uncovered(spans: list[Span], base: list[Span]) -> list[Span]:
+    """The spans that lie in no base span; both are sorted by their starts."""
+    out, k, reach = [], 0, 0
+    for span in spans:
+        while k < len(base) and base[k][1] <= span[1]:
+            reach = max(reach, base[k][2])
+            k += 1
+        if span[2] > reach:
+            out.append(span)
+    return out
+
+
 def secret_spans(text: str, threshold: float = 0.6) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), both by start and then kind."""
     base = base_spans(text)
     added = []
-    if "=" in text or ":" in text:
-        added = [
-            s for s in literal_spans(text, threshold) if not any(b[1] <= s[1] and s[2] <= b[2] for b in base)
-        ]
+    if HINT.search(text):
+        added = uncovered(literal_spans(text, threshold), base)
     order = {k: i for i, k in enumerate((*KINDS, "literal"))}
     return base, sorted(base + added, key=lambda s: (s[1], order[s[0]]))
 
