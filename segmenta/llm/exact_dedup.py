@@ -1,8 +1,8 @@
 """Exact deduplication of an incoming batch against immutable snapshots.
 
 A snapshot is built once and never changed: its distinct texts lie in hash buckets by
-SHA-256 (a bucketed table), and every bucket has a static binary-fuse filter over its
-digests.  A batch is deduplicated in four steps:
+SHA-256 (a bucketed table), and every bucket has static binary-fuse filters over its digests,
+as many as keep each of bounded size.  A batch is deduplicated in four steps:
 
 1. Duplicates inside the batch are grouped on their own: one aggregate by digest, combined
    on the map side, so a text that holds a third of all rows moves once per task.
@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,9 +34,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import materialize, new_path, shuffle_partitions, text_or_empty
+from segmenta.llm.common import materialize, new_path, remove, shuffle_partitions, text_or_empty
 
-#: Digests that one filter task screens at most (the batch side of a bucket is salted beyond).
+#: About how many digests one filter holds, and one filter task screens: buckets are salted beyond.
+FILTER_ROWS = 200_000
 SCREEN_ROWS = 200_000
 U64 = np.uint64
 
@@ -138,11 +140,38 @@ def _assign(order: list[tuple[int, int]], slots: np.ndarray, prints: np.ndarray,
 
 @dataclass(frozen=True)
 class Snapshot:
-    """``groups``: one row per digest, bucketed; ``filters``: one row per bucket."""
+    """``groups``: one row per digest, bucketed; ``filters``: one row per bucket and salt, of about
+    ``FILTER_ROWS`` digests whatever the size of the snapshot.  ``drop`` frees all of it."""
 
     groups: DataFrame
     filters: DataFrame
     buckets: int
+    salts: int
+    stored: tuple[Stored, ...] = ()
+
+    def drop(self) -> None:
+        for stored in self.stored:
+            stored.drop()
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A table or folder in the shared folder, to be dropped by its maker."""
+
+    spark: SparkSession
+    path: str
+    table: str | None = None
+
+    def drop(self) -> None:
+        if self.table:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(self.spark, self.path)
+
+
+def _stored(df: DataFrame, label: str) -> tuple[DataFrame, Stored]:
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), Stored(spark, path)
 
 
 def _keyed(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
@@ -154,7 +183,11 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.hash("digest"), F.lit(buckets))  # the bucket of a bucketed table
 
 
-def text_groups(docs: DataFrame, digest: Callable[[Column], Column], buckets: int) -> DataFrame:
+def _salt(salts: int) -> Column:
+    return F.pmod(F.shiftright("key", 40), F.lit(salts)).cast("int")
+
+
+def text_groups(docs: DataFrame, digest: Callable[[Column], Column], buckets: int) -> tuple[DataFrame, Stored]:
     """One row per digest with its row count, largest id and its smallest and largest text
     (they differ only if the digest holds several texts), stored in buckets by digest."""
     grouped = (
@@ -168,37 +201,42 @@ def text_groups(docs: DataFrame, digest: Callable[[Column], Column], buckets: in
         )
     )
     spark, name = docs.sparkSession, f"segmenta_groups_{uuid.uuid4().hex}"
-    writer = grouped.write.option("path", new_path(spark, "text-groups")).bucketBy(buckets, "digest")
-    writer.saveAsTable(name)
-    return spark.table(name)
+    path = new_path(spark, "text-groups")
+    grouped.write.option("path", path).bucketBy(buckets, "digest").saveAsTable(name)
+    return spark.table(name), Stored(spark, path, name)
 
 
 def build_snapshot(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Snapshot:
     buckets = shuffle_partitions(docs.sparkSession)
-    groups = text_groups(docs, digest, buckets)
+    groups, table = text_groups(docs, digest, buckets)
+    salts = max(1, math.ceil(groups.count() / (buckets * FILTER_ROWS)))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         made = FuseFilter.build(frame["key"].to_numpy())
         return pd.DataFrame(
-            {"bucket": [frame["bucket"].iloc[0]], "seed": [made.seed], "segment": [made.segment], "segments": [made.segments], "cells": [made.cells]}
+            {"bucket": [frame["bucket"].iloc[0]], "salt": [frame["salt"].iloc[0]], "seed": [made.seed], "segment": [made.segment], "segments": [made.segments], "cells": [made.cells]}
         )
 
     filters = (
         groups.select(_bucket(buckets).alias("bucket"), F.xxhash64("digest").alias("key"))
-        .groupBy("bucket")
-        .applyInPandas(build, "bucket int, seed long, segment long, segments long, cells binary")
+        .withColumn("salt", _salt(salts))
+        .groupBy("bucket", "salt")
+        .applyInPandas(build, "bucket int, salt int, seed long, segment long, segments long, cells binary")
     )
-    return Snapshot(groups, materialize(filters, "fuse-filters"), buckets)
+    filters, made = _stored(filters, "fuse-filters")
+    return Snapshot(groups, filters, buckets, salts, (table, made))
 
 
 def screen(digests: DataFrame, snapshot: Snapshot) -> DataFrame:
     """The digests that the snapshot may hold (a superset of those that it holds)."""
-    salts = max(1, math.ceil(digests.count() / (snapshot.buckets * SCREEN_ROWS)))
+    parts = max(1, math.ceil(digests.count() / (snapshot.buckets * snapshot.salts * SCREEN_ROWS)))
     key = F.xxhash64("digest").alias("key")
-    incoming = digests.select("digest", key, _bucket(snapshot.buckets).alias("bucket")).withColumn(
-        "salt", F.pmod(F.shiftright("key", 17), F.lit(salts)).cast("int")
+    incoming = (
+        digests.select("digest", key, _bucket(snapshot.buckets).alias("bucket"))
+        .withColumn("salt", _salt(snapshot.salts))
+        .withColumn("part", F.pmod(F.shiftright("key", 17), F.lit(parts)).cast("int"))
     )
-    filters = snapshot.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    filters = snapshot.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def test(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or own.empty:
@@ -208,8 +246,8 @@ def screen(digests: DataFrame, snapshot: Snapshot) -> DataFrame:
         return rows.loc[made.contains(rows["key"].to_numpy()), ["digest"]]
 
     return (
-        incoming.groupBy("bucket", "salt")
-        .cogroup(filters.groupBy("bucket", "salt"))
+        incoming.groupBy("bucket", "salt", "part")
+        .cogroup(filters.groupBy("bucket", "salt", "part"))
         .applyInPandas(test, "digest string")
     )
 
@@ -227,26 +265,31 @@ def exact_dedup(
 ) -> DataFrame:
     """Groups of equal texts over a snapshot of ``old`` and the batch ``new``: one row per
     input row with ``doc_id, keep_id, group_size, kept, digest``."""
-    snapshot = build_snapshot(old, digest)
-    batch = text_groups(new, digest, snapshot.buckets)
-    positives = materialize(screen(batch.select("digest"), snapshot), "positives")
-
-    held = snapshot.groups.select(
-        "digest", *(F.col(c).alias(f"old_{c}") for c in ("keep_id", "group_size", "low", "high"))
-    )
-    candidates = batch.join(positives, "digest", "left_semi")
-    hits = materialize(
-        candidates.join(held.hint("merge"), "digest").select(
-            "digest",
-            F.greatest("keep_id", "old_keep_id").alias("keep_id"),
-            (F.col("group_size") + F.col("old_group_size")).alias("group_size"),
-            _same("low", "high", "old_low", "old_high").alias("one_text"),
-        ),
-        "hits",
-    )
-    narrow = ("digest", "keep_id", "group_size", _same("low", "high").alias("one_text"))
-    alone = snapshot.groups.select(*narrow).unionByName(batch.select(*narrow)).join(hits, "digest", "left_anti")
-    groups = materialize(alone.unionByName(hits), "groups")
+    with ExitStack() as made:  # tables and folders that go once the groups are written
+        snapshot = build_snapshot(old, digest)
+        made.callback(snapshot.drop)
+        batch, table = text_groups(new, digest, snapshot.buckets)
+        made.callback(table.drop)
+        positives, screened = _stored(screen(batch.select("digest"), snapshot), "positives")
+        made.callback(screened.drop)
+
+        held = snapshot.groups.select(
+            "digest", *(F.col(c).alias(f"old_{c}") for c in ("keep_id", "group_size", "low", "high"))
+        )
+        candidates = batch.join(positives, "digest", "left_semi")
+        hits, both = _stored(
+            candidates.join(held.hint("merge"), "digest").select(
+                "digest",
+                F.greatest("keep_id", "old_keep_id").alias("keep_id"),
+                (F.col("group_size") + F.col("old_group_size")).alias("group_size"),
+                _same("low", "high", "old_low", "old_high").alias("one_text"),
+            ),
+            "hits",
+        )
+        made.callback(both.drop)
+        narrow = ("digest", "keep_id", "group_size", _same("low", "high").alias("one_text"))
+        alone = snapshot.groups.select(*narrow).unionByName(batch.select(*narrow)).join(hits, "digest", "left_anti")
+        groups = materialize(alone.unionByName(hits), "groups")  # all that the result reads beside the rows
 
     rows = _keyed(old.select("doc_id", "text").unionByName(new.select("doc_id", "text")), digest)
     out = ["doc_id", "keep_id", "group_size", "digest"]

@@ -101,8 +101,9 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _key() -> Column:
-    """Identifies a document by its content, whatever the order of a scan."""
-    return F.xxhash64(F.col("doc_id"), F.lit(0), F.col("text")).alias("key")
+    """Identifies a document by 128 bits of its content, whatever the order of a scan."""
+    one, other = F.xxhash64(F.col("doc_id"), F.lit(0), F.col("text")), F.xxhash64(F.lit(1), F.col("text"), F.col("doc_id"))
+    return F.struct(one.alias("h0"), other.alias("h1")).alias("key")
 
 
 def _features(docs: DataFrame, words: int, coordinates: int, carried: list[str]) -> DataFrame:
@@ -263,7 +264,9 @@ def _components(features: DataFrame, docs: DataFrame, words: int, percent: int,
     nodes = postings.groupBy(F.col("row").alias("node")).agg(F.sum("length").alias("degree"))
     labels = materialize(nodes.select("node", F.col("node").alias("label"), "degree"), "labels")
     wanted = classes.join(labels.select(F.col("node").alias("row")), "row").select("row", "key")
-    texts = materialize(docs.select(_key(), "text").join(wanted, "key").select("row", "text"), "texts")
+    # Repeated rows share a key: one text for each representative, or its pairs would multiply.
+    texts = docs.select(_key(), "text").join(wanted, "key").dropDuplicates(["key", "row"])
+    texts = materialize(texts.select("row", "text"), "texts")
     seen = None
     for turn in range(LEADER_ROUNDS + 1):
         members = postings.drop("length").join(labels.withColumnRenamed("node", "row"), "row")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from segmenta.llm import (
+    common,
     exact_dedup,
     fingerprints,
     line_dedup,
@@ -122,6 +124,39 @@ def test_exact_dedup(odd):
     assert sorted(tuple(r) for r in rows) == wanted
 
 
+def test_exact_dedup_with_small_filters_leaves_nothing_behind(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('text ', cast(id % 150 as string)) as text")
+    wanted = sorted(map(tuple, exact_dedup.op1_exact_dedup(docs).collect()))
+    made = []
+    monkeypatch.setattr(exact_dedup, "FILTER_ROWS", 3)
+    monkeypatch.setattr(exact_dedup, "SCREEN_ROWS", 2)
+    monkeypatch.setattr(exact_dedup, "new_path", lambda *a: made.append(common.new_path(*a)) or made[-1])
+    filters = exact_dedup.build_snapshot(docs)
+    assert filters.salts > 4 and filters.filters.count() > 4 * filters.buckets
+    filters.drop()
+    assert sorted(map(tuple, exact_dedup.op1_exact_dedup(docs).collect())) == wanted
+    assert [r[:2] for r in wanted] == [(i, (300 if i % 150 < 100 else 150) + i % 150) for i in range(400)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("segmenta_groups")]
+    # Two snapshots of groups and filters, the batch's groups, positives and hits.
+    assert len(made) == 7 and not [p for p in made if os.path.exists(p.removeprefix("file:"))]
+
+
+def test_repeated_rows_have_one_text_for_all(spark, monkeypatch):
+    """60 + 60 copies of two near rows make one pair of texts."""
+    near = BASE.replace("w4x2 ", "other ")
+    docs = spark.createDataFrame([(1, BASE)] * 60 + [(2, near)] * 60 + [(3, None)] * 2, "doc_id long, text string")
+    counts, confirmed = [], minhash_dedup._confirmed
+
+    def counted(pairs, texts, *rest):
+        counts.append((pairs.count(), texts.count()))
+        return confirmed(pairs, texts, *rest)
+
+    monkeypatch.setattr(minhash_dedup, "_confirmed", counted)
+    rows = minhash_dedup.near_duplicates(docs).collect()
+    assert len(rows) == 122 and {(r.doc_id, r.component_id) for r in rows} == {(1, 1), (2, 1), (3, 3)}
+    assert counts == [(1, 2)]
+
+
 def test_sentencepiece(odd):
     import public_tokenizers
     import sentencepiece
