@@ -50,8 +50,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No SQL: classifier, rolling hashes, signatures and tokens are beyond it.  Tests hold the
-#: stages against brute force.
+#: No SQL: classifier, rolling hashes, signatures and tokens are beyond it.  Tests hold
+#: the operators against brute force, and the columns and ids that the stages keep.
 ORACLE_SQL = None
 
 
