@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -423,6 +424,33 @@ def test_lines_are_whole_and_their_words_counted(spark):
             assert r.l == r.o, r.t
 
 
+def test_bare_lines_are_the_lines_without_white_space_at_their_ends(spark):
+    rng = np.random.default_rng(3)
+    parts = ["A", "b c", ". ", "! ", "?  ", "\n", " ", "\t", ".", "\n\n", "\r\n", "é", "   ", "\r", "\f", "\n ", line_dedup.MARK]
+    made = [("".join(rng.choice(parts, rng.integers(0, 16))),) for _ in range(3_000)] + [(None,), ("",)]
+    t = F.col("t")
+    bare = line_dedup.bare_lines(t, line_dedup._marked_bare(t))
+    for r in spark.createDataFrame(made, "t string").select("t", bare.alias("b"), line_dedup.lines_of(t).alias("l")).collect():
+        if r.t is None:
+            assert r.b is None
+            continue
+        lines = [line.rstrip(line_dedup.SPACES) for line in r.l]
+        assert "\n".join(r.b).rstrip("\n") == "\n".join(lines).rstrip("\n"), r.t
+
+
+def test_line_dedup_counts_one_window_per_line_and_drops_its_tables(spark):
+    """Only windows that start at a line are counted: 30 lines of 10 words have 25 of 51 words."""
+    text = "".join(" ".join(f"w{i}x{k}" for k in range(10)) + "\n" for i in range(30))
+    windows = line_dedup.with_windows(spark.createDataFrame([(text,)], "text string"), "text", 51).first().windows
+    assert [(w.first, w.last, w.reach) for w in windows] == [(i, i + 5, i + 5 if i < 24 else 29) for i in range(25)]
+    docs = spark.createDataFrame([(0, text + "One."), (1, "Two.\n" + text)], "doc_id long, text string")
+    folder = Path(common.new_path(spark, "x").removeprefix("file:")).parent
+    before = set(folder.iterdir()) if folder.exists() else set()
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert rows[0].text == text + "One." and rows[1].text == "Two.\n"
+    assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["removed"]
+
+
 def test_line_dedup(spark):
     passage = " ".join(f"Line {i} of a passage that many documents share word by word." for i in range(8)) + " "
     licence = "Licensed under the Example licence.\n"
