@@ -16,6 +16,7 @@ from frames import CHEQUES, ENTRIES, SHOPS, money, ts
 from segmenta.functions import sequence
 from segmenta.operators import lifecycle, rfm
 from segmenta.plans import cards
+from segmenta.sources import tables
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -187,3 +188,23 @@ def test_weekly_counts_exchange_users_once(spark):
     out.collect()
     keys = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", _executed(out))]
     assert sum("user_id" in k for k in keys) <= 4 and not any("user_id" in k and "weeks" in k for k in keys)
+
+
+def test_receipt_lines_are_joined_in_tasks_of_bounded_rows(spark, tmp_path):
+    """The number of tasks follows the number of lines, and the rows stay the same."""
+    n = 4_000
+    spark.range(n).selectExpr(
+        "id % 1000 as l_orderkey", "cast(id % 90 + 0.25 as double) as l_extendedprice", "cast(id % 3 / 10 as double) as l_discount"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1_000).selectExpr(
+        "if(id = 7, null, id) as o_orderkey", "id % 50 as o_custkey", "concat('shop', id % 5) as o_orderpriority",
+        "timestamp_ntz'2000-01-01 00:00:00' + make_dt_interval(id % 300) as o_orderdate",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(40).selectExpr("id as c_custkey", "if(id % 4 = 0, 'MACHINERY', 'BUILDING') as c_mktsegment").write.parquet(
+        f"{tmp_path}/customer.parquet"
+    )
+    small = tables.bonuscheques(spark, str(tmp_path))
+    dealt = tables.bonuscheques(spark, str(tmp_path), join_rows=200)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, small.collect())) and small.count() == 3_196
+    per_task = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) > 15 and max(r["count"] for r in per_task) < 600
