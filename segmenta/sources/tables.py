@@ -78,7 +78,7 @@ def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Receipt lines that one task sorts to join them with their orders.
-JOIN_ROWS = 500_000
+JOIN_ROWS = 1_200_000
 
 
 def bonuscheques(spark: SparkSession, sf_dir: str, join_rows: int = JOIN_ROWS) -> DataFrame:
