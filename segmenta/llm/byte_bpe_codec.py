@@ -28,9 +28,11 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, compress, count
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +43,10 @@ from pyspark.sql import functions as F
 from segmenta.llm.common import text_or_empty
 
 #: Bounds of what a worker process remembers.
-CACHED_WORDS = 400_000
-CACHED_FRAGMENTS = 200_000
+CACHED_WORDS = 800_000
+CACHED_FRAGMENTS = 400_000
 #: Longer words and fragments are rarely seen again; they are encoded the same way but not kept.
-KEPT_LENGTH = 64
+KEPT_LENGTH = 32
 #: Up to this length the next merge is found by looking at all pairs, beyond it by a heap.
 SCANNED_LENGTH = 64
 
@@ -61,6 +63,14 @@ def byte_letters() -> list[str]:
     return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
 
+def basic_class(pattern: str, without: str = "") -> str:
+    """The characters up to U+FFFF that a class of ``regex`` holds, as ranges that ``re`` reads."""
+    holds = regex.compile(pattern).match
+    inside = np.array([bool(holds(chr(c))) and chr(c) not in without for c in range(1 << 16)] + [False])
+    edges = np.flatnonzero(np.diff(inside, prepend=False)).tolist()
+    return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edges[::2], edges[1::2]))
+
+
 def differing_characters() -> str:
     """Letters and numbers of ``regex`` that the ``tokenizers`` library takes for neither.  Only
     characters newer than Python's own Unicode tables can be."""
@@ -96,12 +106,14 @@ class ByteBpe:
         self.bytes_of: dict[int, bytes] = {i: bytes(map(value.__getitem__, token)) for token, i in vocabulary.items()}
         self.byte_ids = np.array([vocabulary[c] for c in letters])
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        #: The rank of a pair of neighbours, keyed by both ids in one number, and the id it makes.
-        self.ranks = {vocabulary[a] << 32 | vocabulary[b]: rank for rank, (a, b) in enumerate(merges)}
+        #: For every id the ranks of its pairs, by the id that follows, and the id that a rank makes.
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(vocabulary.values()) + 1)]
+        for rank, (a, b) in enumerate(merges):
+            self.ranks[vocabulary[a]][vocabulary[b]] = rank
         self.made = [vocabulary[a + b] for a, b in merges]
         #: The ranks of pairs of single bytes.
         self.byte_ranks = np.array([
-            self.ranks.get(a << 32 | b, len(merges)) for a in self.byte_ids.tolist() for b in self.byte_ids.tolist()
+            self.ranks[a].get(b, len(merges)) for a in self.byte_ids.tolist() for b in self.byte_ids.tolist()
         ])
         self.certain = np.ones(1 << 16, bool)
         for token in self.bytes_of.values():
@@ -115,15 +127,20 @@ class ByteBpe:
             longest_first = sorted(self.special, key=len, reverse=True)
             self.at_special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")")
         differing = differing_characters()
-        self.first_differing = min(differing, default=chr(0x10FFFF))
-        self.split_usual = regex.compile(SPLIT.format(letter=r"\p{L}", number=r"\p{N}", other=r"[^\s\p{L}\p{N}]"))
-        self.split_exact = self.split_usual
+        #: For texts up to U+FFFF the same words by ``re``, which is faster.  Letters come first there:
+        #: no other word begins with a letter, or with a space and a letter.
+        letter, number, space = basic_class(r"\p{L}", differing), basic_class(r"\p{N}", differing), basic_class(r"\s")
+        self.split_basic = re.compile(
+            rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+        )
+        self.beyond_basic = re.compile(r"[^\0-\uffff]")
+        self.split_exact = regex.compile(SPLIT.format(letter=r"\p{L}", number=r"\p{N}", other=r"[^\s\p{L}\p{N}]"))
         if differing:
             out = "[" + regex.escape(differing, special_only=False) + "]"
             self.split_exact = regex.compile(
                 "(?V1)" + SPLIT.format(letter=rf"[\p{{L}}--{out}]", number=rf"[\p{{N}}--{out}]", other=rf"[[^\s\p{{L}}\p{{N}}]||{out}]")
             )
-        self.id_text = {i: str(i) for i in self.bytes_of}
+        self.id_text = [str(i) for i in range(max(self.bytes_of) + 1)]
         self.words: dict[str, tuple[int, ...]] = {}
         self.fragments: dict[bytes, tuple[int, ...]] = {}
 
@@ -135,22 +152,22 @@ class ByteBpe:
         return self._merge_scanning(ids, ranks) if len(ids) <= SCANNED_LENGTH else self._merge_by_heap(ids, ranks)
 
     def _merge_scanning(self, ids: list[int], ranks: list[int]) -> tuple[int, ...]:
-        rule, none = self.ranks.get, len(self.made)
+        rules, made, none = self.ranks, self.made, len(self.made)
         while ranks:
             rank = min(ranks)
             if rank == none:
                 break
             i = ranks.index(rank)
-            new = ids[i] = self.made[rank]
+            new = ids[i] = made[rank]
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rule(ids[i - 1] << 32 | new, none)
+                ranks[i - 1] = rules[ids[i - 1]].get(new, none)
             if i < len(ranks):
-                ranks[i] = rule(new << 32 | ids[i + 1], none)
+                ranks[i] = rules[new].get(ids[i + 1], none)
         return tuple(ids)
 
     def _merge_by_heap(self, ids: list[int], ranks: list[int]) -> tuple[int, ...]:
-        n, rule, none = len(ids), self.ranks.get, len(self.made)
+        n, rules, none = len(ids), self.ranks, len(self.made)
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
         # A heap entry is rank and place in one number; it is stale unless the pair now at the
         # place still has that rank.
@@ -159,17 +176,17 @@ class ByteBpe:
         while heap:
             rank, i = divmod(heapq.heappop(heap), n)
             j = following[i]
-            if ids[i] < 0 or j >= n or rule(ids[i] << 32 | ids[j]) != rank:
+            if ids[i] < 0 or j >= n or rules[ids[i]].get(ids[j]) != rank:
                 continue
             new = ids[i] = self.made[rank]
             ids[j] = -1
             k = following[i] = following[j]
             if k < n:
                 before[k] = i
-                if (right := rule(new << 32 | ids[k])) is not None:
+                if (right := rules[new].get(ids[k])) is not None:
                     heapq.heappush(heap, right * n + i)
             h = before[i]
-            if h >= 0 and (left := rule(ids[h] << 32 | new)) is not None:
+            if h >= 0 and (left := rules[ids[h]].get(new)) is not None:
                 heapq.heappush(heap, left * n + h)
         return tuple(i for i in ids if i >= 0)
 
@@ -202,20 +219,24 @@ class ByteBpe:
             found[a] if b - a == 1 else tuple(chain.from_iterable(found[a:b])) for a, b in zip([0, *last], last)
         ]
 
+    def split(self, text: str) -> list[str]:
+        basic = text.isascii() or not self.beyond_basic.search(text)
+        return (self.split_basic if basic else self.split_exact).findall(text)
+
     def _encode_plain(self, text: str) -> Iterable[int]:
-        split = self.split_usual if text.isascii() or max(text) < self.first_differing else self.split_exact
-        words = split.findall(text)
+        words = self.split(text)
         known = self.words
-        missing = [word for word in set(words) if word not in known]
-        if missing:
+        found = list(map(known.get, words))
+        if not all(found):  # every word has ids, so only unknown words are false
+            at = list(compress(count(), map(not_, found)))
+            missing = list(dict.fromkeys(map(words.__getitem__, at)))
+            made = dict(zip(missing, self.encode_words(missing)))
+            for i in at:
+                found[i] = made[words[i]]
             if len(known) + len(missing) > CACHED_WORDS:
                 known.clear()
-                missing = list(set(words))
-            found = dict(zip(missing, self.encode_words(missing)))
-            out = chain.from_iterable([known[w] if w in known else found[w] for w in words])
-            known.update((word, ids) for word, ids in found.items() if len(word) <= KEPT_LENGTH)
-            return out
-        return chain.from_iterable(map(known.__getitem__, words))
+            known.update((word, ids) for word, ids in made.items() if len(word) <= KEPT_LENGTH)
+        return chain.from_iterable(found)
 
     def encode(self, text: str) -> list[int]:
         if self.at_special is None:
@@ -274,13 +295,13 @@ def codec_digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load_codec(tokenizer_file)
-        text_of = codec.id_text.__getitem__
+        text_of = codec.id_text
         for batch in batches:
             n, of_ids, of_text = [], [], []
             for text in batch.column("text"):
                 ids = codec.encode(text.as_py())
                 n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(text_of, ids)).encode()).hexdigest())
+                of_ids.append(hashlib.sha256(",".join([text_of[i] for i in ids]).encode()).hexdigest())
                 of_text.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
             arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names)

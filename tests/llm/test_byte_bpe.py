@@ -71,6 +71,19 @@ def test_random_texts(codec, library):
         assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_basic_split_is_the_exact_one(codec):
+    rng = random.Random(7)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    exact, basic = codec.split_exact.findall, codec.split_basic.findall
+    assert basic(every) == exact(every) and basic(" ".join(every)) == exact(" ".join(every))
+    parts = [" ", "  ", "\n", "'s", "'S", "'", "re", "é", "1", "٣", "½", "!", "\x1c", "\x85", "\u3000", "中"]
+    for _ in range(2_000):
+        text = "".join(rng.choice(parts) if rng.random() < 0.8 else rng.choice(every) for _ in range(30))
+        assert basic(text) == exact(text), text
+        assert codec.split(text + "\U0001f600") == exact(text + "\U0001f600")
+    assert not codec.beyond_basic.search(" é中\ud7a3") and codec.beyond_basic.search("a\U0001f600")
+
+
 def test_certain_cuts_are_those_of_the_vocabulary(codec):
     inside = {pair for token in codec.bytes_of.values() for pair in zip(token, token[1:])}
     inside -= {pair for pair in zip(b"<|endoftext|>", b"|endoftext|>") if codec.certain[pair[0] << 8 | pair[1]]}
