@@ -15,14 +15,16 @@ its first line, and is repeated only if that one is.  Steps:
 1. Hashes of the windows that start at the lines are counted over the corpus: a narrow aggregate,
    combined on the map side.
 2. Windows of repeated hashes, and the windows of their first lines that end later, are read again
-   from the documents and compared by SHA-256 of their bytes; texts that merely share a 64-bit hash
-   are told apart.
+   from the documents and compared by SHA-256 of their bytes, cut to 128 bits; texts that merely share
+   a 64-bit hash are told apart.
 3. The first occurrence, by ``doc_id`` (nulls last) and position, stays.  The lines of the others
    go; within one text an occurrence that overlaps the first one stays as well.
 
 Written tables are dropped when the next one is made; the runs of lines that go are all that stays.
 Documents are keyed by (id, text), so repeated rows are treated alike: a window's first occurrence
 stays in each of them.  A hot passage is a few narrow rows per occurrence; AQE splits its joins.
+Windows meet the repeated hashes, and digests the first occurrences, in hash joins: the side that is
+built has one narrow row per repeated window, and the occurrences are not sorted.
 
 Results for odd input: null text stays null, empty stays empty, a document whose whole text was a
 repeat becomes empty; lines are never cut, so a long text without line or sentence ends is one
@@ -54,6 +56,10 @@ GAP = (
 )
 
 
+#: Bytes of a window's SHA-256 that are kept: shuffled twice and written once, and enough to tell all texts apart.
+DIGEST_BYTES = 16
+
+
 def lines_of(text: Column) -> Column:
     marked = F.regexp_replace(text, END, "$0" + MARK)
     split = F.when(F.contains(text, F.lit(MARK)), F.split(text, LINE_END, -1)).otherwise(F.split(marked, MARK, -1))
@@ -152,20 +158,20 @@ def repeated_windows(docs: DataFrame, min_words: int, written) -> DataFrame:
     with scratch_tables(docs.sparkSession) as passing:
         seen = passing(seen.select("key", "w.*"), "windows").where("hash is not null")
         often = passing(seen.groupBy("hash").count().where("count > 1").select("hash"), "often")
-        return written(seen.join(often.hint("merge"), "hash").select("key", "first", "last", "reach"), "repeated")
+        return written(seen.join(often.hint("shuffle_hash"), "hash").select("key", "first", "last", "reach"), "repeated")
 
 
 def window_digests(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``key, doc_id, row_hash, first, last, digest`` of the repeated windows, and of those that
+    """``key, doc_id, first, last, digest`` of the repeated windows, and of those that
     end later and begin at the same line."""
     wanted = repeated.groupBy("key").agg(F.collect_set(F.struct("first", "last", "reach")).alias("wanted"))
-    texts = docs.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.xxhash64("row").alias("row_hash"))
+    texts = docs.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     lined = texts.join(wanted.hint("merge"), "key").withColumn("_marked", _marked_bare(F.col("text")))
     lined = lined.withColumn("_bare", bare_lines(F.col("text"), F.col("_marked")))
 
     def digest(first: Column, last: Column) -> Column:
         lines = F.slice("_bare", first + 1, last - first + 1)
-        return F.unhex(F.sha2(F.array_join(lines, "\n"), 256))
+        return F.unhex(F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 2 * DIGEST_BYTES))
 
     def confirmed(w: Column) -> Column:
         lasts = F.sequence(w["last"], F.greatest(w["last"], w["reach"]))
@@ -175,14 +181,14 @@ def window_digests(docs: DataFrame, repeated: DataFrame) -> DataFrame:
         )
 
     confirmed_windows = F.when(F.size("_bare") > 0, F.flatten(F.transform("wanted", confirmed)))
-    digests = lined.select("key", "doc_id", "row_hash", F.explode_outer(confirmed_windows).alias("w"))
-    return digests.select("key", "doc_id", "row_hash", "w.*")
+    digests = lined.select("key", "doc_id", F.explode_outer(confirmed_windows).alias("w"))
+    return digests.select("key", "doc_id", "w.*")
 
 
 def removed_lines(digests: DataFrame, kept: DataFrame) -> DataFrame:
     """``key, removed, n_removed_lines``: the sorted, disjoint runs of lines that go."""
     span = F.struct("first", "last")
-    others = digests.join(kept.hint("merge"), "digest").where("not (key = kept_key and first <= kept_last)")
+    others = digests.join(kept.hint("shuffle_hash"), "digest").where("not (key = kept_key and first <= kept_last)")
     others = others.select("key", "first", "last").distinct()  # repeated rows have one key
     ordered = Window.partitionBy("key").orderBy("first", "last")
     reach = F.max("last").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
@@ -207,7 +213,7 @@ def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
         with scratch_tables(spark) as passing:
             repeated = repeated_windows(docs.select("key", F.col("row.text").alias("text")), min_words, passing)
             digests = written(window_digests(docs, repeated), "digests").where("digest is not null")
-        order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "first", "last", "row_hash")
+        order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key", "first", "last")
         kept = digests.groupBy("digest").agg(F.min(order).alias("kept"))
         kept = kept.select("digest", F.col("kept.key").alias("kept_key"), F.col("kept.last").alias("kept_last"))
         kept = written(kept, "kept")  # AQE splits a join's hot key only between plain exchanges

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import re
@@ -500,6 +501,27 @@ def test_line_dedup_keeps_shorter_repeats(spark):
     assert [rows[d].text for d in (6, 7)] == [f"Doc {d} begins.\nDoc {d} ends." for d in (6, 7)]
 
 
+def test_line_dedup_joins_occurrences_without_sorting_them(spark, monkeypatch):
+    """Neither windows nor digests are sorted to meet the repeated ones, and a digest has 16 bytes."""
+    text = "".join(f"Word{i} and others stand here. " for i in range(12))
+    docs = spark.createDataFrame([(i, text if i < 3 else f"{i} {text}") for i in range(1, 5)], "doc_id long, text string")
+    keyed = docs.select(F.xxhash64("doc_id", F.lit(0), "text").alias("key"), F.struct("doc_id", "text").alias("row"))
+    plans, tables = {}, {}
+
+    def written(df, label):
+        plans[label], tables[label] = df._jdf.queryExecution().sparkPlan().toString(), df
+        return df
+
+    monkeypatch.setattr(line_dedup, "materialize", written)
+    monkeypatch.setattr(line_dedup, "scratch_tables", lambda spark: contextlib.nullcontext(written))
+    removed = line_dedup.repeated_lines(keyed, 51)
+    for label in ("repeated", "removed"):
+        assert "ShuffledHashJoin [hash" in plans[label] or "ShuffledHashJoin [digest" in plans[label], label
+    assert {len(r.digest) for r in tables["digests"].collect()} == {line_dedup.DIGEST_BYTES}
+    # The first one keeps its lines, its copy loses all twelve, the others all but the line with their number.
+    assert sorted(r.n_removed_lines for r in removed.collect()) == [11, 11, 12]
+
+
 def test_sharding(odd):
     rows = sharding.assign_shards(odd).collect()
     assert len(rows) == odd.count()
