@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,5 +74,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_DROPPED: list[Callable[[], None]] = []
+
+
+def kept_by_worker(load: Callable) -> Callable:
+    """``load``, whose latest results a Python worker keeps from task to task, up to :func:`drop_kept`."""
+    kept = functools.lru_cache(maxsize=2)(load)
+    _DROPPED.append(kept.cache_clear)
+    return kept
+
+
+def drop_kept() -> None:
+    """Frees what earlier operators keep in this Python worker: Spark hands workers on from one
+    operator to the next, and their tables would add up.  Called by tasks that use none of them."""
+    for drop in _DROPPED:
+        drop()
+    pa.default_memory_pool().release_unused()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows, so that a task's results are handed on piece by piece."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def text_in(batch: pa.RecordBatch, row: str | None, names: list[str]) -> pa.Array:
+    """The texts of a batch: its column ``text``, or that field of the struct ``row`` of ``names``."""
+    if row is None:
+        return batch.column("text")
+    return pc.struct_field(batch.column(row), [[n.lower() for n in names].index("text")])
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))

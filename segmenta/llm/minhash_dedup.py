@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import materialize
+from segmenta.llm.common import drop_kept, materialize, slices, text_in
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -109,12 +109,16 @@ def _key() -> Column:
 def _features(docs: DataFrame, words: int, coordinates: int, carried: list[str]) -> DataFrame:
     """``row``, the carried columns, ``n_shingles``, ``class``, ``sig`` and ``parity`` of every row."""
     added = "n_shingles long, class string, sig array<long>, parity array<long>"
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), _key(), *carried, "text")
+    doc = "doc" if "doc" in carried else None  # the text goes to the tasks once
+    names = docs.schema[doc].dataType.names if doc else []
+    columns = carried if doc else [*carried, "text"]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), _key(), *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        drop_kept()
+        for batch in slices(batches):
             sizes, classes, sigs, parities = [], [], [], []
-            for text in batch.column("text"):
+            for text in text_in(batch, doc, names):
                 shingles = shingle_set(text.as_py(), words)
                 sizes.append(len(shingles))
                 some = len(shingles) > 0
@@ -146,8 +150,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         held, last = {}, None  # the set of the side that repeats from row to row
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for text_a, text_b in zip(batch.column("text_a"), batch.column("text_b")):
                 sets = []

@@ -22,7 +22,6 @@ documents like any other; an empty table gives no pieces; other columns are not
 from __future__ import annotations
 
 import base64
-import functools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import materialize, text_or_empty
+from segmenta.llm.common import kept_by_worker, materialize, slices, text_or_empty
 
 END_TOKEN = 0
 CACHED_WORDS = 400_000
@@ -92,7 +91,7 @@ class WordTokenizer(dict):
             return self.encode_exact(text)
 
 
-@functools.lru_cache(maxsize=2)
+@kept_by_worker
 def load_tokenizer(tokenizer_file: str, ranks_file: str, pattern: str) -> WordTokenizer:
     return WordTokenizer(tokenizer_file, ranks_file, pattern)
 
@@ -235,7 +234,7 @@ def tokenized(docs: DataFrame, files: tuple[str, str, str], window: int) -> Data
         end = np.array([END_TOKEN], "<u4").tobytes()
         seen: dict[int, int] = defaultdict(int)
         before, step = 0, 4 * window
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column("text"):
                 ids = tokenizer.encode(text.as_py()) + end
@@ -284,7 +283,7 @@ def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str, pattern: str, wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in PIECES_DDL.split(", ")]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for r in batch.to_pylist():
                 doc, n, crcs, tail = r["doc_id"], r["doc_tokens"], r["whole_crc32"], r["tail"]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from segmenta.llm.common import text_or_empty
+from segmenta.llm.common import drop_kept, slices, text_in, text_or_empty
 
 FILTERS = 16
 WIDTH = 5
@@ -206,13 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Qua
     return train([r.text.encode() for r in rows], np.array([r.quality for r in rows], np.float64))
 
 
-def with_score(docs: DataFrame, model: QualityModel, column: str) -> DataFrame:
-    """``docs`` with the score of ``text`` in ``column``."""
+def with_score(docs: DataFrame, model: QualityModel, column: str, row: str | None = None) -> DataFrame:
+    """``docs`` with the score of ``text``, a column or a field of the struct ``row``, in ``column``."""
+    names = docs.columns if row is None else docs.schema[row].dataType.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            scores = [model.score((t.as_py() or "").encode()) for t in batch.column(at)]
+        drop_kept()
+        for batch in slices(batches):
+            scores = [model.score((t.as_py() or "").encode()) for t in text_in(batch, row, names)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column]
             )
@@ -233,6 +234,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold."""
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    scored = with_score(rows, fit(docs, labels, train_rows), "score")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    scored = with_score(rows, fit(docs, labels, train_rows), "score", "doc")
     return scored.where(F.col("score") >= threshold).select("doc.*")

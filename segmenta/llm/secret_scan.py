@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmenta.llm.common import text_or_empty
+from segmenta.llm.common import drop_kept, slices, text_or_empty
 
 Span = tuple[str, int, int]
 
@@ -230,7 +230,8 @@ def scan_secrets(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        drop_kept()
+        for batch in slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 base, spans = secret_spans(text, threshold)
@@ -248,7 +249,8 @@ def redact_secrets(docs: DataFrame, threshold: float = 0.6, mark: str = "[SECRET
     """``docs`` with every secret span of ``text`` replaced by ``mark``; null texts stay null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        drop_kept()
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             cleaned = []
             for text in batch.column(at).to_pylist():

@@ -11,6 +11,8 @@ from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -636,6 +638,28 @@ def test_half_maxima_cover_the_whole_text():
         assert np.allclose(halves.max(axis=0), quality_cnn._responses(codes, tables).max(axis=0))
 
 
+def test_workers_drop_the_tables_of_earlier_operators():
+    """Python workers go from operator to operator: the tokenizer does not stay beside other stages,
+    and results leave a task in small pieces."""
+
+    class Rows:
+        def __init__(self, n):
+            self.batch = pa.record_batch({"doc_id": pa.array(range(n)), "text": pa.array(["password = abcdefgh1"] * n)})
+            self.schema = self.batch.schema
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([self.batch])))
+
+    names = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    packing.load_tokenizer(*map(public_tokenizers.path, names), public_tokenizers.PATTERN)
+    assert packing.load_tokenizer.cache_info().currsize
+    pieces = secret_scan.redact_secrets(Rows(2_500))
+    assert packing.load_tokenizer.cache_info().currsize == 0
+    assert [p.num_rows for p in pieces] == [1_000, 1_000, 500]
+    assert [r["doc_id"] for p in pieces for r in p.to_pylist()] == list(range(2_500))
+    assert {r["text"] for p in pieces for r in p.to_pylist()} == {"[SECRET]"}
+
+
 def test_pipeline_stages(spark, odd, labels, tmp_path):
     """Odd documents go through every stage; all but the last keep the columns."""
     labels.write.parquet(str(tmp_path / "labels.parquet"))
