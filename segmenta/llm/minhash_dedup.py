@@ -10,8 +10,8 @@
    components: first the class with the longest lists in all, which is the most central one of a
    group of near copies, then another one each round.  Of the leaders that a member matches, the
    best one is confirmed on the full sets, and the components are merged.  After ``LEADER_ROUNDS``
-   rounds, the members of a list that still lie in different components meet each other; pairs
-   are left out only when both texts are known to be connected.
+   rounds, or one that linked little, the members of a list that still lie in different components
+   meet each other; pairs are left out only when both texts are known to be connected.
    Two bounds keep pairs from leaving a join: four bits of every coordinate give at least the
    number of its collisions, and the parity sketch (a bit flipped by every shingle) of two sets
    differs in at most as many bits as the sets differ in shingles.  The second one never
@@ -46,9 +46,11 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 COORDINATES = 48
 MISS = 1e-5
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 3  # at most
+LEADER_GAIN = 100  # a leader round that links less than one class in so many is the last one
 PARITY_WORDS = 16  # 1,024 bits
 BLOCK = 1 << 12
+PAIR = ["a", "b", "la", "lb"]  # two nodes and their labels, the latter in either order
 U64 = np.uint64
 FACTORS = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 OFFSETS = np.random.default_rng(20240602).integers(0, 2**63, 256, dtype=np.uint64)
@@ -143,7 +145,8 @@ def _matches(a: str, b: str) -> Column:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets reach the similarity; ``texts`` has ``row, text``."""
+    """The pairs ``a, b, la, lb`` with ``linked``: whether their full sets reach the similarity;
+    ``texts`` has ``row, text``."""
     both = (
         pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
@@ -165,25 +168,29 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
                 one, other = sets
                 common = len(np.intersect1d(one, other, assume_unique=True))
                 keep.append(100 * common >= percent * (len(one) + len(other) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            made = [*map(batch.column, PAIR), pa.array(keep, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(made, [*PAIR, "linked"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    schema = "a long, b long, la long, lb long, linked boolean"
+    return both.select(*PAIR, "text_a", "text_b").mapInArrow(run, schema)
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v`` that is no ``u`` itself."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))
+    nodes = links.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.count(F.lit(1)).alias("n"))
+    return nodes.where("up > 1 or (up = 1 and n > 1)").agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def connected(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of the undirected links ``a, b``; the root is the smallest
-    node that it reaches.  Alternating large and small stars, until no link moves."""
+    node that it reaches.  Alternating large and small stars, until every link leads to a root."""
     links = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     links = materialize(links.distinct(), "links")
-
-    def total(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = total(links)
-    while before[0]:
+    while not _settled(links):
         ways = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ways.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = ways.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u")
@@ -193,21 +200,12 @@ def connected(links: DataFrame) -> DataFrame:
             .distinct()
         )
         links = materialize(small, "links")
-        after = total(links)
-        if after == before:
-            break
-        before = after
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (``node, label, degree``) after the links between nodes."""
-    by_label = (
-        links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-        .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        .select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    )
-    roots = connected(by_label)
+    """``labels`` (``node, label, degree``) after the links between nodes of the labels ``la, lb``."""
+    roots = connected(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     joined = labels.join(roots.withColumnRenamed("node", "label"), "label", "left")
     return materialize(joined.select("node", F.coalesce("root", "label").alias("label"), "degree"), "labels")
 
@@ -251,7 +249,7 @@ def _close(percent: int) -> Column:
 
 
 def _components(features: DataFrame, docs: DataFrame, words: int, percent: int, coordinates: int) -> DataFrame:
-    """``class, label``: the component of every class that is linked with another one."""
+    """``class, label``: the component of every class."""
     least = match_threshold(coordinates, percent / 100)
     misses = coordinates - least
     width = coordinates // (misses + 1)
@@ -273,16 +271,19 @@ def _components(features: DataFrame, docs: DataFrame, words: int, percent: int,
     texts = docs.select(_key(), "text").join(wanted, "key").dropDuplicates(["key", "row"])
     texts = materialize(texts.select("row", "text"), "texts")
     seen = None
-    for turn in range(LEADER_ROUNDS + 1):
+    leading, turn = True, -1
+    while True:
+        turn += 1
+        leading = leading and turn < LEADER_ROUNDS
         members = postings.drop("length").join(labels.withColumnRenamed("node", "row"), "row")
-        order = F.xxhash64("row", F.lit(turn)) if turn else F.struct(-F.col("degree"), F.col("row"))
+        order = F.struct(F.xxhash64("row", F.lit(turn)) if turn else -F.col("degree"), F.col("row"))
         mixed = members.groupBy("list").agg(
             F.min("label").alias("low"), F.max("label").alias("high"),
             F.min_by(F.struct("row", "label"), order).alias("leader"),
         ).where("low < high")
-        if turn < LEADER_ROUNDS:
-            pairs = members.join(mixed, "list").where("label != leader.label").select("leader.row", F.col("row").alias("other"))
-            pairs = pairs.toDF("x", "y")
+        if leading:
+            pairs = members.join(mixed, "list").where("label != leader.label")
+            pairs = pairs.select(F.col("leader.row").alias("x"), F.col("row").alias("y"), F.col("leader.label").alias("la"), F.col("label").alias("lb"))
         else:
             sketched = classes.select("row", "n_shingles", "parity", _sketch(coordinates).alias("sketch"))
             rest = materialize(members.join(mixed.select("list"), "list").join(sketched, "row"), "unsettled")
@@ -298,36 +299,42 @@ def _components(features: DataFrame, docs: DataFrame, words: int, percent: int,
                 & (_differing("sketch_a", "sketch_b", coordinates) <= misses)
             )
             pairs = left.join(right, (left["list"] == right["list"]) & met)
-            pairs = pairs.select(F.col("row_a").alias("x"), F.col("row_b").alias("y"))
-        pairs = pairs.distinct().select("x", "y", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            pairs = pairs.select(F.col("row_a").alias("x"), F.col("row_b").alias("y"), F.col("label_a").alias("la"), F.col("label_b").alias("lb"))
+        # In leader rounds x goes before y by one order over all lists, in the last round by row.
+        pairs = pairs.distinct().select("x", "y", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "la", "lb")
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         one, two = (
-            classes.select(F.col("row").alias(side), F.col("n_shingles").alias(f"n_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("sig", "parity")))
-            for side in "ab"
+            classes.select(F.col("row").alias(end), F.col("n_shingles").alias(f"n_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("sig", "parity")))
+            for end, side in ("xa", "yb")
         )
-        near = pairs.join(one, "a").join(two, "b").where(_close(percent)).where(_within(percent))
-        near = near.select("a", "b", "x", "y", _matches("sig_a", "sig_b").alias("matches")).where(F.col("matches") >= least)
-        if turn < LEADER_ROUNDS:  # of each member's leaders the best one; the others meet it again while unsettled
-            near = near.groupBy("y").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "x")).alias("best")).select("best.*")
-        near = materialize(near.select("a", "b").distinct(), "candidates")
+        near = pairs.join(one, "x").join(two, "y").where(_close(percent)).where(_within(percent))
+        near = near.select(*PAIR, "x", "y", _matches("sig_a", "sig_b").alias("matches")).where(F.col("matches") >= least)
+        if leading:  # of each member's leaders the best one; the others meet it again while unsettled
+            near = near.groupBy("y").agg(F.max_by(F.struct(*PAIR), F.struct("matches", "x")).alias("best")).select("best.*")
+        near = materialize(near.select(*PAIR), "candidates")
         if near.isEmpty():
-            if turn < LEADER_ROUNDS:
-                continue
+            if not leading:
+                break
+            leading = False
+            continue
+        tested = materialize(_confirmed(near, texts, words, percent), "confirmed")
+        labels = _merged(labels, tested.where("linked"))
+        if not leading:
             break
-        links = materialize(_confirmed(near, texts, words, percent), "confirmed")
-        labels = _merged(labels, links)
-        seen = near if seen is None else seen.union(near)
-    return labels.join(classes.select(F.col("row").alias("node"), "class"), "node").select("class", "label")
+        refused = tested.where("not linked").select("a", "b")  # linked ones share a label and do not meet again
+        leading = LEADER_GAIN * tested.where("linked").count() >= labels.count()
+        if not refused.isEmpty():
+            seen = refused if seen is None else seen.union(refused)
+    joined = classes.join(labels.withColumnRenamed("node", "row"), "row", "left")
+    return joined.select("class", F.coalesce("label", "row").alias("label"))
 
 
 def _grouped(docs: DataFrame, words: int, percent: int, coordinates: int, carried: list[str]) -> DataFrame:
     """The feature rows with ``label``: equal for all rows of a component, null without shingles."""
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = _features(rows, words, coordinates, carried)
-    classes = features.where("class is not null").groupBy("class").agg(F.min("row").alias("first"))
     labels = _components(features, rows.select("doc_id", "text"), words, percent, coordinates)
-    labels = classes.join(labels, "class", "left").select("class", F.coalesce("label", "first").alias("label"))
     return features.drop("sig", "parity").join(labels, "class", "left")
 
 

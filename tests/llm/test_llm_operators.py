@@ -119,6 +119,34 @@ def test_connected(spark):
     assert {(r.node, r.root) for r in minhash_dedup.connected(links).collect()} == {(4, 3), (5, 3), (9, 3), (8, 7)}
 
 
+def test_connected_stops_once_every_link_leads_to_a_root(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(minhash_dedup, "materialize", lambda df, label: written.append(label) or common.materialize(df, label))
+    stars = spark.createDataFrame([(i, i % 3) for i in range(3, 30)], "a long, b long")
+    assert {(r.node, r.root) for r in minhash_dedup.connected(stars).collect()} == {(i, i % 3) for i in range(3, 30)}
+    assert written == ["links"]
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {(r.node, r.root) for r in minhash_dedup.connected(path).collect()} == {(i, 0) for i in range(1, 41)}
+
+
+def test_near_duplicates_go_on_from_a_leader_round_that_links_little(spark, monkeypatch):
+    """Chains of edits: leaders reach their neighbours only."""
+    made = []
+    for chain in range(3):
+        words = [f"c{chain}t{i}" for i in range(200)]
+        for i in range(8):
+            words[10 * i : 10 * i + 3] = [f"c{chain}n{i}a", f"c{chain}n{i}b", f"c{chain}n{i}c"]
+            made.append((len(made), " ".join(words)))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    written = []
+    monkeypatch.setattr(minhash_dedup, "materialize", lambda df, label: written.append(label) or common.materialize(df, label))
+    monkeypatch.setattr(minhash_dedup, "LEADER_GAIN", 0.5)  # every round links too little
+    rows = minhash_dedup.near_duplicates(docs, 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components(dict(made), 3, 85)
+    assert {r.component_id for r in rows} == {0, 8, 16}
+    assert written.count("candidates") == 2  # one leader round and the last one, in which all others meet
+
+
 def test_exact_dedup(odd):
     members = defaultdict(list)
     for r in odd.collect():
