@@ -8,12 +8,14 @@ as many as keep each of bounded size.  A batch is deduplicated in four steps:
    on the map side, so a text that holds a third of all rows moves once per task.
 2. The distinct digests of the batch are screened by the snapshot's filters.  A negative is
    certainly new; no text of the snapshot is read for it.
-3. Positives join the exact buckets (both tables have the same buckets: no exchange) and the
-   bytes are compared; false positives of the filter fall out here.
+3. Positives meet the exact buckets in hash joins (all tables have the same buckets: only the
+   digests of the positives are exchanged, and no text is sorted but theirs) and the bytes are
+   compared; false positives of the filter fall out here.
 4. Rows get their group through a narrow join on the digest; AQE splits a hot digest.
 
 Bytes are compared in step 1 as well: a digest whose smallest and largest text differ holds
-several texts.  Such digests are grouped by digest and text.
+several texts.  Such digests are grouped by digest and text.  A group is stored with one text
+and with the outcome of that comparison, so that no later step reads a text twice.
 
 Results for odd input: a null text counts as empty; a null ``doc_id`` loses against any
 other (it stays only if its group has no id); repeated rows belong to the same group, and
@@ -188,8 +190,8 @@ def _salt(salts: int) -> Column:
 
 
 def text_groups(docs: DataFrame, digest: Callable[[Column], Column], buckets: int) -> tuple[DataFrame, Stored]:
-    """One row per digest with its row count, largest id and its smallest and largest text
-    (they differ only if the digest holds several texts), stored in buckets by digest."""
+    """One row per digest with its row count, largest id, smallest text and ``one_text``: whether
+    the digest holds no other text.  Stored in buckets by digest."""
     grouped = (
         _keyed(docs, digest)
         .groupBy("digest")
@@ -199,6 +201,8 @@ def text_groups(docs: DataFrame, digest: Callable[[Column], Column], buckets: in
             F.min("text").alias("low"),
             F.max("text").alias("high"),
         )
+        .withColumn("one_text", F.col("low") == F.col("high"))
+        .drop("high")
     )
     spark, name = docs.sparkSession, f"segmenta_groups_{uuid.uuid4().hex}"
     path = new_path(spark, "text-groups")
@@ -252,12 +256,10 @@ def screen(digests: DataFrame, snapshot: Snapshot) -> DataFrame:
     )
 
 
-def _same(*columns: str) -> Column:
-    first, *rest = columns
-    same = F.lit(True)
-    for other in rest:
-        same = same & (F.col(first) == F.col(other))
-    return same
+def _held(groups: DataFrame, positives: DataFrame) -> DataFrame:
+    """The groups of the positives.  Their digests are built into the hash table, a bucket's at a
+    time; the groups with their texts stream past it, neither sorted nor exchanged."""
+    return groups.join(positives.hint("shuffle_hash"), "digest", "left_semi")
 
 
 def exact_dedup(
@@ -273,21 +275,20 @@ def exact_dedup(
         positives, screened = _stored(screen(batch.select("digest"), snapshot), "positives")
         made.callback(screened.drop)
 
-        held = snapshot.groups.select(
-            "digest", *(F.col(c).alias(f"old_{c}") for c in ("keep_id", "group_size", "low", "high"))
+        held = _held(snapshot.groups, positives).select(
+            "digest", *(F.col(c).alias(f"old_{c}") for c in ("keep_id", "group_size", "low", "one_text"))
         )
-        candidates = batch.join(positives, "digest", "left_semi")
         hits, both = _stored(
-            candidates.join(held.hint("merge"), "digest").select(
+            _held(batch, positives).join(held.hint("merge"), "digest").select(
                 "digest",
                 F.greatest("keep_id", "old_keep_id").alias("keep_id"),
                 (F.col("group_size") + F.col("old_group_size")).alias("group_size"),
-                _same("low", "high", "old_low", "old_high").alias("one_text"),
+                (F.col("one_text") & F.col("old_one_text") & (F.col("low") == F.col("old_low"))).alias("one_text"),
             ),
             "hits",
         )
         made.callback(both.drop)
-        narrow = ("digest", "keep_id", "group_size", _same("low", "high").alias("one_text"))
+        narrow = ("digest", "keep_id", "group_size", "one_text")
         alone = snapshot.groups.select(*narrow).unionByName(batch.select(*narrow)).join(hits, "digest", "left_anti")
         groups = materialize(alone.unionByName(hits), "groups")  # all that the result reads beside the rows
 

@@ -173,6 +173,22 @@ def test_exact_dedup_with_small_filters_leaves_nothing_behind(spark, monkeypatch
     assert len(made) == 7 and not [p for p in made if os.path.exists(p.removeprefix("file:"))]
 
 
+def test_exact_dedup_stores_one_text_and_sorts_none_but_the_positives(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 4}") for i in range(12)] + [(None, None)], "doc_id long, text string")
+    first, rest = docs.where("doc_id < 6"), docs.where("coalesce(doc_id, 6) >= 6")
+    snapshot = exact_dedup.build_snapshot(first)
+    assert snapshot.groups.columns == ["digest", "keep_id", "group_size", "low", "one_text"]
+    held = exact_dedup._held(snapshot.groups, snapshot.groups.select("digest").limit(2))
+    assert held.count() == 2
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    snapshot.drop()
+    weak = lambda text: F.substring(text, 1, 5)  # all texts share a digest
+    rows = exact_dedup.exact_dedup(first, rest, weak).collect()
+    wanted = {(i, 8 + i % 4, 3, i >= 8) for i in range(12)} | {(None, None, 1, True)}
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows} == wanted and len(rows) == 13
+
+
 def test_repeated_rows_have_one_text_for_all(spark, monkeypatch):
     """60 + 60 copies of two near rows make one pair of texts."""
     near = BASE.replace("w4x2 ", "other ")
